@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ADD, REJECT, CLAMP, SET, RESTORE, REPLACE = "add", "reject", "clamp", "set", "restore", "replace"
-SEQUENTIAL_MODES = {REJECT, SET, RESTORE, REPLACE}
+NOOP, FAIL = "noop", "fail"
+SEQUENTIAL_MODES = {REJECT, SET, RESTORE, REPLACE, NOOP, FAIL}
 
 
 def _d(dim: str) -> str:
@@ -48,9 +49,11 @@ def _v(dim: str) -> str:
     return f"v_{dim}"
 
 
-def _out_schema(events: DataFrame, dims: list[str]) -> T.StructType:
+def _out_schema(events: DataFrame, dims: list[str], halt: bool = False) -> T.StructType:
     fields = list(events.schema.fields)
     fields.append(T.StructField("applied", T.BooleanType()))
+    if halt:
+        fields.append(T.StructField("halted", T.BooleanType()))
     fields += [T.StructField(f"before_{d}", T.LongType()) for d in dims]
     fields += [T.StructField(f"after_{d}", T.LongType()) for d in dims]
     return T.StructType(fields)
@@ -113,13 +116,14 @@ def _chunk_minima(chunks: DataFrame, key: str, chunk: str, dims: list[str]) -> D
 # sequential path
 # ---------------------------------------------------------------------------
 def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_col: str | None,
-                  memo_col: str | None):
+                  memo_col: str | None, halt: bool = False):
     n = len(dims)
 
     def run(batches):
         cur_key = object()
         state = np.zeros(n, dtype=np.int64)
         memo: dict = {}
+        stopped = False
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -134,6 +138,7 @@ def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_co
             need_memo = pdf[memo_col].to_numpy() if memo_col else None
             m = len(pdf)
             applied = np.zeros(m, dtype=bool)
+            halted = np.zeros(m, dtype=bool)
             before = np.empty((m, n), dtype=np.int64)
             after = np.empty((m, n), dtype=np.int64)
             for i in range(m):
@@ -142,11 +147,20 @@ def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_co
                     cur_key = k
                     state = np.zeros(n, dtype=np.int64)
                     memo = {}
+                    stopped = False
                 before[i] = state
+                if stopped:
+                    halted[i] = True
+                    after[i] = state
+                    continue
                 mode = modes[i]
                 d = dmat[i]
                 ok = True
-                if mode == ADD:
+                if mode == NOOP:
+                    pass
+                elif mode == FAIL:
+                    ok = False
+                elif mode == ADD:
                     state = state + d
                 elif mode == REJECT:
                     nxt = state + d
@@ -178,10 +192,14 @@ def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_co
                     raise ValueError(f"unknown ledger mode {mode!r}")
                 applied[i] = ok
                 after[i] = state
+                if halt and not ok:
+                    stopped = True
                 if need_memo is not None and need_memo[i]:
                     memo[ids[i]] = ok
             out = pdf.copy()
             out["applied"] = applied
+            if halt:
+                out["halted"] = halted
             for j, dname in enumerate(dims):
                 out[f"before_{dname}"] = before[:, j]
                 out[f"after_{dname}"] = after[:, j]
@@ -192,18 +210,21 @@ def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_co
 
 def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes: set[str],
          mode_col: str = "mode", chunk: str | None = None, id_col: str = "op_id",
-         ref_col: str | None = None, partitions: int | None = None) -> DataFrame:
+         ref_col: str | None = None, partitions: int | None = None,
+         halt_on_error: bool = False) -> DataFrame:
     """Fold ``events`` per ``key`` in ``order``; returns the events with ``applied``,
     ``before_<dim>`` and ``after_<dim>`` columns.
 
     ``modes`` is the set of modes the caller's log can contain (it picks the plan);
     ``chunk`` is a column that is monotone in ``order`` inside a key (a date is
     ideal) and splits a busy key for the associative plans; ``ref_col`` names the
-    op an entry of mode restore/replace refers to."""
+    op an entry of mode restore/replace refers to. With ``halt_on_error`` the
+    first op of a key that is not applied stops that key: later ops are marked
+    ``halted`` and change nothing (one sync request stops at its first bad op)."""
     modes = set(modes)
-    if modes <= {ADD} and chunk:
+    if modes <= {ADD} and chunk and not halt_on_error:
         return _chunked_scan(events, key, order, chunk, dims, clamp=False)
-    if modes <= {ADD, CLAMP} and chunk:
+    if modes <= {ADD, CLAMP} and chunk and not halt_on_error:
         return _chunked_scan(events, key, order, chunk, dims, clamp=True)
 
     memo_col = None
@@ -217,18 +238,18 @@ def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes:
         memo_col = "__memo"
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = ev.repartition(n, key).sortWithinPartitions(key, *order)
-    schema = _out_schema(ev, dims)
-    out = ordered.mapInPandas(_fold_batches(key, dims, mode_col, id_col, ref_col, memo_col), schema)
+    schema = _out_schema(ev, dims, halt_on_error)
+    out = ordered.mapInPandas(_fold_batches(key, dims, mode_col, id_col, ref_col, memo_col, halt_on_error), schema)
     return out.drop("__memo") if memo_col else out
 
 
-def fold_python(rows: list[dict], dims: list[str]) -> list[dict]:
+def fold_python(rows: list[dict], dims: list[str], halt: bool = False) -> list[dict]:
     """Brute-force reference fold over a small list of events already in order
     (used by tests as the oracle where SQL cannot express the fold)."""
     pdf = pd.DataFrame(rows)
     if "ref" not in pdf.columns:
         pdf["ref"] = None
     pdf["__memo"] = pdf["op_id"].isin(set(pdf["ref"].dropna()))
-    run = _fold_batches("key", dims, "mode", "op_id", "ref", "__memo")
+    run = _fold_batches("key", dims, "mode", "op_id", "ref", "__memo", halt)
     out = pd.concat(list(run(iter([pdf]))))
     return out.drop(columns="__memo").to_dict("records")
