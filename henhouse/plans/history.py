@@ -82,7 +82,8 @@ def feed_union(t: Tables) -> DataFrame:
     return dc.unionByName(s).unionByName(e)
 
 
-FEED_ORDER = [F.col("created_at").desc(), F.col("type").asc(), F.col("record_id").desc()]
+def feed_order():
+    return [F.col("created_at").desc(), F.col("type").asc(), F.col("record_id").desc()]
 
 
 def _named(t: Tables, df: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def _named(t: Tables, df: DataFrame) -> DataFrame:
 
 def activity_feed(t: Tables, k: int = 30) -> DataFrame:
     """Admin view: the k latest active records of any kind with names."""
-    return _named(t, feed_union(t).orderBy(*FEED_ORDER).limit(k))
+    return _named(t, feed_union(t).orderBy(*feed_order()).limit(k))
 
 
 def role_visibility(t: Tables, k: int = 30) -> DataFrame:
@@ -102,7 +103,7 @@ def role_visibility(t: Tables, k: int = 30) -> DataFrame:
     workers = t.users.filter(F.col("role") == "trabajador").select(F.col("id").alias("__w"))
     own = feed_union(t).filter(F.col("type") == "collection")
     own = own.join(workers, own.created_by == workers["__w"], "left_semi")
-    w = Window.partitionBy("created_by").orderBy(*FEED_ORDER)
+    w = Window.partitionBy("created_by").orderBy(*feed_order())
     own = own.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
     own = own.withColumn("viewer", F.col("created_by").cast("string"))
     return admin.unionByName(_named(t, own))

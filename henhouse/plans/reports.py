@@ -17,7 +17,8 @@ from henhouse.functions import filters as P
 from henhouse.plans.calendar import calendar_days, calendar_months
 from henhouse.sources.tables import Tables
 
-ZERO_MONEY = F.lit(0).cast(schemas.MONEY)
+def _zero_money():
+    return F.lit(0).cast(schemas.MONEY)
 
 
 def _grain(period: int) -> str:
@@ -89,13 +90,13 @@ def report_series(t: Tables, period: int, as_of) -> DataFrame:
         label = X.month_label
     zero_eggs = F.lit(0).cast("bigint")
     parts = [
-        cal.select(F.col("d"), zero_eggs.alias("eggs"), ZERO_MONEY.alias("sales"), ZERO_MONEY.alias("expenses")),
+        cal.select(F.col("d"), zero_eggs.alias("eggs"), _zero_money().alias("sales"), _zero_money().alias("expenses")),
         _narrow(t.daily_collections.filter(keep("collection_date") & P.active_only()), "collection_date",
-                bucket, X.total_eggs().cast("bigint"), ZERO_MONEY, ZERO_MONEY),
+                bucket, X.total_eggs().cast("bigint"), _zero_money(), _zero_money()),
         _narrow(t.sales.filter(keep("sale_date") & P.active_only()), "sale_date",
-                bucket, zero_eggs, F.col("total"), ZERO_MONEY),
+                bucket, zero_eggs, F.col("total"), _zero_money()),
         _narrow(t.expenses.filter(keep("expense_date") & P.active_only()), "expense_date",
-                bucket, zero_eggs, ZERO_MONEY, F.col("amount")),
+                bucket, zero_eggs, _zero_money(), F.col("amount")),
     ]
     u = parts[0]
     for p in parts[1:]:
