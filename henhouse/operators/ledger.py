@@ -116,9 +116,16 @@ def _chunk_minima(chunks: DataFrame, key: str, chunk: str, dims: list[str]) -> D
 # sequential path
 # ---------------------------------------------------------------------------
 def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_col: str | None,
-                  memo_col: str | None, halt: bool = False):
+                  memo_col: str | None, halt: bool = False, initial=None):
+    """Fold over batches sorted by (key, order). ``initial(key)`` gives the state a
+    key starts from (zeros by default; the streaming job passes its stored state)."""
     n = len(dims)
 
+    def start(k):
+        if initial is None:
+            return np.zeros(n, dtype=np.int64)
+        return np.asarray(initial(k), dtype=np.int64)
+
     def run(batches):
         cur_key = object()
         state = np.zeros(n, dtype=np.int64)
@@ -145,7 +152,7 @@ def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_co
                 k = keys[i]
                 if k != cur_key:
                     cur_key = k
-                    state = np.zeros(n, dtype=np.int64)
+                    state = start(k)
                     memo = {}
                     stopped = False
                 before[i] = state
