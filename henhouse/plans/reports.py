@@ -167,14 +167,20 @@ def production_by_category(t: Tables, period: int, as_of) -> DataFrame:
            .filter(P.trailing_window("collection_date", as_of, period) & P.active_only())
            .agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in schemas.CATEGORIES]))
     long = one.unpivot([], schemas.CATEGORIES, "category", "eggs")
-    w = Window.partitionBy()  # five rows: a global window over them is free
-    return long.select(
+    return with_share_of_max(long.select(
         "category", "eggs",
         X.category_rank("category").alias("category_rank"),
         X.display_rank("category").alias("display_rank"),
         X.label("category", "category").alias("category_label"),
-        X.share_of_max(F.col("eggs"), F.max("eggs").over(w)).alias("bar_pct"),
-    )
+    ), "eggs", "bar_pct")
+
+
+def with_share_of_max(df: DataFrame, col: str, name: str = "bar_pct") -> DataFrame:
+    """Bar width of each row against the largest value: the maximum is a one-row
+    global aggregate attached by a broadcast constant-key join (no window that
+    would pull every row into one partition)."""
+    mx = df.agg(F.max(col).alias("__max"))
+    return _attach_scalar(df, mx).withColumn(name, X.share_of_max(F.col(col), F.col("__max"))).drop("__max")
 
 
 def sales_by_category(t: Tables, period: int, as_of) -> DataFrame:

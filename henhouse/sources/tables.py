@@ -24,9 +24,10 @@ from henhouse.sources.adapter import VIEWS
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, loader):
+    def __init__(self, spark: SparkSession, loader, raw_reader=None):
         self.spark = spark
         self._loader = loader
+        self._raw_reader = raw_reader
         self._cache: dict[str, DataFrame] = {}
 
     # -- constructors -------------------------------------------------------
@@ -44,7 +45,7 @@ class Tables:
             frames = {d: (self_.table(d) if d in VIEWS else read_raw(d)) for d in deps}
             return spark.sql(sql, **frames)
 
-        return cls(spark, load)
+        return cls(spark, load, read_raw)
 
     @classmethod
     def from_domain(cls, spark: SparkSession, root: str) -> "Tables":
@@ -57,6 +58,12 @@ class Tables:
         return cls(spark, load)
 
     # -- access -------------------------------------------------------------
+    def raw(self, name: str) -> DataFrame:
+        """A source table as delivered (test data only)."""
+        if self._raw_reader is None:
+            raise KeyError(f"no raw table {name!r} in this catalog")
+        return self._raw_reader(name)
+
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
             self._cache[name] = self._loader(self, name)
