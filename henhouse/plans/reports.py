@@ -147,12 +147,12 @@ def report_kpis(t: Tables, period: int, as_of, series: DataFrame | None = None)
 
 
 def _attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row of ``df`` through an
-    equi join on a constant key (the one-row side is broadcast: its size is 1)."""
-    k = "__one"
-    return (df.withColumn(k, F.lit(1))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "left")
-            .drop(k))
+    """Attach the columns of a one-row global aggregate to every row of ``df`` as
+    scalar subqueries (no join: each value is computed once and inlined; Spark
+    merges subqueries over the same plan into one execution)."""
+    for c in one_row.columns:
+        df = df.withColumn(c, one_row.select(c).scalar())
+    return df
 
 
 def active_birds(t: Tables) -> DataFrame:
