@@ -148,27 +148,49 @@ def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_co
             halted = np.zeros(m, dtype=bool)
             before = np.empty((m, n), dtype=np.int64)
             after = np.empty((m, n), dtype=np.int64)
-            for i in range(m):
+            # Runs of consecutive adds of one key are applied in one cumulative sum;
+            # only the order-dependent ops are stepped through one by one.
+            is_add = modes == ADD
+            new_key = np.ones(m, dtype=bool)
+            new_key[1:] = keys[1:] != keys[:-1]
+            breaks = np.flatnonzero(~is_add | new_key)
+            i = 0
+            while i < m:
                 k = keys[i]
                 if k != cur_key:
                     cur_key = k
                     state = start(k)
                     memo = {}
                     stopped = False
-                before[i] = state
                 if stopped:
+                    before[i] = state
                     halted[i] = True
                     after[i] = state
+                    i += 1
                     continue
                 mode = modes[i]
+                if mode == ADD:
+                    nb = np.searchsorted(breaks, i, side="right")
+                    j = int(breaks[nb]) if nb < len(breaks) else m
+                    run_after = state + np.cumsum(dmat[i:j], axis=0)
+                    after[i:j] = run_after
+                    before[i] = state
+                    if j - i > 1:
+                        before[i + 1:j] = run_after[:-1]
+                    applied[i:j] = True
+                    state = run_after[-1].copy()
+                    if need_memo is not None:
+                        for r in np.flatnonzero(need_memo[i:j]):
+                            memo[ids[i + r]] = True
+                    i = j
+                    continue
+                before[i] = state
                 d = dmat[i]
                 ok = True
                 if mode == NOOP:
                     pass
                 elif mode == FAIL:
                     ok = False
-                elif mode == ADD:
-                    state = state + d
                 elif mode == REJECT:
                     nxt = state + d
                     if (nxt >= 0).all():
@@ -203,6 +225,7 @@ def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_co
                     stopped = True
                 if need_memo is not None and need_memo[i]:
                     memo[ids[i]] = ok
+                i += 1
             out = pdf.copy()
             out["applied"] = applied
             if halt:
