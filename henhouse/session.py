@@ -19,6 +19,25 @@ ENGINE_CONF = {
 }
 
 
+# Suggested settings for a large cluster (hundreds of executors, ~100 TB of facts).
+# Not applied by default: a cluster session brings its own; pass as ``extra``.
+#  * many shuffle partitions, coalesced by AQE to ~256 MB each, so the few big
+#    shuffles (facts by sale id, by farm) never spill a task;
+#  * 512 MB scan splits over date-clustered parquet files;
+#  * the broadcast threshold stays the size check for dimension joins;
+#  * skewed partitions of a join are split when 5x the median.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "50000",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "henhouse", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app_name)
