@@ -177,8 +177,8 @@ def production_by_category(t: Tables, period: int, as_of) -> DataFrame:
 
 def with_share_of_max(df: DataFrame, col: str, name: str = "bar_pct") -> DataFrame:
     """Bar width of each row against the largest value: the maximum is a one-row
-    global aggregate attached by a broadcast constant-key join (no window that
-    would pull every row into one partition)."""
+    global aggregate attached as a scalar subquery (no window that would pull
+    every row into one partition)."""
     mx = df.agg(F.max(col).alias("__max"))
     return _attach_scalar(df, mx).withColumn(name, X.share_of_max(F.col(col), F.col("__max"))).drop("__max")
 
