@@ -119,8 +119,8 @@ def stock_set_events(t: Tables) -> DataFrame:
                   L.SET, {}, sets={"jumbo": F.lit(0)})
 
 
-def run(events: DataFrame, modes: set[str]) -> DataFrame:
-    return L.fold(events, "farm_id", ORDER, SIZES, modes, chunk="op_date", ref_col="ref")
+def run(events: DataFrame, modes: set[str], speculate: bool = False) -> DataFrame:
+    return L.fold(events, "farm_id", ORDER, SIZES, modes, chunk="op_date", ref_col="ref", speculate=speculate)
 
 
 def stock_running(t: Tables) -> DataFrame:
@@ -128,8 +128,8 @@ def stock_running(t: Tables) -> DataFrame:
     return run(collection_events(t, active_only=True), {L.ADD})
 
 
-def stock_with_sales(t: Tables) -> DataFrame:
-    return run(stock_ops(t), {L.ADD, L.REJECT})
+def stock_with_sales(t: Tables, speculate: bool = False) -> DataFrame:
+    return run(stock_ops(t), {L.ADD, L.REJECT}, speculate)
 
 
 def stock_with_collection_voids(t: Tables) -> DataFrame:
@@ -208,7 +208,7 @@ def bird_ops(t: Tables, with_voids: bool) -> DataFrame:
 
 def bird_fold(t: Tables, with_voids: bool) -> DataFrame:
     modes = {L.ADD, L.REJECT} | ({L.CLAMP} if with_voids else set())
-    return L.fold(bird_ops(t, with_voids), "galpon_id", BIRD_ORDER, ["birds"], modes)
+    return L.fold(bird_ops(t, with_voids), "galpon_id", BIRD_ORDER, ["birds"], modes, chunk="event_date")
 
 
 def bird_adjustments(t: Tables, folded: DataFrame) -> DataFrame:

@@ -130,22 +130,32 @@ def _random_log(seed, modes, n=400, keys=3, days=9):
     return rows
 
 
-@pytest.mark.parametrize("modes,chunked", [
-    (("add",), True),
-    (("add", "clamp"), True),
-    (("add", "reject", "clamp", "set"), False),
-    (("add", "reject", "restore", "replace"), False),
+@pytest.mark.parametrize("modes,chunked,speculate", [
+    (("add",), True, False),
+    (("add", "clamp"), True, False),
+    (("add", "reject"), True, False),
+    (("add", "reject"), True, True),
+    (("add", "reject", "clamp", "set"), False, False),
+    (("add", "reject", "restore", "replace"), False, False),
 ])
-def test_plans_agree_with_brute_force(spark, modes, chunked):
+def test_plans_agree_with_brute_force(spark, modes, chunked, speculate):
     rows = _random_log(7, modes)
     df = _events(spark, rows)
-    got = L.fold(df, "key", ["seq"], ["x"], set(modes), chunk="op_date" if chunked else None, ref_col="ref") \
+    got = L.fold(df, "key", ["seq"], ["x"], set(modes), chunk="op_date" if chunked else None, ref_col="ref",
+                 speculate=speculate) \
         .orderBy("key", "seq").collect()
     want = reference_fold([dict(key=r[0], seq=r[1], op_id=r[3], mode=r[4], ref=r[5], d_x=r[6], v_x=r[7]) for r in rows], ["x"])
     assert [(r.after_x, r.before_x, bool(r.applied)) for r in got] == \
            [(w["after_x"], w["before_x"], bool(w["applied"])) for w in want]
 
 
+def test_speculative_stock_fold_matches(tables_small):
+    cols = ["farm_id", "op_id", "applied"] + [f"after_{s}" for s in ST.SIZES]
+    a = ST.stock_with_sales(tables_small, speculate=True).select(*cols)
+    b = ST.stock_with_sales(tables_small).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
 def test_stock_never_negative_and_conserves(tables_small):
     f = ST.stock_with_sales(tables_small)
     assert f.filter(" OR ".join(f"after_{s} < 0" for s in ST.SIZES)).count() == 0
