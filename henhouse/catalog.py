@@ -45,6 +45,9 @@ def register(name: str, sql: str | None = None):
 
     def deco(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
+            from henhouse.session import ship_package
+
+            ship_package(spark)
             return _fn(Tables.from_testdata(spark, sf_dir))
 
         run.__name__ = f"q_{name}"

@@ -278,8 +278,9 @@ def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes:
         ev = (events.join(refs, (F.col(key) == F.col("__rk")) & (F.col(id_col) == F.col("__rid")), "left")
               .withColumn("__memo", F.col("__rid").isNotNull()).drop("__rk", "__rid"))
         memo_col = "__memo"
-    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ev.repartition(n, key).sortWithinPartitions(key, *order)
+    # by key only: AQE may coalesce small partitions (all rows of a key stay together)
+    ordered = (ev.repartition(partitions, key) if partitions else ev.repartition(key)) \
+        .sortWithinPartitions(key, *order)
     schema = _out_schema(ev, dims, halt_on_error)
     out = ordered.mapInPandas(_fold_batches(key, dims, mode_col, id_col, ref_col, memo_col, halt_on_error), schema)
     return out.drop("__memo") if memo_col else out
@@ -306,8 +307,8 @@ def _speculative(events: DataFrame, key: str, order: list[str], chunk: str, dims
         .select(*events.columns, "applied", *[f"before_{d}" for d in dims], *[f"after_{d}" for d in dims])
     tail_ev = j.filter(F.col("__first").isNotNull() & (pos >= F.col("__first"))) \
         .select(*events.columns, *[F.col(f"__init.init_{d}").alias(f"init_{d}") for d in dims])
-    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tail_ev.repartition(n, key).sortWithinPartitions(key, *order)
+    ordered = (tail_ev.repartition(partitions, key) if partitions else tail_ev.repartition(key)) \
+        .sortWithinPartitions(key, *order)
     schema = _out_schema(tail_ev, dims)
     run = _fold_batches(key, dims, mode_col, id_col, ref_col, None, False,
                         init_cols=[f"init_{d}" for d in dims])
