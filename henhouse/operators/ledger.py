@@ -317,8 +317,9 @@ def _speculative(events: DataFrame, key: str, order: list[str], chunk: str, dims
 
 
 def fold_python(rows: list[dict], dims: list[str], halt: bool = False) -> list[dict]:
-    """Brute-force reference fold over a small list of events already in order
-    (used by tests as the oracle where SQL cannot express the fold)."""
+    """Fold a small in-memory list of events already in (key, order) order with the
+    same step function the Spark plan uses (a driver-side helper for small inputs;
+    the tests check the engine against an independent plain-Python fold)."""
     pdf = pd.DataFrame(rows)
     if "ref" not in pdf.columns:
         pdf["ref"] = None
