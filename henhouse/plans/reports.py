@@ -194,6 +194,20 @@ def sales_by_category(t: Tables, period: int, as_of) -> DataFrame:
     )
 
 
+def report_by_size(t: Tables, period: int, as_of) -> DataFrame:
+    """The per-size part of the report in one table: eggs laid (trailing window) and
+    eggs / money sold per size, sizes without sales kept (full outer join of two
+    five-row aggregates)."""
+    prod = production_by_category(t, period, as_of).select("category", F.col("eggs").alias("produced"))
+    sold = sales_by_category(t, period, as_of).select("category", F.col("eggs").alias("sold"),
+                                                      F.col("total").alias("sales_total"))
+    j = prod.join(sold, "category", "full")
+    return j.select("category", F.coalesce("produced", F.lit(0)).cast("bigint").alias("produced"),
+                    F.coalesce("sold", F.lit(0)).cast("bigint").alias("sold"),
+                    F.coalesce("sales_total", F.lit(0.0)).alias("sales_total"),
+                    X.category_rank("category").alias("category_rank"))
+
+
 def report(t: Tables, period: int, as_of) -> dict[str, DataFrame]:
     """Everything the report screen shows, as separate frames of one plan family."""
     series = report_series(t, period, as_of)
