@@ -68,6 +68,7 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
         streams.conf.set(key, spark.conf.get(key))
     streams.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     streams.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    streams.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     checkpoint = scratch_path(spark, "exact-dedup-state")
     options = {"maxFilesPerTrigger": str(max_files_per_trigger)} if max_files_per_trigger else {}
     groups = (_rows(_file_stream(streams, path, options), digest)
