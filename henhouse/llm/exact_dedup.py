@@ -27,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from henhouse.llm.common import written
 from henhouse.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -88,10 +89,12 @@ def _at(keep: Column) -> Column:
 
 def _failed_hits(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Digests under which some row's full text differs from the retained row's.
-    ``rows`` has the normalised text; only groups of two rows and more take part."""
-    hits = rows.join(state.filter("group_size > 1"), "digest")
-    kept = hits.filter(_at(F.col("keep"))).select("digest", F.col("norm").alias("kept_norm"))
-    return (hits.filter(~_at(F.col("keep"))).join(kept, "digest")
+    ``rows`` has the normalised text; only groups of two rows and more take part, and
+    only their texts are written and compared."""
+    hits = written(rows.join(state.filter("group_size > 1"), "digest")
+                   .select("digest", "norm", _at(F.col("keep")).alias("stays")), "exact-dedup-hits")
+    kept = hits.filter("stays").select("digest", F.col("norm").alias("kept_norm"))
+    return (hits.filter("not stays").join(kept, "digest")
             .filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct())
 
 
