@@ -6,12 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from henhouse.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from henhouse.llm import exact_dedup, packing, quality, sharding, token_files
+from henhouse.llm.common import table
 from henhouse.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.prepared(table(spark, sf_dir, "documents"), F.col("doc_id"))
+    return quality.judge(docs, "doc_id").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "posterior")
+
+
+def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_by_bytes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.documents_via_files(table(spark, sf_dir, "documents"))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return exact_dedup.decide(spark, f"{sf_dir}/documents.parquet").select(
@@ -30,7 +54,7 @@ FROM n WINDOW g AS (PARTITION BY t)
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (
-        op10_exact_dedup,
+        op5_weak_supervision, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
     )}
 
 
