@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from henhouse.llm import exact_dedup, packing, quality, sharding, token_files
+from henhouse.llm import exact_dedup, packing, quality, sharding, substring_dedup, suffix_dedup, token_files
 from henhouse.llm.common import table
 from henhouse.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.prepared(table(spark, sf_dir, "documents"), F.col("doc_id"))
     return quality.judge(docs, "doc_id").select(
@@ -22,6 +26,10 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "posterior")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -54,7 +62,7 @@ FROM n WINDOW g AS (PARTITION BY t)
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (
-        op5_weak_supervision, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
+        op2_super_kmer_dedup, op5_weak_supervision, op6_suffix_dedup, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
     )}
 
 
