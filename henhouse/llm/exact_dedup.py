@@ -88,14 +88,14 @@ def _at(keep: Column) -> Column:
 
 
 def _failed_hits(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Digests under which some row's full text differs from the retained row's.
+    """The digest of each row whose full text differs from the retained row's.
     ``rows`` has the normalised text; only groups of two rows and more take part, and
     only their texts are written and compared."""
     hits = written(rows.join(state.filter("group_size > 1"), "digest")
                    .select("digest", "norm", _at(F.col("keep")).alias("stays")), "exact-dedup-hits")
     kept = hits.filter("stays").select("digest", F.col("norm").alias("kept_norm"))
     return (hits.filter("not stays").join(kept, "digest")
-            .filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct())
+            .filter(F.col("norm") != F.col("kept_norm")).select("digest"))
 
 
 def decide(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256,
@@ -109,10 +109,11 @@ def decide(spark: SparkSession, path: str, digest: Callable[[Column], Column] =
         more.append(F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias("rec"))
     state = stream_state(spark, path, digest, max_files_per_trigger)
     failed = _failed_hits(_rows(raw, digest, normalised(F.col("text")).alias("norm")), state)
-    clash = failed.count()
+    clash = not failed.isEmpty()
     rows = _rows(raw, digest, *more)
     decided = rows.join(state, "digest")
     if clash:
+        failed = failed.distinct()
         by_text = _rows(raw, digest, normalised(F.col("text")).alias("norm"), *more).join(failed, "digest")
         groups = by_text.groupBy("norm").agg(
             F.max(F.struct("doc_id", *LOCATOR)).alias("keep"), F.count("*").alias("group_size"))
