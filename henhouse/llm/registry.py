@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from henhouse.llm import exact_dedup, packing, quality, sharding, substring_dedup, suffix_dedup, token_files
+from henhouse.llm import exact_dedup, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, token_files
 from henhouse.llm.common import table
 from henhouse.session import ship_package
 
@@ -19,6 +19,10 @@ def op2_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_of_each(table(spark, sf_dir, "documents"))
+
+
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.prepared(table(spark, sf_dir, "documents"), F.col("doc_id"))
     return quality.judge(docs, "doc_id").select(
@@ -62,7 +66,7 @@ FROM n WINDOW g AS (PARTITION BY t)
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (
-        op2_super_kmer_dedup, op5_weak_supervision, op6_suffix_dedup, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
+        op2_super_kmer_dedup, op3_ngram_join, op5_weak_supervision, op6_suffix_dedup, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
     )}
 
 
