@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from henhouse.llm import exact_dedup, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, token_files
+from henhouse.llm import exact_dedup, html_extract, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, token_files
 from henhouse.llm.common import table
 from henhouse.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_consensus_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ FROM n WINDOW g AS (PARTITION BY t)
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (
-        op2_super_kmer_dedup, op3_ngram_join, op5_weak_supervision, op6_suffix_dedup, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
+        op1_consensus_extract, op2_super_kmer_dedup, op3_ngram_join, op5_weak_supervision, op6_suffix_dedup, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
     )}
 
 
