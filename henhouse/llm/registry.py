@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from henhouse.llm import exact_dedup, html_extract, ngram_join, packing, quality, sharding, substring_dedup, suffix_dedup, token_files
+from henhouse.llm import exact_dedup, html_extract, ngram_join, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, token_files
 from henhouse.llm.common import table
 from henhouse.session import ship_package
 
@@ -27,6 +27,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_of_each(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.prepared(table(spark, sf_dir, "documents"), F.col("doc_id"))
     return quality.judge(docs, "doc_id").select(
@@ -70,7 +74,7 @@ FROM n WINDOW g AS (PARTITION BY t)
 
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (
-        op1_consensus_extract, op2_super_kmer_dedup, op3_ngram_join, op5_weak_supervision, op6_suffix_dedup, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
+        op1_consensus_extract, op2_super_kmer_dedup, op3_ngram_join, op4_sentencepiece, op5_weak_supervision, op6_suffix_dedup, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
     )}
 
 
