@@ -22,7 +22,7 @@ import numpy as np
 
 SPACE = "▁"
 #: Segments and pairs a worker remembers at most; then it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED, REMEMBERED_PAIRS = 200_000, 600_000
 #: How far below the least score a letter without a piece lies (a fixed value).
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -51,7 +51,7 @@ class PieceModel:
         self.byte_ids = {b: i for i, b in self.bytes_of.items()} if proto.trainer_spec.byte_fallback else {}
         self.silent = {i for i, k in enumerate(kinds) if k == CONTROL}
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k in (NORMAL, USER)}
-        self.scores = {p: np.float32(proto.pieces[i].score) for p, i in self.ids.items()}
+        self.scores = {p: (float if self.merges else np.float32)(proto.pieces[i].score) for p, i in self.ids.items()}
         self.unknown_score = np.float32(min(self.scores.values()) - UNKNOWN_PENALTY)
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
@@ -64,6 +64,7 @@ class PieceModel:
         self._segments = re.compile(f"{SPACE}+[{some}]*|[{some}]+|[^{some}{SPACE}]")
         self._known: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._made: dict[str, tuple[str, str, bool] | None] = {}
         self._raw = [None if i in self.bytes_of or i in self.silent else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
     def normalized(self, text: str) -> str:
@@ -96,43 +97,80 @@ class PieceModel:
         n = len(segment)
         if n == 1:
             return [segment]
-        best: list[np.float32 | None] = [np.float32(0)] + [None] * n
-        reached: list[str] = [""] * (n + 1)
-        ends = [[] for _ in range(n)]
-        for end, piece in self.automaton.iter(segment):
-            ends[end].append(piece)
-        for end in range(n):
-            found = ends[end]
-            if segment[end] not in self.ids:
-                found.append(segment[end])
-            for piece in found:
-                start = end + 1 - len(piece)
-                if best[start] is None or not self._admissible(reached[start], piece):
-                    continue
-                score = best[start] + self.scores.get(piece, self.unknown_score)
-                if best[end + 1] is None or score > best[end + 1]:
-                    best[end + 1], reached[end + 1] = score, piece
+        reached: list[str | None] = [""] + [None] * n
+        found = self.automaton.iter(segment)
+        if odd := [i for i, c in enumerate(segment) if c not in self.ids]:
+            found = sorted([*found, *((i, segment[i]) for i in odd)], key=lambda f: (f[0], -len(f[1])))
+        if self.merges:
+            pairs = self._pairs
+            for end, piece in found:  # the first admissible piece of a position is the only one
+                if reached[end + 1] is None and (before := reached[end + 1 - len(piece)]) is not None:
+                    ok = pairs.get((before, piece))
+                    if ok or ok is None and self._admissible(before, piece):
+                        reached[end + 1] = piece
+        else:
+            best: list[np.float32 | None] = [np.float32(0)] + [None] * n
+            for end, piece in found:
+                if (score := best[end + 1 - len(piece)]) is not None:
+                    score += self.scores.get(piece, self.unknown_score)
+                    if best[end + 1] is None or score > best[end + 1]:
+                        best[end + 1], reached[end + 1] = score, piece
         out, at = [], n
         while at:
             out.append(reached[at])
             at -= len(reached[at])
         return out[::-1]
 
+    # which pieces may follow each other in a byte-pair model
+
     def _admissible(self, before: str, piece: str) -> bool:
-        if not self.merges:
-            return True
-        pair = (before, piece)
-        ok = self._pairs.get(pair)
-        if ok is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            ok = self._pairs[pair] = self._merged(before + piece) == ([before, piece] if before else [piece])
+        if len(self._pairs) >= REMEMBERED_PAIRS:
+            self._pairs.clear()
+        ok = self._pairs[before, piece] = self._stays(piece) and (not before or self._keep_apart(before, piece))
         return ok
 
-    def _merged(self, text: str) -> list[str]:
-        """The merges of a short text: always the best-scored, and the first of equals."""
+    def _stays(self, piece: str) -> bool:
+        return len(piece) == 1 or self._halves(piece) is not None
+
+    def _halves(self, piece: str) -> tuple[str, str, bool] | None:
+        """The last merge that makes ``piece`` of its letters, and whether its parts and
+        theirs were all made by better merges; None if merging does not end there."""
+        if piece not in self._made:
+            parts = self._merged(piece, 2)
+            made = None
+            if len(parts) == 2 and "".join(parts) in self.scores:
+                early = all(len(p) == 1 or self.scores[p] > self.scores[piece] and (h := self._halves(p)) is not None and h[2] for p in parts)
+                made = (*parts, early)
+            self._made[piece] = made
+        return self._made[piece]
+
+    def _keep_apart(self, left: str, right: str) -> bool:
+        """Whether merging ``left + right`` never joins across the border between them. Read
+        backward in time: while the two neighbours of the border stand, a merge of both
+        must not beat the one that made the younger of them; then that one is undone."""
+        for piece in (left, right):
+            if len(piece) > 1 and not self._halves(piece)[2]:
+                return self._merged(left + right) == [left, right]
+        scores, limit, strict = self.scores, None, False
+        while True:
+            across = scores.get(left + right)
+            if across is not None and (limit is None or across > limit or across == limit and not strict):
+                return False
+            a, b = scores.get(left) if len(left) > 1 else None, scores.get(right) if len(right) > 1 else None
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a < b:
+                limit, strict, left = a, True, self._halves(left)[1]
+            elif a is None or b < a:
+                limit, strict, right = b, False, self._halves(right)[0]
+            else:  # the same merge on both sides: the left one came first
+                limit, strict, right = b, False, self._halves(right)[0]
+
+    def _merged(self, text: str, stop: int = 1) -> list[str]:
+        """The merges of a short text, down to ``stop`` parts: always the best-scored, and
+        the first of equals."""
         parts, scores = list(text), self.scores
-        while len(parts) > 1:
+        while len(parts) > stop:
             offers = [(-scores[p], i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in scores]
             if not offers:
                 break

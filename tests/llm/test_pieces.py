@@ -52,6 +52,22 @@ def test_equals_the_library(name, serialized):
         assert own.encode(text) == library.encode(text), (name, text)
 
 
+def test_border_rule_equals_merging():
+    """Whether two pieces keep apart, read off their histories, against merging the two."""
+    own = PieceModel(open(codec.model_path(), "rb").read())
+    rng = random.Random(5)
+    pieces = sorted(p for p in own.ids if own._stays(p))
+    spaces = [p for p in pieces if not p.strip("▁")]
+    short = [p for p in pieces if len(p) < 4]
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(4000)] + [(rng.choice(short), rng.choice(short)) for _ in range(8000)]
+    pairs += [(a, b) for a in spaces for b in spaces + rng.sample(pieces, 60)]
+    assert len({own._keep_apart(a, b) for a, b in pairs}) == 2
+    for a, b in pairs:
+        assert own._keep_apart(a, b) == (own._merged(a + b) == [a, b]), (a, b)
+    for p in rng.sample(sorted(own.ids), 2000):
+        assert own._stays(p) == (own._merged(p) == [p])
+
+
 def test_round_trip():
     own = PieceModel(open(codec.model_path(), "rb").read())
     for text in _texts():
@@ -60,6 +76,7 @@ def test_round_trip():
 
 def test_memory_limit_changes_nothing(monkeypatch):
     monkeypatch.setattr("henhouse.llm.pieces.REMEMBERED", 3)
+    monkeypatch.setattr("henhouse.llm.pieces.REMEMBERED_PAIRS", 3)
     serialized = open(codec.model_path(), "rb").read()
     library, own = _library(serialized), PieceModel(serialized)
     for text in ODD:
