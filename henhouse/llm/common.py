@@ -16,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed_texts(docs: DataFrame, unique_ids: bool = False) -> DataFrame:
-    """``doc_id``, ``tie``, ``text`` of ``docs`` (null text: empty).
+def keyed_texts(docs: DataFrame, unique_ids: bool = False, *carried: Column) -> DataFrame:
+    """``doc_id``, ``tie``, ``text`` of ``docs`` (null text: empty), and ``carried``.
 
     (doc_id, tie) is the key of a document: ``tie`` hashes the text, so rows that share
     a doc_id but not the text stay apart in a fixed order, and rows equal in both are
@@ -26,7 +26,7 @@ def keyed_texts(docs: DataFrame, unique_ids: bool = False) -> DataFrame:
     are left behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     tie = F.lit(0).cast("long") if unique_ids else F.xxhash64(text)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tie.alias("tie"), text.alias("text"), *carried)
 
 
 def extent(docs: DataFrame) -> tuple[bool, int]:

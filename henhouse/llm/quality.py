@@ -12,7 +12,7 @@ group of copies matters.
 
 Defined results: a null or empty text has zero counts and fails the base rule; repeated
 rows and equal doc_ids are judged each by itself; an empty table gives an empty result;
-other columns are ignored in ``judge`` and carried in ``keep_good``.
+other columns are carried, whatever their names in ``keep_good``.
 """
 
 from __future__ import annotations
@@ -108,20 +108,18 @@ def counts(texts: Texts) -> dict[str, np.ndarray]:
     }
 
 
-def with_counts(docs: DataFrame, *carried: str) -> DataFrame:
-    """The ``carried`` columns of ``docs`` with the counts of its column ``text``."""
-    fields = [docs.schema[c] for c in carried]
-
+def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs``, all columns, with the counts of the column ``text``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, texts in blocks(batch):
+            for at, end, texts in blocks(batch, text):
                 found = counts(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(at, end - at) for c in carried]
-                    + [pa.array(found[c].astype(np.int64)) for c in COUNTS], [*carried, *COUNTS])
+                    [*batch.slice(at, end - at).columns, *[pa.array(found[c].astype(np.int64)) for c in COUNTS]],
+                    [*batch.schema.names, *COUNTS])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{c} long" for c in COUNTS])
-    return docs.select(*carried, "text").mapInArrow(count, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{c} long" for c in COUNTS])
+    return docs.mapInArrow(count, schema)
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
@@ -144,19 +142,19 @@ def rules() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200,
-             trust: float = 0.85, weight: float = 0.05) -> dict[tuple[int, ...], float]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500,
+             trust: tuple[float, float] = (0.3, 0.98), good: float = 0.85, weight: float = 0.002) -> dict[tuple[int, ...], float]:
     """The posterior of every pattern of votes after expectation-maximisation.
 
-    Every rule starts, for either class, at a chance ``trust`` of voting right; that
-    belief counts as ``weight`` times the documents, so it also names the classes."""
+    ``trust`` is what is believed of each rule beforehand: the chance that it votes bad on
+    a bad document (it knows one kind of fault only), and good on a good one. The belief
+    counts as ``weight`` times the documents and 5 more, and also names the classes."""
     if not patterns:
         return {}
     votes = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
-    belief = weight * n.sum() + 1
-    right = np.full((2, votes.shape[1]), trust)  # chance that a vote is right, by class
-    good = 0.8
+    belief, first = weight * n.sum() + 5, good
+    right = np.repeat(np.array(trust)[:, None], votes.shape[1], axis=1)  # by class
     said = [votes == BAD, votes == GOOD]
     for _ in range(rounds):
         log = [np.log(p) + said[y] @ np.log(right[y]) + said[1 - y] @ np.log(1 - right[y])
@@ -164,21 +162,22 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200,
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
         was = right
         mass = [n * (1 - post), n * post]
-        right = np.array([(mass[y] @ said[y] + trust * belief) / (mass[y] @ (said[0] | said[1]) + belief) for y in (0, 1)])
-        good = (mass[1].sum() + 0.8 * belief) / (n.sum() + belief)
+        right = np.array([(mass[y] @ said[y] + trust[y] * belief) / (mass[y] @ (said[0] | said[1]) + belief) for y in (0, 1)])
+        good = (mass[1].sum() + first * belief) / (n.sum() + belief)
         if np.abs(right - was).max() < 1e-9:
             break
     return {tuple(int(v) for v in p): float(q) for (p, _), q in zip(patterns, post)}
 
 
-def judge(docs: DataFrame, *carried: str) -> DataFrame:
-    """The ``carried`` columns of ``docs`` with the counts, ``base_failed``, ``posterior``
-    and ``kept``. ``docs`` needs a column ``text`` without nulls."""
+def judge(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the counts, ``base_failed``, ``posterior`` and ``kept``; the column
+    ``text`` is left out unless ``keep_text``. No column may be named as these are."""
     votes = [F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN).cast("int").alias(f"vote_{name}")
              for name, (bad, good) in rules().items()]
     names = [f"vote_{name}" for name in rules()]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = written(with_counts(docs, *carried).withColumn("base_failed", failed).select("*", *votes), "quality-counts")
+    counted = with_counts(docs, text).withColumn("base_failed", failed).select("*", *votes)
+    judged = written(counted if keep_text else counted.drop(text), "quality-counts")
     seen = judged.groupBy(*names).count().collect()
     posterior = estimate(sorted((tuple(r[c] for c in names), r["count"]) for r in seen))
     table = docs.sparkSession.createDataFrame(
@@ -187,11 +186,9 @@ def judge(docs: DataFrame, *carried: str) -> DataFrame:
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop(*names))
 
 
-def prepared(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(*more, F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")
-    return judge(prepared(docs, whole), "rec").filter("kept").select("rec.*")
+    named = {f"column_{i}": c for i, c in enumerate(docs.columns)}
+    text = next(n for n, c in named.items() if c == "text")
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in named.items()])
+    return judge(rows, text, keep_text=True).filter("kept").select(*[F.col(n).alias(c) for n, c in named.items()])

@@ -32,8 +32,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality.prepared(table(spark, sf_dir, "documents"), F.col("doc_id"))
-    return quality.judge(docs, "doc_id").select(
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "posterior")
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from henhouse.llm.common import NULL_ID, extent, keyed_texts
@@ -129,15 +129,15 @@ def runs(valid: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 Cut = Callable[[Texts], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]
 
 
-def repeats(docs: DataFrame, window: int, cut: Cut,
-            settle: Callable[[Segments], Iterator[pa.RecordBatch]]) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, tie, text) and the ranges of places covered by windows that
-    start earlier elsewhere. ``settle`` gets a bucket's distinct segments and yields the
-    ranges of the windows that are not the first of their kind."""
+def repeats(docs: DataFrame, window: int, cut: Cut, settle: Callable[[Segments], Iterator[pa.RecordBatch]],
+            *carried: Column) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, tie, text, and ``carried``) and the ranges of places covered
+    by windows that start earlier elsewhere. ``settle`` gets a bucket's distinct segments
+    and yields the ranges of the windows that are not the first of their kind."""
     spark = docs.sparkSession
     unique, size = extent(docs)
     buckets = max(1, round(size * GROWTH / BUCKET_BYTES))
-    texts = keyed_texts(docs, unique).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    texts = keyed_texts(docs, unique, *carried).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +182,7 @@ def repeats(docs: DataFrame, window: int, cut: Cut,
             yield from _settled(held, window, settle)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = (texts.mapInArrow(ship, "bucket long, blob binary")
+    found = (texts.select("doc_id", "tie", "text").mapInArrow(ship, "bucket long, blob binary")
              .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(search, RANGES))
     return texts, found
 

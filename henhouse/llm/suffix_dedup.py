@@ -238,28 +238,49 @@ def _indexed(segments: Segments, window: int) -> Iterator[pa.RecordBatch]:
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _apply(with_text: bool):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, end, texts in blocks(batch):
-                gone = marked(batch.column("spans").slice(at, end - at), texts.bounds)
-                before = np.concatenate(([False], gone[:-1]))[:len(gone)]
-                starts = texts.bounds[:-1][np.diff(texts.bounds) > 0]
-                before[starts] = False
-                n_gone, n_runs = texts.per_text(gone), texts.per_text(gone & ~before)
-                data, edges = texts.data[~gone].tobytes(), np.diff(texts.bounds) - n_gone
-                edges = np.concatenate(([0], np.cumsum(edges))).tolist()
-                parts = [data[a:b] for a, b in zip(edges, edges[1:])]
-                cols = [batch.column("doc_id").slice(at, end - at), pa.array(np.diff(texts.bounds)), pa.array(n_gone),
-                        pa.array(n_runs), pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())]
-                if with_text:
-                    cols += [batch.column("rec").slice(at, end - at), pa.array([p.decode("utf-8", "ignore") for p in parts], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rec", "kept_text"][:len(cols)])
-    return apply
+def _left(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Texts, np.ndarray, list[bytes]]]:
+    """Blocks of rows with ``text`` and ``spans``: first row, end row, texts, which bytes
+    are marked, and what is left of each text."""
+    for at, end, texts in blocks(batch):
+        gone = marked(batch.column("spans").slice(at, end - at), texts.bounds)
+        data = texts.data[~gone].tobytes()
+        edges = np.concatenate(([0], np.cumsum(np.diff(texts.bounds) - texts.per_text(gone)))).tolist()
+        yield at, end, texts, gone, [data[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, end, texts, gone, parts in _left(batch):
+            before = np.concatenate(([False], gone[:-1]))[:len(gone)]
+            before[texts.bounds[:-1][np.diff(texts.bounds) > 0]] = False
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(at, end - at), pa.array(np.diff(texts.bounds)), pa.array(texts.per_text(gone)),
+                 pa.array(texts.per_text(gone & ~before)), pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts, found = repeats(docs, window, cutter(window, GRAM), settler(window, GRAM))
-    out = with_ranges(texts, found).select("doc_id", "text", "spans").mapInArrow(_apply(False), OUT)
+    out = with_ranges(texts, found).select("doc_id", "text", "spans").mapInArrow(_digests, OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+
+
+def shorten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs``, all columns, with what is left of each text, ``n_chars`` (if it is there)
+    counted anew. Every row stays, if need be with an empty text."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rec")
+    texts, found = repeats(docs, window, cutter(window, GRAM), settler(window, GRAM), others)
+    schema = f"rec {texts.schema['rec'].dataType.simpleString()}, kept_text string"
+    left = with_ranges(texts, found).select("rec", "text", "spans").mapInArrow(_shorten, schema)
+    columns = [F.col("kept_text").alias(c) if c == "text" else
+               F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rec.`{c}`")
+               for c in docs.columns]
+    return left.select(*columns)
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, end, _, _, parts in _left(batch):
+            yield pa.RecordBatch.from_arrays([batch.column("rec").slice(at, end - at),
+                                              pa.array([p.decode("utf-8", "ignore") for p in parts], pa.string())], ["rec", "kept_text"])

@@ -124,7 +124,9 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 
 
 def of_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and bounds of a string column without nulls."""
+    """Bytes and bounds of a string column; a null is empty."""
+    if column.null_count:
+        column = column.fill_null("")
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, bounds, data = column.buffers()
     bounds = np.frombuffer(bounds, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)

@@ -5,7 +5,6 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from henhouse.llm import quality
 from henhouse.llm.words import blocks
@@ -49,7 +48,7 @@ def test_counts_match_brute_force_in_any_block_size():
 
 
 def test_query_on_awkward_rows(spark, awkward, awkward_docs):
-    got = quality.judge(quality.prepared(awkward_docs, F.col("doc_id")), "doc_id").toPandas()
+    got = quality.judge(awkward_docs.select("doc_id", "text")).toPandas()
     assert len(got) == len(awkward)
     want = Counter((d, *brute(t).values()) for d, t, *_ in awkward)
     have = Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines,
@@ -61,7 +60,7 @@ def test_query_on_awkward_rows(spark, awkward, awkward_docs):
 
 
 def test_empty_table(spark, no_docs):
-    assert quality.judge(quality.prepared(no_docs, F.col("doc_id")), "doc_id").count() == 0
+    assert quality.judge(no_docs).count() == 0
     assert quality.keep_good(no_docs).columns == no_docs.columns
 
 
@@ -88,7 +87,7 @@ def test_estimate_recovers_planted_accuracies():
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_posterior_agrees_with_held_out_labels(spark, sf):
     d = f"/root/testdata/{sf}"
-    got = quality.judge(quality.prepared(spark.read.parquet(f"{d}/documents.parquet"), F.col("doc_id")), "doc_id").toPandas()
+    got = quality.judge(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).toPandas()
     labels = duckdb.sql(f"select doc_id, quality from '{d}/labels.parquet'").df()
     both = got[~got.base_failed].merge(labels, on="doc_id")
     said, truth = both.posterior >= 0.5, both.quality == 1
