@@ -46,3 +46,21 @@ def ngram_components(rows, percent=80):
         s = shingles(t)
         out.append((d, len(s), min(least[root(at[s])], default=None) if s else d))
     return out
+
+
+def repeats(rows, units, window):
+    """rows: (key, text); ``units`` splits a text. For each key: units, and which are covered
+    by a window that also starts earlier, in the order of (key, place)."""
+    texts = {k: units(t) for k, t in rows}
+    first = {}
+    for k in sorted(texts):
+        for i in range(len(texts[k]) - window + 1):
+            first.setdefault(tuple(texts[k][i:i + window]), (k, i))
+    out = {}
+    for k, u in texts.items():
+        gone = [False] * len(u)
+        for i in range(len(u) - window + 1):
+            if first[tuple(u[i:i + window])] != (k, i):
+                gone[i:i + window] = [True] * window
+        out[k] = (u, gone)
+    return out
