@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, with_ids: b
             texts = batch.column("text").to_pylist()
             for doc, tie, ids in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(),
                                      encode(name, texts)):
-                ids = np.append(ids, np.uint32(end_id))
+                ids = np.append(ids, ids.dtype.type(end_id))
                 for at in range(0, len(ids), size):
                     part = ids[at:at + size].astype("<u4")
                     row = (doc, tie, at, len(part), zlib.crc32(part.tobytes()), len(ids), part)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from henhouse.llm.common import NULL_ID, keyed_texts
 from henhouse.llm.elias_fano import EliasFano, encode as elias_fano
-from henhouse.llm.tokens import byte_bpe_path, encode, id_type, ship
+from henhouse.llm.tokens import byte_bpe_path, encode, encoder, ship
 from henhouse.session import scratch_path
 
 MAGIC = b"HHTOKEF1"
@@ -87,8 +87,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(name, batch.column("text").to_pylist())):
                 if writer is None:
-                    writer = _Writer(fs, f"{root}/{part:06d}-{len(made):06d}.ids", id_type(name))
-                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+                    writer = _Writer(fs, f"{root}/{part:06d}-{len(made):06d}.ids", encoder(name).dtype)
+                writer.add(doc_id, np.append(ids, ids.dtype.type(end_id)))
                 if writer.total >= ids_per_file:
                     made.append(writer.close())
                     writer = None

@@ -1,7 +1,14 @@
-"""Token ids by a public vocabulary file, for the operators that write or pack them."""
+"""Token ids by a public vocabulary file, for the operators that write or pack them.
+
+The ids are the tokenizers library's. Where its file describes plain byte-level BPE, a text
+is cut before every space that a letter, digit or other visible sign follows: the library's
+splitting rule always starts a new word there, so the ids of the parts, one after the other,
+are the ids of the text. Parts recur, and a worker remembers the ids of those it met last.
+Other files, and texts that hold an added token, go to the library whole."""
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -9,9 +16,10 @@ import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
-#: Characters handed to the tokenizer at once.
+#: Characters encoded at once.
 CALL_CHARS = 1 << 20
-_LOADED: dict[str, object] = {}
+#: Parts a worker remembers: at most twice as many.
+REMEMBERED = 250_000
 
 
 def byte_bpe_path() -> str:
@@ -26,29 +34,115 @@ def ship(spark: SparkSession, path: str) -> str:
     return os.path.basename(path)
 
 
-def _tokenizer(name: str):
-    if name not in _LOADED:
+def _visible(piece: str) -> bool:
+    """Whether it is plain that ``piece`` begins with something other than white space."""
+    return piece != "" and ("!" <= piece[0] <= "~" or piece[0].isalnum())
+
+
+class Encoder:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[name] = Tokenizer.from_file(SparkFiles.get(name))
+        self._library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        split, model = described.get("pre_tokenizer") or {}, described.get("model") or {}
+        self._added = [t["content"] for t in described.get("added_tokens") or []]
+        self._by_parts = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                          and not described.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout"))
+        #: The narrowest of uint16 and uint32 that holds every id.
+        self.dtype = np.dtype("<u2" if self._library.get_vocab_size() <= 1 << 16 else "<u4")
+        # byte-level pieces are written with one sign for each byte
+        self._bytes_of = np.zeros(self._library.get_vocab_size(), np.int64)
+        for token, i in self._library.get_vocab().items():
+            self._bytes_of[i] = len(token)
+        #: Ids by part: a text's first part with a space before it, others without theirs.
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """``text`` cut before each space that something visible follows."""
+        pieces = text.split(" ")
+        out = [" " + pieces[0]]
+        for piece in pieces[1:]:
+            if _visible(piece):
+                out.append(piece)
+            else:
+                out[-1] += " " + piece
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        made = {p: self._old[p] for p in missing if p in self._old}
+        heads = sorted(p for p in missing if p[0] == " " and p not in made)
+        made |= zip(heads, (ids.tobytes() for ids in self._whole([p[1:] for p in heads])))
+        rest = sorted(p for p in missing if p not in made)
+        if rest:  # in one call, told apart again by their bytes
+            ids = self._whole(["".join(" " + p for p in rest)])[0]
+            ends = np.cumsum(self._bytes_of[ids])
+            cuts = np.searchsorted(ends, np.cumsum([1 + len(p.encode()) for p in rest])) + 1
+            raw, width, low = ids.tobytes(), self.dtype.itemsize, 0
+            for p, cut in zip(rest, cuts.tolist()):
+                made[p] = raw[low * width:cut * width]
+                low = cut
+        if len(self._young) + len(made) > REMEMBERED:
+            self._young, self._old = {}, self._young
+        self._young |= made
+        return made
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, whole, without special tokens."""
+        if not self._by_parts:
+            return self._whole(texts)
+        cut, found, missing, get = [], [], set(), self._young.get
+        for text in texts:
+            if any(a in text for a in self._added):
+                cut.append(None)
+                found.append(None)
+                continue
+            parts = text.split(" ")
+            parts[0] = " " + parts[0]
+            ids = list(map(get, parts))
+            if None in ids:
+                unknown = [p for p, i in zip(parts, ids) if i is None]
+                if not all(p[:1] == " " or _visible(p) for p in unknown):
+                    parts = self.parts(text)
+                    ids = list(map(get, parts))
+                    unknown = [p for p, i in zip(parts, ids) if i is None]
+                missing.update(unknown)
+            cut.append(parts)
+            found.append(ids)
+        made = self._learn(missing) if missing else {}
+        out = []
+        for text, parts, ids in zip(texts, cut, found):
+            if parts is None:
+                out += self._whole([text])
+            else:
+                out.append(np.frombuffer(b"".join([made[p] if i is None else i for p, i in zip(parts, ids)] if None in ids else ids), self.dtype))
+        return out
+
+
+_LOADED: dict[str, Encoder] = {}
+
+
+def encoder(name: str) -> Encoder:
+    """The worker's encoder for a file sent by ``ship``."""
+    if name not in _LOADED:
+        _LOADED[name] = Encoder(SparkFiles.get(name))
     return _LOADED[name]
 
 
-def id_type(name: str) -> np.dtype:
-    """The narrowest of uint16 and uint32 that holds every id."""
-    return np.dtype("<u2" if _tokenizer(name).get_vocab_size() <= 1 << 16 else "<u4")
-
-
 def encode(name: str, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The ids (uint32) of each text, whole; a null text is empty. No special tokens."""
-    tokenizer = _tokenizer(name)
-    at = 0
+    """The ids of each text; a null text is empty."""
+    own, at = encoder(name), 0
     while at < len(texts):
         end, chars = at, 0
         while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CALL_CHARS):
             chars += len(texts[end] or "")
             end += 1
-        for e in tokenizer.encode_batch_fast([t or "" for t in texts[at:end]], add_special_tokens=False):
-            yield np.array(e.ids, np.uint32)
+        yield from own.encode([t or "" for t in texts[at:end]])
         at = end

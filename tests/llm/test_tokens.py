@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from henhouse.llm import elias_fano, packing, token_files
 from henhouse.session import scratch_path
+from tests.llm.conftest import awkward_texts
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -105,3 +106,26 @@ def test_little_padding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = packing.pack(docs).selectExpr("sum(length) / (count(distinct sequence_id) * 2048)").first()
     assert r[0] > 0.99
+
+
+ODD = ["", " ", "  ", "a  b", "a \n b", "\n\n x", "tab\t y", "it's  we'll ' s", "x   y　z  w", "\x1c a\x1d b \x85 c", "日本 語 é à",
+       "end <|endoftext|> mid <|endoftext|>", "a ▁ b 🙂 c", "1 22 333 4444", "!!! ??? ... , ,", "​ x ​", "a\r\n b", " lead", "trail ", "ʼ ² ½ Ⅷ"]
+
+
+@pytest.mark.parametrize("remembered", [250_000, 5])
+def test_parts_give_the_library_s_ids(monkeypatch, remembered):
+    monkeypatch.setattr("henhouse.llm.tokens.REMEMBERED", remembered)
+    from henhouse.llm.tokens import Encoder
+
+    rng = random.Random(4)
+    pool = ["a", "the", "é", "日", "🙂", "'s", "12", " ", "  ", "\n", "\t", " ", "　", "\x1c", ".", ",,", "%", "​", "ß-x"]
+    texts = ODD + ["".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts += [t or "" for _, t, *_ in awkward_texts()]
+    for file in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(public_tokenizers.path(file))
+        own = Encoder(public_tokenizers.path(file))
+        for size in (1, 100):
+            for i in range(0, len(texts), size):
+                part = texts[i:i + size]
+                for t, ids in zip(part, own.encode(part)):
+                    assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
