@@ -54,7 +54,7 @@ LETTERLIKE = LETTERS | (np.arange(256) >= 128)
 def _known_words() -> np.ndarray:
     joined = [w.encode() for w in sorted(set(FUNCTION_WORDS))]
     ends = np.cumsum([len(w) for w in joined])
-    sums = prefix_sums(np.frombuffer(b"".join(joined), np.uint8).astype(np.uint64) + np.uint64(1))
+    sums = prefix_sums(np.frombuffer(b"".join(joined), np.uint8))
     return np.sort(span_hash(sums, np.concatenate(([0], ends[:-1])), ends))
 
 

@@ -27,11 +27,29 @@ from henhouse.llm.common import NULL_ID, extent, keyed_texts
 from henhouse.llm.words import Texts, blocks, mix
 
 #: Bytes of text cut at once, and bytes of segments a bucket gathers before it joins equal ones.
-CUT_BYTES, GATHER_BYTES = 3 << 20, 24 << 20
+CUT_BYTES, GATHER_BYTES = 2 << 20, 16 << 20
 #: Bytes of segments aimed at in a bucket; with about 3.3 bytes of segment for each of text.
-BUCKET_BYTES, GROWTH = 12 << 20, 3.3
+BUCKET_BYTES, GROWTH = 8 << 20, 3.3
 RANGES = "doc_id long, tie long, low long, high long"
-_CODEC = pa.Codec("zstd", compression_level=1)
+_CODEC = pa.Codec("zstd", compression_level=5)
+
+
+def squeezed(raw: bytes) -> bytes:
+    return struct.pack("<I", len(raw)) + _CODEC.compress(raw, asbytes=True)
+
+
+def restored(blob: bytes) -> bytes:
+    return _CODEC.decompress(blob[4:], struct.unpack_from("<I", blob)[0], asbytes=True)
+
+
+def slices(sizes: np.ndarray, most: int = CUT_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive items whose sizes make up about ``most``: first and end of each slice."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield at, to
+        at = to
 
 
 @dataclass
@@ -48,6 +66,9 @@ class Segments:
 
     NUMBERS = (("doc", "<i8"), ("tie", "<i8"), ("start", "<i8"), ("windows", "<i4"), ("off", "<i2"))
 
+    def sizes(self) -> np.ndarray:
+        return np.fromiter(map(len, self.text), np.int64, len(self.text))
+
     def take(self, which: np.ndarray) -> Segments:
         return Segments(*[getattr(self, n)[which] for n, _ in self.NUMBERS], [self.text[i] for i in which.tolist()])
 
@@ -57,14 +78,14 @@ class Segments:
                         [t for p in parts for t in p.text])
 
     def packed(self) -> bytes:
-        sizes = np.fromiter(map(len, self.text), "<u4", len(self.text))
+        sizes = self.sizes().astype("<u4")
         raw = b"".join([struct.pack("<I", len(self.text)), *[getattr(self, n).astype(t).tobytes() for n, t in self.NUMBERS],
                         sizes.tobytes(), *self.text])
-        return struct.pack("<I", len(raw)) + _CODEC.compress(raw, asbytes=True)
+        return squeezed(raw)
 
     @staticmethod
     def unpacked(blob: bytes) -> Segments:
-        raw = _CODEC.decompress(blob[4:], struct.unpack_from("<I", blob)[0], asbytes=True)
+        raw = restored(blob)
         n, at, cols = struct.unpack_from("<I", raw)[0], 4, []
         for _, kind in (*Segments.NUMBERS, ("", "<u4")):
             cols.append(np.frombuffer(raw, kind, n, at))
@@ -192,13 +213,11 @@ _KNOWN = b"\xff\xff\xff\xff"
 
 
 def _packed_ranges(found: pa.RecordBatch) -> bytes:
-    raw = b"".join(np.asarray(c).astype("<i8").tobytes() for c in found.columns)
-    return struct.pack("<I", len(raw)) + _CODEC.compress(raw, asbytes=True)
+    return squeezed(b"".join(np.asarray(c).astype("<i8").tobytes() for c in found.columns))
 
 
 def _unpacked_ranges(blob: bytes) -> pa.RecordBatch:
-    raw = _CODEC.decompress(blob[4:], struct.unpack_from("<I", blob)[0], asbytes=True)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(raw, "<i8").reshape(4, -1)],
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in np.frombuffer(restored(blob), "<i8").reshape(4, -1)],
                                       ["doc_id", "tie", "low", "high"])
 
 
@@ -209,10 +228,29 @@ def _settled(held: list[Segments], window: int, settle) -> Iterator[pa.RecordBat
 
 
 def with_ranges(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``texts`` with ``spans``: the ranges of each document, packed as low << 32 | high."""
+    """``texts`` with the text compressed (``packed``) and ``spans``: the ranges of each
+    document, as low << 32 | high. Texts cross the exchange of this join compressed; read
+    them with ``with_texts``."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            blobs = [squeezed(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.set_column(at, "packed", pa.array(blobs, pa.binary()))
+
+    fields = ", ".join("packed binary" if f.name == "text" else f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
     packed = F.shiftleft(F.col("low"), 32).bitwiseOR(F.col("high")).alias("span")
     spans = found.select("doc_id", "tie", packed).groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))
-    return texts.join(spans, ["doc_id", "tie"], "left")
+    return texts.mapInArrow(pack, fields).join(spans, ["doc_id", "tie"], "left")
+
+
+def with_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` with the bytes of the text in place of ``packed``."""
+    at = batch.schema.get_field_index("packed")
+    blobs = batch.column(at).to_pylist()
+    sizes = np.fromiter((struct.unpack_from("<I", b)[0] for b in blobs), np.int64, len(blobs))
+    for a, b in slices(sizes):
+        texts = [restored(z) for z in blobs[a:b]]
+        yield batch.slice(a, b - a).set_column(at, "text", pa.array(texts, pa.binary()))
 
 
 def marked(spans: pa.Array, bounds: np.ndarray) -> np.ndarray:

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from henhouse.llm.common import NULL_ID
-from henhouse.llm.segments import Segments, marked, ranges, repeats, runs, sliding_min, with_ranges
+from henhouse.llm.segments import Segments, marked, ranges, repeats, runs, slices, sliding_min, with_ranges, with_texts
 from henhouse.llm.words import Texts, blocks, windows
 
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM = 20, 3
 
 
 def joined_words(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +72,28 @@ def _same_spans(data: bytes, low: np.ndarray, high: np.ndarray, other_low: np.nd
                        bool, len(low))
 
 
+def _windows_of(segments: Segments, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Hash, segment, place, and first and end byte (among the joined segments) of every
+    window, a slice of the segments at a time."""
+    sizes = segments.sizes()
+    before = 0
+    for a, b in slices(sizes):
+        bounds = np.concatenate(([0], np.cumsum(sizes[a:b])))
+        texts = Texts(np.frombuffer(b"".join(segments.text[a:b]), np.uint8), bounds)
+        starts, hashes = windows(texts.first, texts.word_hashes(), window)
+        own = texts.text_of_word()[starts]
+        yield (hashes, own + a, segments.start[a:b][own] + starts - texts.first[own],
+               texts.starts[starts] + before, texts.ends[starts + window - 1] + before)
+        before += int(bounds[-1])
+
+
 def settler(window: int):
     def settle(segments: Segments) -> Iterator[pa.RecordBatch]:
         """The ranges of the windows that are not the first of their kind in the bucket."""
-        data = np.frombuffer(b"".join(segments.text), np.uint8)
-        bounds = np.zeros(len(segments.text) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, segments.text), np.int64, len(segments.text)), out=bounds[1:])
-        texts = Texts(data, bounds)
-        starts, hashes = windows(texts.first, texts.word_hashes(), window)
-        segment = texts.text_of_word()[starts]
-        place = segments.start[segment] + starts - texts.first[segment]
-        order = np.lexsort((place, segments.tie[segment], segments.doc[segment], hashes)) if len(starts) else starts
+        if not segments.text:
+            return
+        hashes, segment, place, low, high = (np.concatenate(c) for c in zip(*_windows_of(segments, window)))
+        order = np.lexsort((place, segments.tie[segment], segments.doc[segment], hashes))
         hashes = hashes[order]
         again = np.zeros(len(order), bool)
         again[1:] = hashes[1:] == hashes[:-1]
@@ -91,8 +102,7 @@ def settler(window: int):
         leader = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
         again = np.flatnonzero(again)
         mine, its = order[again], order[leader[again]]
-        low, high = texts.starts[starts], texts.ends[starts + window - 1]
-        data = data.tobytes()
+        data = b"".join(segments.text)
         same = _same_spans(data, low[mine], high[mine], low[its], high[its])
         if not same.all():  # two contents under one hash: tell them apart by the words
             groups: dict[bytes, int] = {}
@@ -115,7 +125,7 @@ OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _apply(with_text: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in with_texts(whole)):
             for at, end, texts in blocks(batch):
                 ids = batch.column("doc_id").slice(at, end - at)
                 spans = batch.column("spans").slice(at, end - at)
@@ -140,6 +150,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and ``kept_text``,
     the kept words joined by one space)."""
     texts, found = repeats(docs, window, cutter(window, gram), settler(window))
-    out = (with_ranges(texts, found).select("doc_id", "text", "spans")
+    out = (with_ranges(texts, found).select("doc_id", "packed", "spans")
            .mapInArrow(_apply(with_text), OUT + (", kept_text string" if with_text else "")))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from henhouse.llm.common import NULL_ID
-from henhouse.llm.segments import Segments, marked, ranges, repeats, runs, sliding_min, with_ranges
+from henhouse.llm.segments import Segments, marked, ranges, repeats, runs, slices, sliding_min, with_ranges, with_texts
 from henhouse.llm.words import Texts, blocks, mix, prefix_sums, span_hash
 
 WINDOW, GRAM = 100, 16
 #: Bytes indexed together; a single group of segments that share a minimiser may be larger.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 #: Stands between segments; no byte of UTF-8.
 END = 0xFF
 PLACE_BITS = np.uint64(31)
@@ -97,18 +97,23 @@ def candidates(segments: Segments, window: int, gram: int) -> tuple[np.ndarray,
     """Which segments may hold a string that another place of the bucket also holds, and
     the minimiser of each: strings of ``window`` bytes around the same minimiser share at
     least half of what is left of them on its left or on its right."""
-    sizes = np.fromiter(map(len, segments.text), np.int64, len(segments.text))
-    ends = np.cumsum(sizes)
-    begin = ends - sizes
-    sums = prefix_sums(np.frombuffer(b"".join(segments.text), np.uint8).astype(np.uint64) + np.uint64(1))
+    sizes = segments.sizes()
     half = (window - gram) // 2
-    at = begin + np.maximum(segments.off, 0)
     single = segments.off >= 0
-    core = span_hash(sums, at, np.minimum(at + gram, ends))
-    may = ~single
-    for low, high, fits in ((at - half, at + gram, segments.off >= half), (at, at + gram + half, at + gram + half <= ends)):
-        which = np.flatnonzero(single & fits)
-        key = span_hash(sums, low[which], high[which])
+    may, core = ~single, np.zeros(len(sizes), np.uint64)
+    keys, owners = ([], []), ([], [])
+    for a, b in slices(sizes):
+        ends = np.cumsum(sizes[a:b])
+        begin = ends - sizes[a:b]
+        off = segments.off[a:b]
+        sums = prefix_sums(np.frombuffer(b"".join(segments.text[a:b]), np.uint8))
+        at = begin + np.maximum(off, 0)
+        core[a:b] = span_hash(sums, at, np.minimum(at + gram, ends))
+        for side, (low, high, fits) in enumerate(((at - half, at + gram, off >= half), (at, at + gram + half, at + gram + half <= ends))):
+            which = np.flatnonzero(single[a:b] & fits)
+            keys[side].append(span_hash(sums, low[which], high[which]))
+            owners[side].append(which + a)
+    for key, which in zip(map(np.concatenate, keys), map(np.concatenate, owners)):
         _, back, n = np.unique(key, return_inverse=True, return_counts=True)
         may[which[n[back] > 1]] = True
     # a minimiser that occurs twice inside one segment: keep all segments that have it
@@ -121,7 +126,7 @@ def candidates(segments: Segments, window: int, gram: int) -> tuple[np.ndarray,
 
 
 def _grams(text: bytes, gram: int) -> np.ndarray:
-    sums = prefix_sums(np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1))
+    sums = prefix_sums(np.frombuffer(text, np.uint8))
     starts = np.arange(len(text) - gram + 1)
     return span_hash(sums, starts, starts + gram)
 
@@ -208,7 +213,7 @@ def settler(window: int, gram: int):
 
 def _indexed(segments: Segments, window: int) -> Iterator[pa.RecordBatch]:
     data = np.frombuffer(bytes([END]).join(segments.text) + bytes([END]), np.uint8)
-    sizes = np.fromiter(map(len, segments.text), np.int64, len(segments.text)) + 1
+    sizes = segments.sizes() + 1
     begin = np.cumsum(sizes) - sizes
     depth = 8
     while depth < window:
@@ -249,7 +254,7 @@ def _left(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Texts, np.ndarray,
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in with_texts(whole)):
         for at, end, texts, gone, parts in _left(batch):
             before = np.concatenate(([False], gone[:-1]))[:len(gone)]
             before[texts.bounds[:-1][np.diff(texts.bounds) > 0]] = False
@@ -262,7 +267,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts, found = repeats(docs, window, cutter(window, GRAM), settler(window, GRAM))
-    out = with_ranges(texts, found).select("doc_id", "text", "spans").mapInArrow(_digests, OUT)
+    out = with_ranges(texts, found).select("doc_id", "packed", "spans").mapInArrow(_digests, OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
@@ -272,7 +277,7 @@ def shorten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rec")
     texts, found = repeats(docs, window, cutter(window, GRAM), settler(window, GRAM), others)
     schema = f"rec {texts.schema['rec'].dataType.simpleString()}, kept_text string"
-    left = with_ranges(texts, found).select("rec", "text", "spans").mapInArrow(_shorten, schema)
+    left = with_ranges(texts, found).select("rec", "packed", "spans").mapInArrow(_shorten, schema)
     columns = [F.col("kept_text").alias(c) if c == "text" else
                F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rec.`{c}`")
                for c in docs.columns]
@@ -280,7 +285,7 @@ def shorten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in with_texts(whole)):
         for at, end, _, _, parts in _left(batch):
             yield pa.RecordBatch.from_arrays([batch.column("rec").slice(at, end - at),
                                               pa.array([p.decode("utf-8", "ignore") for p in parts], pa.string())], ["rec", "kept_text"])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a single longer text is handled alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -45,11 +45,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums of value * base**place before each place; for ``span_hash``."""
+    """Sums of (value + 1) * base**place before each place; for ``span_hash``."""
     up, _ = _powers(len(values) + 1)
     out = np.zeros(len(values) + 1, np.uint64)
+    own = out[1:]
+    own[:] = values
     with np.errstate(over="ignore"):
-        np.cumsum(values * up[:len(values)], out=out[1:])
+        own += np.uint64(1)
+        own *= up[:len(values)]
+        np.cumsum(own, out=own)
     return out
 
 
@@ -88,7 +92,7 @@ class Texts:
     @property
     def sums(self) -> np.ndarray:
         if self._sums is None:
-            self._sums = prefix_sums(self.data.astype(np.uint64) + np.uint64(1))
+            self._sums = prefix_sums(self.data)
         return self._sums
 
     def word_hashes(self) -> np.ndarray:
@@ -126,7 +130,7 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 def of_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and bounds of a string column; a null is empty."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, bounds, data = column.buffers()
     bounds = np.frombuffer(bounds, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
