@@ -4,17 +4,22 @@ An event row carries a key (farm for egg stock, shed for birds), an order, a mod
 and one signed delta per dimension (five egg sizes, or one bird count):
 
 =========  ===============================================================
-mode       effect on the state ``x`` (per key, starts at zero)
+mode       effect on the state ``x`` (per key, starts at zero or ``initial``)
 =========  ===============================================================
-add        x += d                      (collections, voided sales given back)
+add        x += d                      (collections, arrivals)
 reject     x += d only if every x + d >= 0, else nothing (sales, deaths)
 clamp      x = max(x + d, 0)            (voided / amended collections)
 set        x[i] = v[i] where v[i] is given (manual stock or bird count)
-restore    x += d if the referenced op was applied (void of a sale)
-replace    restore the referenced op, then apply d as ``reject`` (sale edit);
-           when the new part is short, nothing changes
+restore    x += d, once per referenced op (void of a sale)
+replace    x += d as ``reject``, d being new - old (sale edit); nothing once the
+           referenced op was restored
+noop/fail  nothing; fail counts as not applied
 =========  ===============================================================
 
+An event with a ``ref`` acts only if the event it refers to was applied. An event with
+an ``alt`` takes its second set of deltas (``a_<dim>``) if that other event was applied
+(the void of an edited sale gives back what the edit left).
+
 Execution is chosen from the modes the caller declares:
 
 * ``add`` only — a running sum, computed as a two-phase prefix scan over
@@ -22,10 +27,16 @@ Execution is chosen from the modes the caller declares:
 * ``add`` + ``clamp`` — the reflected walk ``x_t = S_t - least(0, min_{k<=t} S_k)``
   (adds are non-negative), also two-phase: chunk totals and chunk minima combine
   associatively;
-* anything with ``reject``/``set``/``restore``/``replace`` — order-dependent and not
-  associative, so each key is folded sequentially: events are hash-partitioned by
-  key, sorted inside the partition (external sort, spills) and streamed through
-  ``mapInPandas`` with O(1) state per key. No group is ever materialised in memory.
+* anything else is order-dependent and not associative. The events of a key are cut
+  into chunks of at most about ``CHUNK_ROWS`` (whole values of ``chunk``); every chunk
+  is sorted (external sort) and streamed through ``mapInPandas`` from its start state.
+  With one chunk per key that is a single pass. Otherwise starts, and the outcomes of
+  events that other chunks refer to, are guessed first, all chunks are folded in
+  parallel, and then, round by round, the chunks whose start or referenced outcomes
+  turned out otherwise are folded again, until none does. After round r the first r
+  chunks of every key are final, so the result is exact; since refusals and clamps
+  forget the past, few rounds are needed in practice. A farm that holds a third of
+  the log is folded by as many tasks as it has chunks, and a task holds one batch.
 """
 
 from __future__ import annotations
@@ -36,9 +47,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from henhouse.session import scratch_path
+
 ADD, REJECT, CLAMP, SET, RESTORE, REPLACE = "add", "reject", "clamp", "set", "restore", "replace"
 NOOP, FAIL = "noop", "fail"
-SEQUENTIAL_MODES = {REJECT, SET, RESTORE, REPLACE, NOOP, FAIL}
+#: Events of one key folded by one task, about.
+CHUNK_ROWS = 200_000
 
 
 def _d(dim: str) -> str:
@@ -115,124 +129,101 @@ def _chunk_minima(chunks: DataFrame, key: str, chunk: str, dims: list[str]) -> D
 # ---------------------------------------------------------------------------
 # sequential path
 # ---------------------------------------------------------------------------
-def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_col: str | None,
-                  memo_col: str | None, halt: bool = False, initial=None, init_cols: list[str] | None = None):
-    """Fold over batches sorted by (key, order). A key starts from ``initial(key)``
-    (the streaming job passes its stored state), from the ``init_cols`` of its first
-    row (the repaired tail of a speculative fold), or from zeros."""
+def _fold_batches(groups: list[str], dims: list[str], modes_col: str, scope: str | None, id_col: str,
+                  ref_col: str | None, alt_col: str | None):
+    """Fold over batches sorted by (groups, order). A group starts from the ``s_<dim>``
+    columns of its first row. The outcome of a referenced event is remembered inside its
+    group (a group is one chunk, so this is bounded by its rows); for events of other
+    groups ``gate`` and ``alt_ok`` say it. With ``scope`` a refused event halts the later
+    events of the same scope value; ``stopped`` lists those halted before the group."""
     n = len(dims)
 
-    def start(k):
-        if initial is None:
-            return np.zeros(n, dtype=np.int64)
-        return np.asarray(initial(k), dtype=np.int64)
-
     def run(batches):
-        cur_key = object()
-        state = np.zeros(n, dtype=np.int64)
-        memo: dict = {}
-        stopped = False
-        init_mat = None  # local on purpose: closures shipped to workers do not share cells
+        at, state, stopped, memo = None, None, set(), {}
         for pdf in batches:
             if pdf.empty:
                 continue
-            if init_cols:
-                init_mat = np.stack([pdf[c].fillna(0).to_numpy(dtype=np.int64) for c in init_cols], axis=1)
-            keys = pdf[key].to_numpy()
-            modes = pdf[modes_col].to_numpy()
-            dmat = np.stack([pdf[_d(d)].fillna(0).to_numpy(dtype=np.int64) for d in dims], axis=1)
-            has_v = _v(dims[0]) in pdf.columns
-            vmat = (np.stack([pdf[_v(d)].to_numpy(dtype="float64") for d in dims], axis=1)
-                    if has_v else None)
-            ids = pdf[id_col].to_numpy() if ref_col else None
-            refs = pdf[ref_col].to_numpy() if ref_col else None
-            need_memo = pdf[memo_col].to_numpy() if memo_col else None
             m = len(pdf)
+            number = lambda c: pdf[c].fillna(0).to_numpy(dtype=np.int64)
+            dmat = np.stack([number(_d(d)) for d in dims], axis=1)
+            text = lambda c: np.where(pdf[c].isna(), None, pdf[c].to_numpy(dtype=object)) if c else np.full(m, None)
+            flag = lambda c: pdf[c].fillna(False).to_numpy(dtype=bool) if c in pdf.columns else np.zeros(m, dtype=bool)
+            amat = np.stack([number(f"a_{d}") for d in dims], axis=1) if alt_col else None
+            ids, refs, alts, known, alt_known = pdf[id_col].to_numpy(), text(ref_col), text(alt_col), flag("gate"), flag("alt_ok")
+            spent = flag("__spent")
+            smat = np.stack([number(f"s_{d}") for d in dims], axis=1)
+            vmat = (np.stack([pdf[_v(d)].to_numpy(dtype="float64") for d in dims], axis=1)
+                    if _v(dims[0]) in pdf.columns else None)
+            who = pdf[scope].to_numpy() if scope else None
+            modes = pdf[modes_col].to_numpy()
+            codes = pdf[groups].ne(pdf[groups].shift()).any(axis=1).to_numpy()
+            first = tuple(pdf[groups].iloc[0])
+            if first == at:
+                codes[0] = False
             applied = np.zeros(m, dtype=bool)
             halted = np.zeros(m, dtype=bool)
             before = np.empty((m, n), dtype=np.int64)
             after = np.empty((m, n), dtype=np.int64)
-            # Runs of consecutive adds of one key are applied in one cumulative sum;
-            # only the order-dependent ops are stepped through one by one.
-            is_add = modes == ADD
-            new_key = np.ones(m, dtype=bool)
-            new_key[1:] = keys[1:] != keys[:-1]
-            breaks = np.flatnonzero(~is_add | new_key)
+            # Runs of consecutive adds of one group are applied in one cumulative sum;
+            # only the order-dependent events are stepped through one by one.
+            plain = (modes == ADD) & np.equal(refs, None) & np.equal(alts, None)
+            if scope:
+                plain[:] = False
+            breaks = np.flatnonzero(~plain | codes)
             i = 0
             while i < m:
-                k = keys[i]
-                if k != cur_key:
-                    cur_key = k
-                    state = init_mat[i].copy() if init_mat is not None else start(k)
-                    memo = {}
-                    stopped = False
-                if stopped:
-                    before[i] = state
-                    halted[i] = True
-                    after[i] = state
-                    i += 1
-                    continue
-                mode = modes[i]
-                if mode == ADD:
+                if codes[i]:
+                    state, memo = smat[i].copy(), {}
+                    stopped = set(pdf["stopped"].iloc[i]) if scope and pdf["stopped"].iloc[i] is not None else set()
+                if plain[i]:
                     nb = np.searchsorted(breaks, i, side="right")
                     j = int(breaks[nb]) if nb < len(breaks) else m
                     run_after = state + np.cumsum(dmat[i:j], axis=0)
                     after[i:j] = run_after
                     before[i] = state
-                    if j - i > 1:
-                        before[i + 1:j] = run_after[:-1]
+                    before[i + 1:j] = run_after[:-1]
                     applied[i:j] = True
                     state = run_after[-1].copy()
-                    if need_memo is not None:
-                        for r in np.flatnonzero(need_memo[i:j]):
-                            memo[ids[i + r]] = True
+                    if ref_col:
+                        memo.update(dict.fromkeys(ids[i:j], True))
                     i = j
                     continue
                 before[i] = state
-                d = dmat[i]
-                ok = True
-                if mode == NOOP:
-                    pass
-                elif mode == FAIL:
-                    ok = False
-                elif mode == REJECT:
-                    nxt = state + d
-                    if (nxt >= 0).all():
-                        state = nxt
-                    else:
+                if scope and who[i] in stopped:
+                    halted[i] = True
+                else:
+                    mode, d, ref, alt = modes[i], dmat[i], refs[i], alts[i]
+                    ok = ref is None or not spent[i] and bool(memo.get(ref, known[i]))
+                    if alt is not None and memo.get(alt, alt_known[i]):
+                        d = amat[i]
+                    if mode == FAIL:
                         ok = False
-                elif mode == CLAMP:
-                    state = np.maximum(state + d, 0)
-                elif mode == SET:
-                    v = vmat[i]
-                    state = np.where(np.isnan(v), state, np.nan_to_num(v)).astype(np.int64)
-                elif mode == RESTORE:
-                    if memo.pop(refs[i], False):
+                    elif not ok or mode == NOOP:
+                        pass
+                    elif mode in (ADD, RESTORE):
                         state = state + d
+                        if mode == RESTORE:  # given back once
+                            memo[ref] = False
+                    elif mode in (REJECT, REPLACE):
+                        ok = bool((state + d >= 0).all())
+                        state = state + d if ok else state
+                    elif mode == CLAMP:
+                        state = np.maximum(state + d, 0)
+                    elif mode == SET:
+                        state = np.where(np.isnan(vmat[i]), state, np.nan_to_num(vmat[i])).astype(np.int64)
                     else:
-                        ok = False
-                elif mode == REPLACE:
-                    # d already holds (old restored + new deducted); refused when short
-                    if memo.get(refs[i], False):
-                        nxt = state + d
-                        if (nxt >= 0).all():
-                            state = nxt
-                        else:
-                            ok = False
-                    else:
-                        ok = False
-                else:
-                    raise ValueError(f"unknown ledger mode {mode!r}")
-                applied[i] = ok
+                        raise ValueError(f"unknown ledger mode {mode!r}")
+                    applied[i] = ok
+                    if ref_col:
+                        memo[ids[i]] = ok
+                    if scope and not ok:
+                        stopped.add(who[i])
                 after[i] = state
-                if halt and not ok:
-                    stopped = True
-                if need_memo is not None and need_memo[i]:
-                    memo[ids[i]] = ok
                 i += 1
+            at = tuple(pdf[groups].iloc[-1])
             out = pdf.copy()
             out["applied"] = applied
-            if halt:
+            if scope:
                 out["halted"] = halted
             for j, dname in enumerate(dims):
                 out[f"before_{dname}"] = before[:, j]
@@ -242,88 +233,137 @@ def _fold_batches(key: str, dims: list[str], modes_col: str, id_col: str, ref_co
     return run
 
 
+def _pass(events: DataFrame, groups: list[str], order: list[str], dims: list[str], mode_col: str,
+          scope: str | None, id_col: str, ref_col: str | None, alt_col: str | None) -> DataFrame:
+    """One fold of every group of ``events`` from the start state in its rows."""
+    ordered = events.repartition(*groups).sortWithinPartitions(*groups, *order)
+    return ordered.mapInPandas(_fold_batches(groups, dims, mode_col, scope, id_col, ref_col, alt_col),
+                               _out_schema(events, dims, scope is not None))
+
+
+def _chunk_numbers(events: DataFrame, key: str, chunk: str, rows: int) -> DataFrame:
+    """``events`` with ``__chunk``: whole values of ``chunk`` in order, ``rows`` events or
+    more each. Only the counts per (key, chunk value) are windowed."""
+    counts = events.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.select(F.col(key).alias("__k"), F.col(chunk).alias("__c"),
+                             F.floor(F.coalesce(F.sum("__n").over(w), F.lit(0)) / rows).cast("long").alias("__raw"))
+    dense = numbered.withColumn("__chunk", F.dense_rank().over(Window.partitionBy("__k").orderBy("__raw")).cast("long")).drop("__raw")
+    return events.join(dense, (F.col(key) == F.col("__k")) & (F.col(chunk) == F.col("__c"))).drop("__k", "__c")
+
+
 def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes: set[str],
          mode_col: str = "mode", chunk: str | None = None, id_col: str = "op_id",
-         ref_col: str | None = None, partitions: int | None = None,
-         halt_on_error: bool = False, speculate: bool = False) -> DataFrame:
+         ref_col: str | None = None, alt_col: str | None = None, halt_scope: str | None = None,
+         initial: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Fold ``events`` per ``key`` in ``order``; returns the events with ``applied``,
     ``before_<dim>`` and ``after_<dim>`` columns.
 
     ``modes`` is the set of modes the caller's log can contain (it picks the plan);
     ``chunk`` is a column that is monotone in ``order`` inside a key (a date is
-    ideal) and splits a busy key for the associative plans; ``ref_col`` names the
-    op an entry of mode restore/replace refers to. With ``halt_on_error`` the
-    first op of a key that is not applied stops that key: later ops are marked
-    ``halted`` and change nothing (one sync request stops at its first bad op).
-    With ``speculate`` an add/reject log is first scanned in parallel as if every
-    op applied; only the tail after each key's first shortage is folded
-    sequentially. That splits a hot key whose stock rarely runs out; when
-    shortages are frequent the tail is most of the log and the plain sequential
-    fold is cheaper (about half the time on the test data), so it is the default."""
+    ideal) and splits a busy key; ``ref_col`` and ``alt_col`` name the events an event
+    depends on. With ``halt_scope`` the first event of a scope value that is not applied
+    halts the later events of that value in the key: they are marked ``halted`` and
+    change nothing (one sync request stops at its first bad op). ``initial`` gives
+    start states (key and one column per dimension)."""
     modes = set(modes)
-    if modes <= {ADD} and chunk and not halt_on_error:
-        return _chunked_scan(events, key, order, chunk, dims, clamp=False)
-    if modes <= {ADD, CLAMP} and chunk and not halt_on_error:
-        return _chunked_scan(events, key, order, chunk, dims, clamp=True)
-
-    if speculate and modes <= {ADD, REJECT} and chunk and not halt_on_error:
-        return _speculative(events, key, order, chunk, dims, mode_col, id_col, ref_col, partitions)
-
-    memo_col = None
-    ev = events
-    if ref_col and (modes & {RESTORE, REPLACE}):
-        # Only ops that something refers to later keep their outcome in the state.
-        refs = (events.filter(F.col(ref_col).isNotNull())
-                .select(F.col(key).alias("__rk"), F.col(ref_col).alias("__rid")).distinct())
-        ev = (events.join(refs, (F.col(key) == F.col("__rk")) & (F.col(id_col) == F.col("__rid")), "left")
-              .withColumn("__memo", F.col("__rid").isNotNull()).drop("__rk", "__rid"))
-        memo_col = "__memo"
-    # by key only: AQE may coalesce small partitions (all rows of a key stay together)
-    ordered = (ev.repartition(partitions, key) if partitions else ev.repartition(key)) \
-        .sortWithinPartitions(key, *order)
-    schema = _out_schema(ev, dims, halt_on_error)
-    out = ordered.mapInPandas(_fold_batches(key, dims, mode_col, id_col, ref_col, memo_col, halt_on_error), schema)
-    return out.drop("__memo") if memo_col else out
-
-
-def _speculative(events: DataFrame, key: str, order: list[str], chunk: str, dims: list[str],
-                 mode_col: str, id_col: str, ref_col: str | None, partitions: int | None) -> DataFrame:
-    """add/reject logs: speculate that every op applies (parallel chunked prefix
-    scan), find per key the first op whose optimistic state goes negative, keep
-    everything before it (exact: nothing earlier can have been refused) and fold
-    only the tail from there sequentially, starting from the exact state before
-    that op. When stock rarely runs out, almost no work is sequential."""
-    spec = _chunked_scan(events, key, order, chunk, dims, clamp=False)
-    neg = None
-    for d in dims:
-        c = F.col(f"after_{d}") < 0
-        neg = c if neg is None else neg | c
-    pos = F.struct(*[F.col(c) for c in order])
-    first = (spec.filter(neg).groupBy(key)
-             .agg(F.min_by(F.struct(*[F.col(f"before_{d}").alias(f"init_{d}") for d in dims]), pos).alias("__init"),
-                  F.min(pos).alias("__first")))
-    j = spec.join(first, key, "left")
-    head = j.filter(F.col("__first").isNull() | (pos < F.col("__first"))) \
-        .select(*events.columns, "applied", *[f"before_{d}" for d in dims], *[f"after_{d}" for d in dims])
-    tail_ev = j.filter(F.col("__first").isNotNull() & (pos >= F.col("__first"))) \
-        .select(*events.columns, *[F.col(f"__init.init_{d}").alias(f"init_{d}") for d in dims])
-    ordered = (tail_ev.repartition(partitions, key) if partitions else tail_ev.repartition(key)) \
-        .sortWithinPartitions(key, *order)
-    schema = _out_schema(tail_ev, dims)
-    run = _fold_batches(key, dims, mode_col, id_col, ref_col, None, False,
-                        init_cols=[f"init_{d}" for d in dims])
-    tail = ordered.mapInPandas(run, schema).drop(*[f"init_{d}" for d in dims])
-    return head.unionByName(tail)
-
-
-def fold_python(rows: list[dict], dims: list[str], halt: bool = False) -> list[dict]:
-    """Fold a small in-memory list of events already in (key, order) order with the
-    same step function the Spark plan uses (a driver-side helper for small inputs;
-    the tests check the engine against an independent plain-Python fold)."""
-    pdf = pd.DataFrame(rows)
-    if "ref" not in pdf.columns:
-        pdf["ref"] = None
-    pdf["__memo"] = pdf["op_id"].isin(set(pdf["ref"].dropna()))
-    run = _fold_batches("key", dims, "mode", "op_id", "ref", "__memo", halt)
-    out = pd.concat(list(run(iter([pdf]))))
-    return out.drop(columns="__memo").to_dict("records")
+    if initial is None and not halt_scope and chunk and modes <= {ADD, CLAMP} and not ref_col:
+        return _chunked_scan(events, key, order, chunk, dims, clamp=CLAMP in modes)
+
+    columns = events.columns
+    starts = [F.coalesce(F.col(f"__i.{d}"), F.lit(0)).cast("bigint").alias(f"s_{d}") for d in dims]
+    plain = events.withColumn("stopped", F.lit(None).cast(T.ArrayType(events.schema[halt_scope].dataType))) if halt_scope else events
+    if initial is not None:
+        plain = plain.alias("__e").join(initial.alias("__i"), F.col(f"__e.{key}") == F.col(f"__i.{key}"), "left").select("__e.*", *starts)
+    else:
+        plain = plain.select("*", *[F.lit(0).cast("bigint").alias(f"s_{d}") for d in dims])
+    out = [*columns, "applied", *(["halted"] if halt_scope else []),
+           *[f"before_{d}" for d in dims], *[f"after_{d}" for d in dims]]
+    ref_col, alt_col = (c if c in columns else None for c in (ref_col, alt_col))
+    largest = 0
+    if chunk:
+        largest = events.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if largest <= chunk_rows:
+        return _pass(plain, [key], order, dims, mode_col, halt_scope, id_col, ref_col, alt_col).select(*out)
+    return _rounds(plain, key, order, dims, mode_col, chunk, id_col, ref_col, alt_col, halt_scope, chunk_rows).select(*out)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _rounds(plain: DataFrame, key: str, order: list[str], dims: list[str], mode_col: str, chunk: str,
+            id_col: str, ref_col: str | None, alt_col: str | None, scope: str | None, chunk_rows: int) -> DataFrame:
+    """The fold of chunks in parallel rounds. The driver sees a count per round."""
+    base = _chunk_numbers(plain, key, chunk, chunk_rows)
+    if ref_col:
+        # a referenced event is given back once; later events that refer to it are refused
+        before = Window.partitionBy(key, ref_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        spent = F.max(F.col(mode_col) == RESTORE).over(before)
+        base = base.filter(F.col(ref_col).isNull()).withColumn("__spent", F.lit(False)).unionByName(
+            base.filter(F.col(ref_col).isNotNull()).withColumn("__spent", F.coalesce(spent, F.lit(False))))
+    base = _written(base, "ledger-events")
+    groups = [key, "__chunk"]
+    names = [c for c in (ref_col, alt_col) if c]
+    asked = None
+    for c in names:
+        ids = base.filter(F.col(c).isNotNull()).select(F.col(key).alias("__rk"), F.col(c).alias("__rid"))
+        asked = ids if asked is None else asked.union(ids)
+    asked = asked.distinct() if asked is not None else None
+    firsts = [f"s_{d}" for d in dims] + (["stopped"] if scope else [])
+    # round 1: chunks start from the sum of all deltas before them, references were applied
+    total = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = base.groupBy(*groups).agg(*[F.sum(F.col(_d(d)).cast("bigint")).alias(f"t_{d}") for d in dims],
+                                     *[F.first(c).alias(c) for c in firsts])
+    starts = _written(sums.select(*groups, *[F.greatest(F.lit(0), F.col(f"s_{d}") + F.coalesce(F.sum(f"t_{d}").over(total), F.lit(0))).alias(f"s_{d}")
+                                             for d in dims], *(["stopped"] if scope else [])), "ledger-starts")
+    known = _written(asked.withColumn("__ok", F.lit(True)), "ledger-known") if asked is not None else None
+    todo, done = None, []
+    while True:
+        rows = base.drop(*firsts)
+        if todo is not None:
+            rows = rows.join(todo, groups, "left_semi")
+        rows = rows.join(starts, groups)
+        for c, flag in ((ref_col, "gate"), (alt_col, "alt_ok")):
+            if c in names:
+                k = known.select(F.col("__rk").alias("__xk"), F.col("__rid").alias("__xi"), F.col("__ok").alias("__xo"))
+                rows = rows.join(k, (F.col(key) == F.col("__xk")) & (F.col(c) == F.col("__xi")), "left")
+                rows = rows.withColumn(flag, F.coalesce("__xo", F.lit(False))).drop("__xk", "__xi", "__xo")
+        folded = _written(_pass(rows, groups, order, dims, mode_col, scope, id_col, ref_col, alt_col), "ledger-round")
+        done.append(folded.withColumn("__round", F.lit(len(done))))
+        ends = folded.groupBy(*groups).agg(
+            F.max_by(F.struct(*[f"after_{d}" for d in dims]), F.struct(*order)).alias("__end"),
+            *([F.array_sort(F.array_union(F.coalesce(F.first("stopped"), F.array().cast(T.ArrayType(plain.schema[scope].dataType))),
+                                          F.collect_set(F.when(~F.col("applied") & ~F.col("halted"), F.col(scope))))).alias("__stop")] if scope else []))
+        nexts = ends.select(key, (F.col("__chunk") + 1).alias("__chunk"), *[F.col(f"__end.after_{d}").alias(f"n_{d}") for d in dims],
+                            *([F.col("__stop").alias("n_stopped")] if scope else []))
+        moved = starts.join(nexts, groups)
+        changed = F.lit(False)
+        for c in firsts:
+            new = F.col("n_stopped" if c == "stopped" else f"n_{c[2:]}")
+            old = F.array_sort(F.coalesce(F.col(c), F.array().cast(starts.schema[c].dataType))) if c == "stopped" else F.col(c)
+            changed = changed | (new != old)
+        moved = _written(moved.filter(changed), "ledger-moved")
+        again = moved.select(*groups)
+        if known is not None:
+            now = folded.select(F.col(key).alias("__rk"), F.col(id_col).alias("__rid"), F.col("applied").alias("__new"))
+            flips = _written(known.join(now, ["__rk", "__rid"]).filter(F.col("__ok") != F.col("__new"))
+                             .select("__rk", "__rid", F.col("__new").alias("__ok")), "ledger-flips")
+            hit = flips.select(F.col("__rk").alias("__fk"), F.col("__rid").alias("__fi"))
+            for c in names:
+                again = again.union(base.join(hit, (F.col(key) == F.col("__fk")) & (F.col(c) == F.col("__fi")), "left_semi").select(*groups))
+            known = _written(known.join(flips.select("__rk", "__rid"), ["__rk", "__rid"], "left_anti").union(flips), "ledger-known")
+        todo = _written(again.distinct(), "ledger-todo")
+        if todo.isEmpty():
+            break
+        fresh = moved.select(*groups, *[F.col("n_stopped" if c == "stopped" else f"n_{c[2:]}").alias(c) for c in firsts])
+        starts = _written(starts.join(fresh.select(*groups), groups, "left_anti").unionByName(fresh), "ledger-starts")
+    result = done[0]
+    for d in done[1:]:
+        result = result.unionByName(d)
+    if len(done) > 1:
+        last = result.groupBy(*groups).agg(F.max("__round").alias("__last"))
+        result = result.join(last, groups).filter(F.col("__round") == F.col("__last"))
+    return result

@@ -6,7 +6,7 @@ stock set, bird movement, bird void) becomes an event of a change log; the fold
 (birds) for all farms and sheds in parallel.
 
 The reference runs one farm; ``farm_id`` is the partition key added so the fold
-scales out (here the author of the record, as in FIXTURES.md)."""
+scales out. It is a column of the facts, apart from their author."""
 
 from __future__ import annotations
 
@@ -19,18 +19,20 @@ from henhouse.operators import ledger as L
 from henhouse.sources.tables import Tables
 
 SIZES = schemas.CATEGORIES
-ORDER = ["op_date", "kind", "op_id"]
-# kind orders events of one day: creations, then sales, then edits and voids.
+#: Changes count in the order they were recorded; kind and id order equal times.
+ORDER = ["recorded_at", "kind", "op_id"]
 K_COLLECTION, K_SALE, K_AMEND, K_VOID, K_SET = 0, 1, 2, 3, 4
 
 
-def _sized(df: DataFrame, farm, op_date, kind: int, op_id, mode: str, deltas: dict, ref=None,
-           sets: dict | None = None) -> DataFrame:
-    cols = [farm.cast("bigint").alias("farm_id"), op_date.alias("op_date"), F.lit(kind).alias("kind"),
-            op_id.cast("string").alias("op_id"), F.lit(mode).alias("mode"),
-            (ref.cast("string") if ref is not None else F.lit(None).cast("string")).alias("ref")]
-    cols += [deltas.get(s, F.lit(0)).cast("int").alias(f"d_{s}") for s in SIZES]
-    cols += [((sets or {}).get(s, F.lit(None))).cast("int").alias(f"v_{s}") for s in SIZES]
+def _sized(df: DataFrame, recorded_at, kind: int, op_id, mode: str, deltas: dict, ref=None,
+           sets: dict | None = None, alt=None, alt_deltas: dict | None = None) -> DataFrame:
+    text = lambda c: c.cast("string") if c is not None else F.lit(None).cast("string")
+    cols = [F.col("farm_id"), recorded_at.cast("date").alias("op_date"), recorded_at.alias("recorded_at"),
+            F.lit(kind).alias("kind"), op_id.cast("string").alias("op_id"), F.lit(mode).alias("mode"),
+            text(ref).alias("ref"), text(alt).alias("alt")]
+    cols += [deltas.get(s, F.lit(0)).cast("bigint").alias(f"d_{s}") for s in SIZES]
+    cols += [(alt_deltas or {}).get(s, F.lit(0)).cast("bigint").alias(f"a_{s}") for s in SIZES]
+    cols += [((sets or {}).get(s, F.lit(None))).cast("bigint").alias(f"v_{s}") for s in SIZES]
     return df.select(*cols)
 
 
@@ -38,8 +40,7 @@ def collection_events(t: Tables, active_only: bool = False) -> DataFrame:
     dc = t.daily_collections
     if active_only:
         dc = dc.filter(F.col("voided_at").isNull())
-    return _sized(dc, F.col("created_by"), F.col("collection_date"), K_COLLECTION, F.col("id"), L.ADD,
-                  {s: F.col(s) for s in SIZES})
+    return _sized(dc, F.col("created_at"), K_COLLECTION, F.col("id"), L.ADD, {s: F.col(s) for s in SIZES})
 
 
 def sale_requirements(t: Tables) -> DataFrame:
@@ -50,13 +51,15 @@ def sale_requirements(t: Tables) -> DataFrame:
         .alias(s) for s in SIZES])
 
 
+def _sales_with_eggs(t: Tables) -> DataFrame:
+    req = sale_requirements(t)
+    s = t.sales.select("id", "farm_id", "created_at", "voided_at")
+    return s.join(req, s.id == req.sale_id, "inner")
+
+
 def sale_events(t: Tables) -> DataFrame:
     """Sale creations (mode reject: the whole sale is refused when any size is short)."""
-    req = sale_requirements(t)
-    s = t.sales.select("id", "created_by", "sale_date")
-    j = s.join(req, s.id == req.sale_id, "inner")
-    return _sized(j, F.col("created_by"), F.col("sale_date"), K_SALE, F.col("id"), L.REJECT,
-                  {sz: -F.col(sz) for sz in SIZES})
+    return _sized(_sales_with_eggs(t), F.col("created_at"), K_SALE, F.col("id"), L.REJECT, {sz: -F.col(sz) for sz in SIZES})
 
 
 def stock_ops(t: Tables) -> DataFrame:
@@ -64,21 +67,45 @@ def stock_ops(t: Tables) -> DataFrame:
     return collection_events(t).unionByName(sale_events(t))
 
 
-def collection_void_events(t: Tables) -> DataFrame:
-    """Voiding a collection takes its eggs out again, clamped at zero."""
+# Edits that the recorded facts do not carry are derived from them: collections of every
+# fourth day of the month have their sizes rotated one place, every fifth sale has its
+# quantities doubled (even ids) or halved (odd ids), four days after the record.
+def _edited_at():
+    return F.col("created_at") + F.expr("INTERVAL 4 DAY")
+
+
+def _edited_collection():
+    return F.dayofmonth("collection_date") % 4 == 0
+
+
+def _new_sizes() -> dict:
+    return {SIZES[i]: F.col(SIZES[i - 1]) for i in range(len(SIZES))}
+
+
+def _edited_sale():
+    return F.col("id") % 5 == 0
+
+
+def _new_eggs(size: str):
+    return F.when(F.col("id") % 2 == 0, F.col(size) * 2).otherwise(F.floor(F.col(size) / 2))
+
+
+def collection_void_events(t: Tables, edits: bool = False) -> DataFrame:
+    """Voiding a collection takes its current eggs out again, clamped at zero; with
+    ``edits`` these are the eggs after the edit."""
     dc = t.daily_collections.filter(F.col("voided_at").isNotNull())
-    return _sized(dc, F.col("created_by"), F.to_date("voided_at"), K_VOID, F.col("id"), L.CLAMP,
-                  {s: -F.col(s) for s in SIZES}, ref=F.col("id"))
+    current = {s: F.when(_edited_collection(), n).otherwise(F.col(s)) for s, n in _new_sizes().items()} if edits \
+        else {s: F.col(s) for s in SIZES}
+    return _sized(dc, F.col("voided_at"), K_VOID, F.concat(F.lit("void-"), F.col("id")), L.CLAMP,
+                  {s: -c for s, c in current.items()})
 
 
 def collection_amend_events(t: Tables) -> DataFrame:
-    """Edits of collections: the adapter's flagged collections are edited at their
-    flag time with the five sizes rotated one place; the stock moves by new - old
-    per size, clamped at zero (amend_delta)."""
-    dc = t.daily_collections.filter(F.col("voided_at").isNotNull())
-    new = {SIZES[i]: F.col(SIZES[i - 1]) for i in range(len(SIZES))}
-    return _sized(dc, F.col("created_by"), F.to_date("voided_at"), K_AMEND, F.col("id"), L.CLAMP,
-                  {s: amend_delta(new[s], F.col(s)) for s in SIZES}, ref=F.col("id"))
+    """Edits of collections: the stock moves by new - old per size, clamped at zero
+    (amend_delta)."""
+    dc = t.daily_collections.filter(_edited_collection())
+    return _sized(dc, _edited_at(), K_AMEND, F.concat(F.lit("edit-"), F.col("id")), L.CLAMP,
+                  {s: amend_delta(n, F.col(s)) for s, n in _new_sizes().items()})
 
 
 def amend_delta(new, old):
@@ -86,41 +113,51 @@ def amend_delta(new, old):
     return new - old
 
 
-def sale_void_events(t: Tables) -> DataFrame:
-    """Voiding a sale gives its eggs back — only if the sale was applied."""
-    req = sale_requirements(t)
-    s = t.sales.filter(F.col("voided_at").isNotNull()).select("id", "created_by", "voided_at")
-    j = s.join(req, s.id == req.sale_id, "inner")
-    return _sized(j, F.col("created_by"), F.to_date("voided_at"), K_VOID,
-                  F.concat(F.lit("void-"), F.col("id").cast("string")), L.RESTORE,
-                  {sz: F.col(sz) for sz in SIZES}, ref=F.col("id"))
+def sale_void_events(t: Tables, edits: bool = False) -> DataFrame:
+    """Voiding a sale gives its eggs back — only if the sale was applied; with ``edits``
+    it gives back what an applied edit left of it."""
+    j = _sales_with_eggs(t).filter(F.col("voided_at").isNotNull())
+    alt = F.when(_edited_sale(), F.concat(F.lit("edit-"), F.col("id").cast("string"))) if edits else None
+    return _sized(j, F.col("voided_at"), K_VOID, F.concat(F.lit("void-"), F.col("id").cast("string")), L.RESTORE,
+                  {sz: F.col(sz) for sz in SIZES}, ref=F.col("id"), alt=alt,
+                  alt_deltas={sz: _new_eggs(sz) for sz in SIZES} if edits else None)
 
 
 def sale_amend_events(t: Tables) -> DataFrame:
-    """Edits of sales: the adapter's flagged sales are edited on their flag date to
-    half their quantities (rounded down). The edit gives back the old eggs and takes
-    the new ones in one step; it is refused if the new part is short."""
-    req = sale_requirements(t)
-    s = t.sales.filter(F.col("voided_at").isNotNull()).select("id", "created_by", "voided_at")
-    j = s.join(req, s.id == req.sale_id, "inner")
-    return _sized(j, F.col("created_by"), F.to_date("voided_at"), K_AMEND,
-                  F.concat(F.lit("edit-"), F.col("id").cast("string")), L.REPLACE,
-                  {sz: F.col(sz) - F.floor(F.col(sz) / 2) for sz in SIZES}, ref=F.col("id"))
+    """Edits of sales: the edit gives back the old eggs and takes the new ones in one
+    step; it is refused if the new part is short, or the sale was never applied."""
+    j = _sales_with_eggs(t).filter(_edited_sale())
+    return _sized(j, _edited_at(), K_AMEND, F.concat(F.lit("edit-"), F.col("id").cast("string")), L.REPLACE,
+                  {sz: F.col(sz) - _new_eggs(sz) for sz in SIZES}, ref=F.col("id"))
 
 
 def stock_set_events(t: Tables) -> DataFrame:
     """Manual stock sets: on each day a farm records an 'Otros' expense, its jumbo
     stock is written down to zero (one size set, the others untouched)."""
     e = (t.expenses.filter((F.col("category") == "Otros") & F.col("voided_at").isNull())
-         .select("created_by", "expense_date").distinct())
-    return _sized(e, F.col("created_by"), F.col("expense_date"), K_SET,
-                  F.concat(F.lit("set-"), F.col("created_by").cast("string"), F.lit("-"),
-                           F.col("expense_date").cast("string")),
+         .groupBy("farm_id", "expense_date").agg(F.max("created_at").alias("created_at")))
+    return _sized(e, F.col("created_at"), K_SET,
+                  F.concat(F.lit("set-"), F.col("farm_id").cast("string"), F.lit("-"), F.col("expense_date").cast("string")),
                   L.SET, {}, sets={"jumbo": F.lit(0)})
 
 
-def run(events: DataFrame, modes: set[str], speculate: bool = False) -> DataFrame:
-    return L.fold(events, "farm_id", ORDER, SIZES, modes, chunk="op_date", ref_col="ref", speculate=speculate)
+def stock_log(t: Tables) -> DataFrame:
+    """Every change of the stock: collections and sales, their edits and voids, and
+    manual sets."""
+    log = stock_ops(t)
+    for more in (collection_amend_events(t), collection_void_events(t, edits=True), sale_amend_events(t),
+                 sale_void_events(t, edits=True), stock_set_events(t)):
+        log = log.unionByName(more)
+    return log
+
+
+def run(events: DataFrame, modes: set[str], **options) -> DataFrame:
+    refs = {"ref_col": "ref", "alt_col": "alt"} if modes & {L.RESTORE, L.REPLACE} else {}
+    if not refs:
+        events = events.drop("ref", "alt", *[f"a_{s}" for s in SIZES])
+    if L.SET not in modes:
+        events = events.drop(*[f"v_{s}" for s in SIZES])
+    return L.fold(events, "farm_id", ORDER, SIZES, modes, chunk="op_date", **refs, **options)
 
 
 def stock_running(t: Tables) -> DataFrame:
@@ -128,16 +165,18 @@ def stock_running(t: Tables) -> DataFrame:
     return run(collection_events(t, active_only=True), {L.ADD})
 
 
-def stock_with_sales(t: Tables, speculate: bool = False) -> DataFrame:
-    return run(stock_ops(t), {L.ADD, L.REJECT}, speculate)
+def stock_with_sales(t: Tables) -> DataFrame:
+    return run(stock_ops(t), {L.ADD, L.REJECT})
 
 
 def stock_with_collection_voids(t: Tables) -> DataFrame:
-    return run(collection_events(t).unionByName(collection_void_events(t)), {L.ADD, L.CLAMP})
+    """Collections, sales and voided collections: what was sold already is not there to
+    be taken out, so the clamp acts."""
+    return run(stock_ops(t).unionByName(collection_void_events(t)), {L.ADD, L.REJECT, L.CLAMP})
 
 
 def stock_with_collection_amends(t: Tables) -> DataFrame:
-    return run(collection_events(t).unionByName(collection_amend_events(t)), {L.ADD, L.CLAMP})
+    return run(stock_ops(t).unionByName(collection_amend_events(t)), {L.ADD, L.REJECT, L.CLAMP})
 
 
 def stock_with_sale_voids(t: Tables) -> DataFrame:
@@ -152,6 +191,11 @@ def stock_with_sets(t: Tables) -> DataFrame:
     return run(stock_ops(t).unionByName(stock_set_events(t)), {L.ADD, L.REJECT, L.SET})
 
 
+def stock_full(t: Tables) -> DataFrame:
+    """The fold of the whole log."""
+    return run(stock_log(t), {L.ADD, L.REJECT, L.CLAMP, L.RESTORE, L.REPLACE, L.SET})
+
+
 def low_stock_crossings(folded: DataFrame, threshold: int = schemas.LOW_STOCK_THRESHOLD) -> DataFrame:
     """Sizes a sale creation took from >= threshold to < threshold (one notice each;
     edits never notify)."""
@@ -187,28 +231,37 @@ BIRD_ORDER = ["event_date", "created_at", "kind", "op_id"]
 
 
 def bird_ops(t: Tables, with_voids: bool) -> DataFrame:
-    """Bird movements per shed: arrivals add, deaths and adjustments are refused
-    when the count would go below zero; a void takes the delta back, clamped."""
+    """Bird movements per shed: arrivals add, deaths and adjustments are refused when the
+    count would go below zero; a void takes the delta of an applied movement back,
+    clamped, on its day in the farm's zone."""
     ev = t.bird_events
     base = ev.select(
         F.col("galpon_id"), "event_date", "created_at", F.lit(0).alias("kind"),
         F.col("id").cast("string").alias("op_id"),
         F.when(F.col("type") == "ingreso", F.lit(L.ADD)).otherwise(F.lit(L.REJECT)).alias("mode"),
-        F.lit(None).cast("string").alias("ref"), F.col("delta").alias("d_birds"),
-        F.lit(None).cast("int").alias("v_birds"))
+        F.lit(None).cast("string").alias("ref"), F.col("delta").cast("bigint").alias("d_birds"))
     if not with_voids:
-        return base
+        return base.drop("ref")
     voids = ev.filter(F.col("voided_at").isNotNull()).select(
-        "galpon_id", F.to_date("voided_at").alias("event_date"), F.col("voided_at").alias("created_at"),
+        "galpon_id", (F.col("voided_at") - F.expr("INTERVAL 6 HOUR")).cast("date").alias("event_date"),
+        F.col("voided_at").alias("created_at"),
         F.lit(1).alias("kind"), F.concat(F.lit("void-"), F.col("id").cast("string")).alias("op_id"),
-        F.lit(L.CLAMP).alias("mode"), F.col("id").cast("string").alias("ref"),
-        (-F.col("delta")).alias("d_birds"), F.lit(None).cast("int").alias("v_birds"))
+        F.lit(L.CLAMP).alias("mode"), F.col("id").cast("string").alias("ref"), (-F.col("delta")).cast("bigint").alias("d_birds"))
     return base.unionByName(voids)
 
 
+def opening_counts(t: Tables) -> DataFrame:
+    """The count each shed was created with: what its stored count has besides the active
+    movements (at least 0)."""
+    moved = t.bird_events.filter(F.col("voided_at").isNull()).groupBy("galpon_id").agg(F.sum("delta").alias("moved"))
+    return (t.galpones.select(F.col("id").alias("galpon_id"), "bird_count").join(moved, "galpon_id", "left")
+            .select("galpon_id", F.greatest(F.lit(0), F.col("bird_count") - F.coalesce("moved", F.lit(0))).cast("bigint").alias("birds")))
+
+
 def bird_fold(t: Tables, with_voids: bool) -> DataFrame:
     modes = {L.ADD, L.REJECT} | ({L.CLAMP} if with_voids else set())
-    return L.fold(bird_ops(t, with_voids), "galpon_id", BIRD_ORDER, ["birds"], modes, chunk="event_date")
+    return L.fold(bird_ops(t, with_voids), "galpon_id", BIRD_ORDER, ["birds"], modes, chunk="event_date",
+                  ref_col="ref" if with_voids else None, initial=opening_counts(t))
 
 
 def bird_adjustments(t: Tables, folded: DataFrame) -> DataFrame:
@@ -216,8 +269,8 @@ def bird_adjustments(t: Tables, folded: DataFrame) -> DataFrame:
     delta = new - current (none when equal)."""
     cur = folded.groupBy("galpon_id").agg(F.max_by("after_birds", F.struct(*BIRD_ORDER)).alias("current"))
     g = t.galpones.select(F.col("id").alias("galpon_id"), F.col("bird_count").cast("bigint").alias("target"))
-    j = g.join(cur, "galpon_id", "left").select(
-        "galpon_id", F.coalesce("current", F.lit(0)).alias("current"), "target")
+    j = g.join(cur, "galpon_id", "left").join(opening_counts(t), "galpon_id").select(
+        "galpon_id", F.coalesce("current", "birds").alias("current"), "target")
     return (j.withColumn("delta", F.col("target") - F.col("current"))
             .filter(F.col("delta") != 0)
             .withColumn("type", F.lit("ajuste")).withColumn("reason", F.lit("Ajuste manual")))

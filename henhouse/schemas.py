@@ -39,8 +39,6 @@ BIRD_EVENT_LABELS = {"ingreso": "Entraron", "muerte": "Murieron", "ajuste": "Aju
 RECORD_TYPE_LABELS = {"collection": "Recoleccion", "sale": "Venta", "expense": "Gasto"}
 ROLE_LABELS = {"admin": "Administrador", "trabajador": "Trabajador"}
 
-EXPENSE_CATEGORIES = ["Alimento", "Vacunas", "Medicamentos", "Materia prima", "Transporte", "Otros"]
-
 # The farm's business calendar zone (UTC-6, no daylight saving since 2006).
 FARM_TZ = "America/Guatemala"
 
@@ -85,6 +83,7 @@ DAILY_COLLECTIONS = T.StructType(
     + [
         T.StructField("galpon_id", T.LongType()),
         T.StructField("created_by", T.LongType()),
+        T.StructField("farm_id", T.LongType()),
         T.StructField("created_at", T.TimestampNTZType()),
         T.StructField("voided_at", T.TimestampNTZType()),
     ]
@@ -96,6 +95,7 @@ SALES = T.StructType([
     T.StructField("customer", T.StringType()),
     T.StructField("total", MONEY),
     T.StructField("created_by", T.LongType()),
+    T.StructField("farm_id", T.LongType()),
     T.StructField("created_at", T.TimestampNTZType()),
     T.StructField("voided_at", T.TimestampNTZType()),
 ])
@@ -117,6 +117,7 @@ EXPENSES = T.StructType([
     T.StructField("amount", MONEY),
     T.StructField("galpon_id", T.LongType()),
     T.StructField("created_by", T.LongType()),
+    T.StructField("farm_id", T.LongType()),
     T.StructField("created_at", T.TimestampNTZType()),
     T.StructField("voided_at", T.TimestampNTZType()),
 ])
@@ -148,6 +149,7 @@ OPLOG = T.StructType([
     T.StructField("payload", T.StringType()),
     T.StructField("createdAt", T.StringType()),
     T.StructField("userId", T.LongType()),
+    T.StructField("farmId", T.LongType()),
 ])
 
 # Payloads arrive as text; every field is read as a string and checked by the
@@ -164,18 +166,12 @@ COLLECTION_PAYLOAD = T.StructType([
     T.StructField("notes", T.StringType()),
 ])
 
-SALE_ITEM_PAYLOAD = T.StructType([
-    T.StructField("productType", T.StringType()),
-    T.StructField("category", T.StringType()),
-    T.StructField("quantity", T.StringType()),
-    T.StructField("unitPrice", T.StringType()),
-])
-
+# Items are maps, so that a null field and an absent one can be told apart.
 SALE_PAYLOAD = T.StructType([
     T.StructField("saleDate", T.StringType()),
     T.StructField("customer", T.StringType()),
     T.StructField("notes", T.StringType()),
-    T.StructField("items", T.ArrayType(SALE_ITEM_PAYLOAD)),
+    T.StructField("items", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
 ])
 
 EXPENSE_PAYLOAD = T.StructType([
@@ -185,4 +181,6 @@ EXPENSE_PAYLOAD = T.StructType([
     T.StructField("amount", T.StringType()),
     T.StructField("galponId", T.StringType()),
     T.StructField("notes", T.StringType()),
+    # whether the payload names an amount at all; set by the parser
+    T.StructField("amountGiven", T.BooleanType()),
 ])

@@ -14,7 +14,11 @@ _CAT = (
     "WHEN 3 THEN 'extra_grande' ELSE 'jumbo' END"
 )
 
-_VOIDED = "CASE WHEN o.o_orderstatus = 'P' AND o.o_orderkey % 4 = 0 THEN o.o_orderdate END"
+# Voids are recorded some days after the record, so that other records lie between.
+_VOIDED = "CASE WHEN o.o_orderstatus = 'P' AND o.o_orderkey % 4 = 0 THEN o.o_orderdate + INTERVAL 9 DAY END"
+
+# Farms and sheds are the suppliers, whose number grows with the data.
+_FARM = "o.o_custkey % (SELECT count(*) FROM {supplier})"
 
 
 def _size_sum(cat: str) -> str:
@@ -43,11 +47,12 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                        WHEN 2 THEN concat('  ', c.c_name, ' ') ELSE c.c_name END AS customer,
                   CAST(o.o_totalprice AS DECIMAL(12,2)) AS total,
                   o.o_custkey % 27 AS created_by,
+                  {_FARM} AS farm_id,
                   o.o_orderdate AS created_at,
                   {_VOIDED} AS voided_at
            FROM {{orders}} o JOIN {{customer}} c ON c.c_custkey = o.o_custkey
            WHERE o.o_orderpriority <> '5-LOW'""",
-        ("orders", "customer"),
+        ("orders", "customer", "supplier"),
     ),
     "sale_items": (
         f"""SELECT l.l_orderkey AS sale_id,
@@ -72,8 +77,9 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                   CAST(count(CASE WHEN rf = 'R' THEN 1 END) AS INT) AS rotos,
                   CASE WHEN s % 11 = 0 THEN NULL ELSE s END AS galpon_id,
                   s % 27 AS created_by,
+                  s AS farm_id,
                   max(ship) AS created_at,
-                  CASE WHEN (day(d) + s) % 9 = 0 THEN max(ship) END AS voided_at
+                  CASE WHEN (day(d) + s) % 9 = 0 THEN max(ship) + INTERVAL 9 DAY END AS voided_at
            FROM (SELECT CAST(l.l_shipdate AS DATE) AS d, l.l_suppkey AS s, {_CAT} AS cat,
                         CAST(l.l_quantity AS INT) AS q, l.l_returnflag AS rf,
                         l.l_shipdate AS ship
@@ -89,43 +95,25 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                   CAST(abs(c.c_acctbal) AS DECIMAL(12,2)) AS amount,
                   o.o_custkey % 13 AS galpon_id,
                   o.o_custkey % 27 AS created_by,
+                  {_FARM} AS farm_id,
                   o.o_orderdate AS created_at,
                   {_VOIDED} AS voided_at
            FROM {{orders}} o JOIN {{customer}} c ON c.c_custkey = o.o_custkey
            WHERE o.o_orderpriority = '5-LOW'""",
-        ("orders", "customer"),
+        ("orders", "customer", "supplier"),
     ),
     "bird_events": (
-        """SELECT event_id AS id, user_id % 10 AS galpon_id,
+        """SELECT event_id AS id, user_id % (SELECT count(*) FROM {supplier}) AS galpon_id,
                   CAST(ts - INTERVAL 6 HOUR AS DATE) AS event_date,
                   CASE event_type WHEN 'signup' THEN 'ingreso' WHEN 'error' THEN 'muerte'
                        ELSE 'ajuste' END AS type,
                   CAST(CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'error' THEN -1
                             WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * (1 + floor(value)) AS INT) AS delta,
                   ts AS created_at,
-                  CASE WHEN event_id % 17 = 0 THEN ts END AS voided_at
+                  CASE WHEN event_id % 17 = 0 THEN ts + INTERVAL 2 DAY END AS voided_at
            FROM {events}""",
-        ("events",),
+        ("events", "supplier"),
     ),
 }
 
 RAW_TABLES = ("supplier", "nation", "orders", "customer", "lineitem", "part", "events")
-
-
-def duckdb_prelude(*names: str) -> str:
-    """``WITH`` clause defining the named views (and what they need) for DuckDB."""
-    wanted: list[str] = []
-
-    def need(name: str) -> None:
-        if name in VIEWS and name not in wanted:
-            for dep in VIEWS[name][1]:
-                need(dep)
-            wanted.append(name)
-
-    for n in names:
-        need(n)
-    parts = []
-    for n in wanted:
-        sql, deps = VIEWS[n]
-        parts.append(f"{n} AS ({sql.format(**{d: d for d in deps})})")
-    return "WITH " + ",\n".join(parts) + "\n" if parts else ""

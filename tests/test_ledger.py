@@ -40,7 +40,7 @@ def test_multi_size_sale_is_atomic(spark):
 def test_halt_on_error(spark):
     rows = [(1, 1, 0, "a", "add", None, 5, None), (1, 2, 0, "b", "fail", None, 0, None),
             (1, 3, 0, "c", "add", None, 7, None), (2, 1, 0, "d", "add", None, 1, None)]
-    out = L.fold(_events(spark, rows), "key", ["seq"], ["x"], {"add", "fail"}, halt_on_error=True) \
+    out = L.fold(_events(spark, rows), "key", ["seq"], ["x"], {"add", "fail"}, halt_scope="key") \
         .orderBy("key", "seq").collect()
     assert [(r.applied, r.halted, r.after_x) for r in out] == [
         (True, False, 5), (False, False, 5), (False, True, 5), (True, False, 1)]
@@ -130,30 +130,63 @@ def _random_log(seed, modes, n=400, keys=3, days=9):
     return rows
 
 
-@pytest.mark.parametrize("modes,chunked,speculate", [
-    (("add",), True, False),
-    (("add", "clamp"), True, False),
-    (("add", "reject"), True, False),
-    (("add", "reject"), True, True),
-    (("add", "reject", "clamp", "set"), False, False),
-    (("add", "reject", "restore", "replace"), False, False),
+@pytest.mark.parametrize("modes,chunk_rows", [
+    (("add",), 1000),
+    (("add", "clamp"), 1000),
+    (("add", "reject"), 1000),
+    (("add", "reject"), 30),
+    (("add", "reject", "clamp", "set"), 1000),
+    (("add", "reject", "clamp", "set"), 20),
+    (("add", "reject", "restore", "replace"), 1000),
+    (("add", "reject", "restore", "replace", "clamp"), 25),
 ])
-def test_plans_agree_with_brute_force(spark, modes, chunked, speculate):
+def test_plans_agree_with_brute_force(spark, modes, chunk_rows):
     rows = _random_log(7, modes)
     df = _events(spark, rows)
-    got = L.fold(df, "key", ["seq"], ["x"], set(modes), chunk="op_date" if chunked else None, ref_col="ref",
-                 speculate=speculate) \
+    refs = "ref" if "restore" in modes else None
+    got = L.fold(df, "key", ["seq"], ["x"], set(modes), chunk="op_date", ref_col=refs, chunk_rows=chunk_rows) \
         .orderBy("key", "seq").collect()
     want = reference_fold([dict(key=r[0], seq=r[1], op_id=r[3], mode=r[4], ref=r[5], d_x=r[6], v_x=r[7]) for r in rows], ["x"])
     assert [(r.after_x, r.before_x, bool(r.applied)) for r in got] == \
            [(w["after_x"], w["before_x"], bool(w["applied"])) for w in want]
 
 
-def test_speculative_stock_fold_matches(tables_small):
-    cols = ["farm_id", "op_id", "applied"] + [f"after_{s}" for s in ST.SIZES]
-    a = ST.stock_with_sales(tables_small, speculate=True).select(*cols)
-    b = ST.stock_with_sales(tables_small).select(*cols)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_hot_key_is_folded_by_several_tasks(spark, monkeypatch):
+    """One key with a third of the log: its chunks are separate groups of the fold, and
+    the result is that of the fold in one piece."""
+    rows = _random_log(3, ("add", "reject", "clamp"), n=600, keys=1, days=30)
+    rows += [(k, *r[1:3], f"{k}-{r[1]}", *r[4:]) for k in range(1, 41) for r in _random_log(k, ("add", "reject"), n=30, keys=1)]
+    df = _events(spark, rows)
+    seen = []
+    real = L._pass
+    monkeypatch.setattr(L, "_pass", lambda ev, groups, *a: seen.append(
+        ev.filter("key = 0").select(*groups).distinct().count()) or real(ev, groups, *a))
+    cols = ["key", "seq", "applied", "before_x", "after_x"]
+    split = L.fold(df, "key", ["seq"], ["x"], {"add", "reject", "clamp"}, chunk="op_date", chunk_rows=60)
+    assert seen[0] >= 8
+    whole = L.fold(df, "key", ["seq"], ["x"], {"add", "reject", "clamp", "set"}, chunk="op_date")
+    assert split.select(*cols).exceptAll(whole.select(*cols)).count() == 0 and split.count() == len(rows)
+
+
+def test_halting_and_initial_states_across_chunks(spark):
+    rows = _random_log(5, ("add", "reject", "fail"), n=300, keys=3, days=15)
+    df = _events(spark, rows).withColumn("user", F.col("seq") % 4)
+    initial = spark.createDataFrame([(0, 7), (2, 3)], "key long, x long")
+    args = (df, "key", ["seq"], ["x"], {"add", "reject", "fail"})
+    cols = ["key", "seq", "applied", "halted", "before_x", "after_x"]
+    one = L.fold(*args, chunk="op_date", halt_scope="user", initial=initial).select(*cols)
+    many = L.fold(*args, chunk="op_date", halt_scope="user", initial=initial, chunk_rows=15).select(*cols)
+    assert one.exceptAll(many).count() == 0 and many.count() == len(rows)
+    state, stopped = {0: 7, 1: 0, 2: 3}, set()
+    got = {(r.key, r.seq): r for r in one.collect()}
+    for k, s, _, _, m, _, d, _ in rows:
+        r = got[k, s]
+        halted = (k, s % 4) in stopped
+        ok = not halted and (m == "add" or m == "reject" and state[k] + d >= 0)
+        assert (r.halted, r.applied, r.before_x) == (halted, ok, state[k])
+        state[k] += d if ok else 0
+        if not ok and not halted:
+            stopped.add((k, s % 4))
 
 
 def test_stock_never_negative_and_conserves(tables_small):
@@ -165,17 +198,3 @@ def test_stock_never_negative_and_conserves(tables_small):
     # farms with only refused sales have no applied flow and end at zero
     j = inv.join(flows, "farm_id", "left").filter(F.col("q") != F.coalesce("q2", F.lit(0)))
     assert j.count() == 0
-
-
-def test_sale_void_and_edit_match_brute_force(tables_small):
-    for build, fn in ((ST.sale_void_events, ST.stock_with_sale_voids), (ST.sale_amend_events, ST.stock_with_sale_amends)):
-        ops = ST.stock_ops(tables_small).unionByName(build(tables_small))
-        rows = [r.asDict() for r in ops.orderBy("farm_id", *ST.ORDER).collect()]
-        for r in rows:
-            r["key"] = r["farm_id"]
-        want = reference_fold(rows, ST.SIZES)
-        got = fn(tables_small).orderBy("farm_id", *ST.ORDER).collect()
-        assert len(got) == len(want)
-        for g, w in zip(got, want):
-            assert g.op_id == w["op_id"] and bool(g.applied) == bool(w["applied"])
-            assert all(g[f"after_{s}"] == w[f"after_{s}"] for s in ST.SIZES)
