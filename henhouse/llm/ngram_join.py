@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from henhouse.llm.common import NULL_ID, extent, keyed_texts, written
-from henhouse.llm.components import components
+from henhouse.llm.components import Forest, components
 from henhouse.llm.words import Texts, blocks, mix, windows
 
 WORDS, PERCENT = 5, 80
@@ -231,59 +231,54 @@ class Index:
                 yield i
 
 
-class Forest:
-    """Union-find over labels."""
-
-    def __init__(self, labels: Iterable[int] = ()):
-        self.up = {x: x for x in labels}
-
-    def root(self, x: int) -> int:
-        self.up.setdefault(x, x)
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        self.up[self.root(x)] = self.root(y)
-
-
-def linked(ids: list[int], sets: list[np.ndarray], percent: int, labels: list[int] | None = None,
-           queries: int | None = None) -> list[tuple[int, int]]:
-    """Links (pairs of ids) that connect all that is connected among the sets. With
-    ``labels``, sets of one label count as connected already. With ``queries``, the first
-    so many sets are searched among the others only."""
-    labels = ids if labels is None else labels
-    forest, index, out = Forest(labels), Index(percent), []
+def linked(sets: list[np.ndarray], percent: int, labels: list[int], queries: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of labels that connect all that is connected among the sets; sets of one label
+    count as connected already. With ``queries``, the first so many sets are searched
+    among the others only."""
+    forest, index, out = Forest(), Index(percent), []
     own: list[int] = []
-    asked = range(len(ids)) if queries is None else range(queries)
-    for i in range(queries or 0, len(ids)) if queries is not None else ():
+
+    def add(i: int) -> None:
         index.add(sets[i])
         own.append(i)
-    for i in asked:
+
+    for i in range(queries, len(sets)) if queries is not None else ():
+        add(i)
+    for i in range(len(sets) if queries is None else queries):
         for j in index.search(sets[i], lambda j: forest.root(labels[own[j]]) == forest.root(labels[i])):
-            out.append((ids[i], ids[own[j]]))
-            forest.join(labels[i], labels[own[j]])
+            out.append((labels[i], labels[own[j]]))
+            forest.join(*out[-1])
         if queries is None:
-            index.add(sets[i])
-            own.append(i)
+            add(i)
     return out
 
 
 def _search_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links inside each group of ``rows`` (keys, cid, label, shingles, and ``asks`` where
-    some rows are searched among the others)."""
+    """Searches inside each group of ``rows`` (keys, cid, label, shingles). Gives (label,
+    root) of all rows: the least label that its own is connected with in its group. Where
+    rows have ``asks``, those that do are searched among the others, and only labels that
+    are connected with another come back."""
     two_sided = "asks" in rows.columns
 
     def settle(group: list[dict]) -> list[tuple[int, int]]:
-        if len(group) < 2:
-            return []
-        group.sort(key=lambda r: (not r["asks"], r["cid"]) if two_sided else r["cid"])
-        return linked([r["cid"] for r in group], [np.frombuffer(r["shingles"], "<u8") for r in group], percent,
-                      [r["label"] for r in group], sum(r["asks"] for r in group) if two_sided else None)
+        if two_sided:
+            group.sort(key=lambda r: (not r["asks"], r["cid"]))
+        else:
+            group.sort(key=lambda r: r["cid"])
+        labels = [r["label"] for r in group]
+        forest = Forest()
+        if len(group) > 1:
+            for pair in linked([np.frombuffer(r["shingles"], "<u8") for r in group], percent, labels,
+                               sum(r["asks"] for r in group) if two_sided else None):
+                forest.join(*pair)
+        return [(x, forest.root(x)) for x in dict.fromkeys(forest.up if two_sided else labels)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["label", "root"])
+
         for batch in batches:
             found: list[tuple[int, int]] = []
             for r in batch.to_pylist():
@@ -291,12 +286,11 @@ def _search_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
                     found += settle(group)
                     at, group = key, []
                 group.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-        found = settle(group)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+            yield batch_of(found)
+        yield batch_of(settle(group))
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(task, "a long, b long")
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(task, "label long, root long")
 
 
 def _families(classes: DataFrame) -> DataFrame:
@@ -307,38 +301,40 @@ def _families(classes: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("cid"), F.col("root").alias("family"))
 
 
-def _links(classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between classes that connect all that is connected."""
+def _roots(classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """(cid, root) of the classes in families: the component each is in."""
     families = _families(classes)
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     members = written(
         classes.select("cid", "shingles").join(families, "cid").join(sizes, "family")
         .withColumn("blocks", F.ceil(F.col("members") / block).cast("long"))
-        .withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")), "members")
-    inside = written(_search_groups(members.withColumn("label", F.col("cid")), ["family", "block"], percent), "inside")
-    large = members.filter("blocks > 1")
+        .withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("label", F.col("cid")), "members")
+    inside = written(_search_groups(members, ["family", "block"], percent).withColumnRenamed("label", "cid"), "inside")
+    large = members.filter("blocks > 1").drop("label")
     if large.isEmpty():
         return inside
-    roots = components(inside).withColumnRenamed("node", "cid")
-    labelled = large.join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
+    # one set of each component found so far, against those of other blocks
+    labelled = written(large.join(inside, "cid").withColumnRenamed("root", "label"), "labelled")
     centres = labelled.filter("cid = label")
     pieces = centres.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
-    across = written(_search_groups(
-        centres.join(pieces, "family").withColumn("piece", F.pmod(F.xxhash64("cid"), "pieces")), ["family", "piece"], percent), "across")
-    both = inside.union(across)
-    roots = components(both).withColumnRenamed("node", "cid")
-    labelled = written(large.join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"), "labelled")
-    weight = labelled.groupBy("family", "label").agg(F.count("*").alias("n"))
-    main = weight.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    across = _search_groups(centres.join(pieces, "family").withColumn("piece", F.pmod(F.xxhash64("cid"), "pieces")),
+                            ["family", "piece"], percent)
+    labelled = written(labelled.join(across, "label").drop("label").withColumnRenamed("root", "label"), "labelled")
+    # every set outside the largest component, in all blocks
+    main = (labelled.groupBy("family", "label").agg(F.count("*").alias("n"))
+            .groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main")))
     outside = labelled.join(main, "family").filter("label <> main").drop("main")
     rounds = outside.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
-    asking = (outside.join(rounds, "family").withColumn("piece", F.pmod(F.xxhash64("cid"), "pieces"))
-              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("asks", F.lit(True)))
-    asked = (labelled.join(rounds, "family")
-             .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).withColumn("asks", F.lit(False)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     cols = ["family", "block", "piece", "asks", "cid", "label", "shingles"]
+    asking = (outside.join(rounds, "family").withColumn("piece", F.pmod(F.xxhash64("cid"), "pieces"))
+              .withColumn("block", each("blocks")).withColumn("asks", F.lit(True)))
+    asked = labelled.join(rounds, "family").withColumn("piece", each("pieces")).withColumn("asks", F.lit(False))
     last = _search_groups(asking.select(*cols).union(asked.select(*cols)), ["family", "block", "piece"], percent)
-    return both.union(written(last, "outside"))
+    merged = components(last.select(F.col("label").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "label")
+    final = (labelled.select("cid", "label").join(merged, "label", "left")
+             .select("cid", F.coalesce("root", "label").alias("root")))
+    return inside.join(large.select("cid"), "cid", "left_anti").union(final)
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -358,7 +354,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     chosen = (shared.join(first, digest).filter((F.col("doc_id") == F.col("one.doc_id")) & (F.col("tie") == F.col("one.tie")))
               .select(*digest, "first", "shingles", "doc_id"))
     classes = written(chosen.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    roots = components(_links(classes, percent, block)).withColumnRenamed("node", "cid")
+    roots = _roots(classes, percent, block)
     named = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
     rooted = classes.select("cid", "doc_id", *digest).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = rooted.groupBy("root").agg(F.min(named).alias("component_id"))

@@ -5,8 +5,9 @@ import pytest
 from henhouse.llm.components import components
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_union_find(spark, seed):
+@pytest.mark.parametrize("seed, at_once", [(1, 200_000), (1, 25), (2, 60)])
+def test_components_equal_union_find(spark, monkeypatch, seed, at_once):
+    monkeypatch.setattr("henhouse.llm.components.CONTRACT_LINKS", at_once)
     rng = random.Random(seed)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)]
     links += [(i, i + 1) for i in range(400, 440)] + [(500, 500 + i) for i in range(30)] + [(7, 7)]
