@@ -45,10 +45,6 @@ def months_bounded(date_col: str, as_of) -> Column:
     return trailing_12_months(date_col, as_of) & (F.col(date_col) < F.add_months(month_start(as_of), 1))
 
 
-def by_key(col: str, value) -> Column:
-    return F.col(col) == F.lit(value)
-
-
 def by_customer(customer_col: str, customer: str | None) -> Column:
     """Null-aware customer match: a blank or missing name selects the no-customer
     group, any other name matches the trimmed stored name exactly."""
@@ -67,5 +63,5 @@ def active_admins(users: DataFrame) -> DataFrame:
 
 
 def in_keys(df: DataFrame, col: str, keys: DataFrame, key_col: str = "id") -> DataFrame:
-    """Many-key form of ``by_key``: a left semi join, so one job serves every key."""
+    """Rows whose key is among ``keys``: a left semi join, so one job serves every key."""
     return df.join(keys.select(_c(key_col).alias("__k")), F.col(col) == F.col("__k"), "left_semi")

@@ -28,11 +28,16 @@ def with_shed(t: Tables, df: DataFrame, col: str = "galpon_id", name: str = "gal
     return df.join(g, F.col(col) == F.col("__gid"), "left").drop("__gid")
 
 
+def _newest(df: DataFrame, date_col: str) -> DataFrame:
+    """The order of a capped list, stated again after the joins of names."""
+    return df.orderBy(F.col(date_col).desc(), F.col("created_at").desc(), F.col("id").desc())
+
+
 def collection_history(t: Tables, k: int = 500) -> DataFrame:
     dc = t.daily_collections
     top = dc.orderBy(F.col("collection_date").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(k)
     top = top.withColumn("eggs", X.total_eggs().cast("bigint"))
-    return with_shed(t, with_author(t, top))
+    return _newest(with_shed(t, with_author(t, top)), "collection_date")
 
 
 def sales_history(t: Tables, k: int = 500) -> DataFrame:
@@ -41,13 +46,13 @@ def sales_history(t: Tables, k: int = 500) -> DataFrame:
     items = t.sale_items.join(F.broadcast(top.select(F.col("id").alias("sale_id"))), "sale_id", "left_semi")
     e = eggs_per_sale(items)
     j = with_author(t, top).join(e, F.col("id") == e.sale_id, "left").drop("sale_id")
-    return j.withColumn("eggs", F.coalesce("eggs", F.lit(0)).cast("bigint")) \
-            .withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("bigint"))
+    return _newest(j.withColumn("eggs", F.coalesce("eggs", F.lit(0)).cast("bigint"))
+                   .withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("bigint")), "sale_date")
 
 
 def expense_history(t: Tables, k: int = 500) -> DataFrame:
     top = t.expenses.orderBy(F.col("expense_date").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(k)
-    return with_shed(t, with_author(t, top))
+    return _newest(with_shed(t, with_author(t, top)), "expense_date")
 
 
 def collections_on(t: Tables, as_of) -> DataFrame:

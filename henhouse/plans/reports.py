@@ -110,7 +110,7 @@ def report_series(t: Tables, period: int, as_of) -> DataFrame:
         F.col("s").cast("double").alias("sales"),
         F.col("e").cast("double").alias("expenses"),
         (F.col("s").cast("double") - F.col("e").cast("double")).alias("profit"),
-    )
+    ).orderBy("date")  # at most 31 days or 12 months
 
 
 def report_kpis(t: Tables, period: int, as_of, series: DataFrame | None = None) -> DataFrame:

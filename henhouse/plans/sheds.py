@@ -62,7 +62,7 @@ def shed_series(t: Tables, period: int, as_of) -> DataFrame:
     agg = (zeros.unionByName(facts).groupBy("galpon_id", "d")
            .agg(F.sum("eggs").alias("eggs"), F.sum("rotos").alias("rotos"), F.max("known").alias("known")))
     return agg.filter(F.col("known") == 1).select(
-        "galpon_id", label("d").alias("label"), F.col("d").alias("date"), "eggs", "rotos")
+        "galpon_id", label("d").alias("label"), F.col("d").alias("date"), "eggs", "rotos").orderBy("galpon_id", "date")
 
 
 def shed_totals(t: Tables, period: int, as_of) -> DataFrame:

@@ -88,13 +88,16 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` (a shared file system named by
-    the cluster); it is only set here when the session has none, as in local tests.
+    the cluster). Only a local session that has none gets a folder of its own, as in
+    tests; elsewhere a folder of this machine would be lost to the executors.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             d = tempfile.mkdtemp(prefix="henhouse-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
