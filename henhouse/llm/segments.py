@@ -27,7 +27,7 @@ from henhouse.llm.common import NULL_ID, extent, keyed_texts
 from henhouse.llm.words import Texts, blocks, mix
 
 #: Bytes of text cut at once, and bytes of segments a bucket gathers before it joins equal ones.
-CUT_BYTES, GATHER_BYTES = 2 << 20, 16 << 20
+CUT_BYTES, GATHER_BYTES = 2 << 20, 12 << 20
 #: Bytes of segments aimed at in a bucket; with about 3.3 bytes of segment for each of text.
 BUCKET_BYTES, GROWTH = 8 << 20, 3.3
 RANGES = "doc_id long, tie long, low long, high long"

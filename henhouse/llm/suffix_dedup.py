@@ -73,13 +73,16 @@ def cutter(window: int, gram: int):
         tails[:-8] = heads[8:]
         with np.errstate(over="ignore"):
             keys = mix(mix(heads) * np.uint64(0x9FB21C651E98DF25) + tails)
+        del heads, tails
         keys = keys >> PLACE_BITS << PLACE_BITS | np.arange(size, dtype=np.uint64)
         least = sliding_min(keys[:size - gram + 1], window - gram + 1)
+        del keys
         edge = np.zeros(size + 1, np.int32)
         full = whole > 0
         edge[texts.bounds[:-1][full]] += 1
         edge[texts.bounds[:-1][full] + whole[full]] -= 1
-        valid = np.flatnonzero(np.cumsum(edge[:-1]))
+        valid = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32))
+        del edge
         least = least[valid]
         value = least >> PLACE_BITS
         first, count = runs(valid, value)
