@@ -12,11 +12,19 @@ from henhouse.sources.tables import Tables
 ITEM_FIELDS = ["product_type", "category", "quantity", "eggs_per_unit", "unit_price", "line_total"]
 
 
-def eggs_per_sale(items: DataFrame) -> DataFrame:
-    """Items pre-aggregated per sale (joins then cannot fan out sale totals)."""
+def eggs_per_sale(items: DataFrame, nested: bool = False) -> DataFrame:
+    """Items pre-aggregated per sale (joins then cannot fan out sale totals); ``nested``
+    adds the items themselves as an ordered array."""
+    more = [F.array_sort(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items")] if nested else []
     return items.groupBy("sale_id").agg(
         F.sum(X.line_eggs("quantity", "eggs_per_unit")).alias("eggs"),
-        F.count(F.lit(1)).alias("n_items"))
+        F.count(F.lit(1)).alias("n_items"), *more)
+
+
+def items_text(items) -> F.Column:
+    """The items of a sale in one line: product:category:quantity:price:total; ..."""
+    return F.concat_ws(";", F.transform(items, lambda i: F.concat_ws(
+        ":", *[i[f].cast("string") for f in ("product_type", "category", "quantity", "unit_price", "line_total")])))
 
 
 def customer_rollup(t: Tables) -> DataFrame:
@@ -40,7 +48,7 @@ def customer_rollup(t: Tables) -> DataFrame:
 
 def customer_sales(t: Tables, customer: str | None = None, all_customers: bool = True,
                    k: int = 200) -> DataFrame:
-    """Latest ``k`` active sales per normalised customer with author and eggs.
+    """Latest ``k`` active sales per normalised customer with author, eggs and items.
 
     With ``all_customers`` every customer's list is built in one job (per-group
     top-k with a partial WindowGroupLimit before the shuffle); otherwise only the
@@ -57,14 +65,15 @@ def customer_sales(t: Tables, customer: str | None = None, all_customers: bool =
 
 
 def _with_items_and_author(t: Tables, top: DataFrame) -> DataFrame:
-    items = t.sale_items.join(top.select(F.col("id").alias("sale_id")), "sale_id", "left_semi")
-    e = eggs_per_sale(items)
+    """The capped list is computed once; the items are aggregated per sale beforehand, so
+    one join brings eggs, count and items."""
+    e = eggs_per_sale(t.sale_items, nested=True)
     u = t.users.select(F.col("id").alias("uid"), F.col("name").alias("actor_name"))
     j = top.join(e, top.id == e.sale_id, "left").join(u, top.created_by == u.uid, "left")
     return j.select(
         *[c for c in top.columns if c != "created_by"], "actor_name",
         F.coalesce("eggs", F.lit(0)).cast("bigint").alias("eggs"),
-        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"))
+        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), "items")
 
 
 def sale_items_nested(t: Tables) -> DataFrame:

@@ -41,10 +41,10 @@ def collection_history(t: Tables, k: int = 500) -> DataFrame:
 
 
 def sales_history(t: Tables, k: int = 500) -> DataFrame:
-    """Latest sales (voided kept) with author, item count and eggs."""
+    """Latest sales (voided kept) with author, item count, eggs and the items."""
     top = t.sales.orderBy(F.col("sale_date").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(k)
     items = t.sale_items.join(F.broadcast(top.select(F.col("id").alias("sale_id"))), "sale_id", "left_semi")
-    e = eggs_per_sale(items)
+    e = eggs_per_sale(items, nested=True)
     j = with_author(t, top).join(e, F.col("id") == e.sale_id, "left").drop("sale_id")
     return _newest(j.withColumn("eggs", F.coalesce("eggs", F.lit(0)).cast("bigint"))
                    .withColumn("n_items", F.coalesce("n_items", F.lit(0)).cast("bigint")), "sale_date")
