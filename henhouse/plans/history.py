@@ -28,13 +28,25 @@ def with_shed(t: Tables, df: DataFrame, col: str = "galpon_id", name: str = "gal
     return df.join(g, F.col(col) == F.col("__gid"), "left").drop("__gid")
 
 
+def _recent(df: DataFrame, date_col: str, k: int) -> DataFrame:
+    """The rows of the latest days that together hold ``k`` rows: an exact cut for a list
+    of the k newest. The rows are counted per day (of a table stored by day that reads
+    no column), and the day at which the running count reaches k is a scalar subquery,
+    so the list itself reads the folders from that day on."""
+    days = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy(F.col(date_col).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = days.withColumn("n", F.sum("n").over(upto)).filter(F.col("n") >= k)
+    first = days.agg(F.min(date_col).alias("d")).scalar()
+    return df.filter(F.col(date_col) >= F.coalesce(reached.agg(F.max(date_col).alias("d")).scalar(), first))
+
+
 def _newest(df: DataFrame, date_col: str) -> DataFrame:
     """The order of a capped list, stated again after the joins of names."""
     return df.orderBy(F.col(date_col).desc(), F.col("created_at").desc(), F.col("id").desc())
 
 
 def collection_history(t: Tables, k: int = 500) -> DataFrame:
-    dc = t.daily_collections
+    dc = _recent(t.daily_collections, "collection_date", k)
     top = dc.orderBy(F.col("collection_date").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(k)
     top = top.withColumn("eggs", X.total_eggs().cast("bigint"))
     return _newest(with_shed(t, with_author(t, top)), "collection_date")
@@ -42,7 +54,7 @@ def collection_history(t: Tables, k: int = 500) -> DataFrame:
 
 def sales_history(t: Tables, k: int = 500) -> DataFrame:
     """Latest sales (voided kept) with author, item count, eggs and the items."""
-    top = t.sales.orderBy(F.col("sale_date").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(k)
+    top = _recent(t.sales, "sale_date", k).orderBy(F.col("sale_date").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(k)
     items = t.sale_items.join(F.broadcast(top.select(F.col("id").alias("sale_id"))), "sale_id", "left_semi")
     e = eggs_per_sale(items, nested=True)
     j = with_author(t, top).join(e, F.col("id") == e.sale_id, "left").drop("sale_id")
@@ -51,7 +63,7 @@ def sales_history(t: Tables, k: int = 500) -> DataFrame:
 
 
 def expense_history(t: Tables, k: int = 500) -> DataFrame:
-    top = t.expenses.orderBy(F.col("expense_date").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(k)
+    top = _recent(t.expenses, "expense_date", k).orderBy(F.col("expense_date").desc(), F.col("created_at").desc(), F.col("id").desc()).limit(k)
     return _newest(with_shed(t, with_author(t, top)), "expense_date")
 
 

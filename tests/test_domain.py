@@ -3,10 +3,12 @@ as the adapter path, with filters reaching the scan."""
 
 import io
 import os
+import re
 import tempfile
 from contextlib import redirect_stdout
 
 from henhouse.plans import customers as CU
+from henhouse.plans import history as H
 from henhouse.plans import reports as R
 from henhouse.sources.tables import Tables, write_domain
 
@@ -29,3 +31,10 @@ def test_domain_round_trip(spark, tables_small):
     plan = buf.getvalue()
     # the date predicate prunes partition folders
     assert "PartitionFilters: [isnotnull(collection_date" in plan
+    # the capped history reads the folders from its cut-off day on, and is the same list
+    for fn, k in ((H.collection_history, 60), (H.sales_history, 40), (H.expense_history, 100_000)):
+        assert [str(r.id) for r in fn(stored, k).collect()] == [str(r.id) for r in fn(tables_small, k).collect()]
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        H.collection_history(stored, 60).explain("formatted")
+    assert re.search(r"PartitionFilters: \[.*collection_date#\d+ >= coalesce\(.*[sS]ubquery", buf.getvalue())
