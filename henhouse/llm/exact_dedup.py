@@ -124,9 +124,25 @@ def decide(spark: SparkSession, path: str, digest: Callable[[Column], Column] =
     return decided.select(*out, *(["rec"] if payload else []))
 
 
+def _stored_at(docs: DataFrame) -> str | None:
+    """The path of the Parquet table that ``docs`` reads whole, if it is just that."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return None
+    files = plan.relation()
+    if files.getClass().getSimpleName() != "HadoopFsRelation" or not files.partitionSchema().isEmpty() \
+            or files.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return None
+    roots = files.location().rootPaths()
+    return roots.head().toString() if roots.size() == 1 else None
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``. ``docs`` is written to
-    the shared folder first, since a stream reads files."""
-    path = scratch_path(spark, "exact-dedup-input")
-    docs.write.parquet(path)
+    """The rows of ``docs`` that stay, with the columns of ``docs``. A stream reads files: the
+    ones that ``docs`` is read from, or, if it is more than a table read whole, those it is
+    written to first."""
+    path = _stored_at(docs)
+    if path is None:
+        path = scratch_path(spark, "exact-dedup-input")
+        docs.write.parquet(path)
     return decide(spark, path, payload=True, **options).filter("kept").select("rec.*")

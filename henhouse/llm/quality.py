@@ -169,26 +169,37 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500,
     return {tuple(int(v) for v in p): float(q) for (p, _), q in zip(patterns, post)}
 
 
-def judge(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``posterior`` and ``kept``; the column
-    ``text`` is left out unless ``keep_text``. No column may be named as these are."""
+def _voted(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the counts, ``base_failed`` and the rules' votes."""
     votes = [F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN).cast("int").alias(f"vote_{name}")
              for name, (bad, good) in rules().items()]
-    names = [f"vote_{name}" for name in rules()]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    counted = with_counts(docs, text).withColumn("base_failed", failed).select("*", *votes)
-    judged = written(counted if keep_text else counted.drop(text), "quality-counts")
-    seen = judged.groupBy(*names).count().collect()
+    return with_counts(docs, text).withColumn("base_failed", failed).select("*", *votes)
+
+
+def _decided(voted: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``voted`` with ``posterior`` and ``kept``, from the votes of all rows of ``patterns``."""
+    names = [f"vote_{name}" for name in rules()]
+    seen = patterns.groupBy(*names).count().collect()
     posterior = estimate(sorted((tuple(r[c] for c in names), r["count"]) for r in seen))
-    table = docs.sparkSession.createDataFrame(
+    table = voted.sparkSession.createDataFrame(
         [(*p, q) for p, q in posterior.items()], ", ".join([f"{c} int" for c in names] + ["posterior double"]))
-    return (judged.join(F.broadcast(table), names)
+    return (voted.join(F.broadcast(table), names)
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop(*names))
 
 
+def judge(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the counts, ``base_failed``, ``posterior`` and ``kept``, without the
+    column ``text``. No column may be named as these are. The counts are written once."""
+    judged = written(_voted(docs, text).drop(text), "quality-counts")
+    return _decided(judged, judged)
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns."""
+    """The rows of ``docs`` that are kept, all columns. The texts are counted twice, once
+    for the vote patterns and once on their way through, rather than written between."""
     named = {f"column_{i}": c for i, c in enumerate(docs.columns)}
     text = next(n for n, c in named.items() if c == "text")
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in named.items()])
-    return judge(rows, text, keep_text=True).filter("kept").select(*[F.col(n).alias(c) for n, c in named.items()])
+    decided = _decided(_voted(rows, text), _voted(docs.select(F.col("text").alias(text)), text))
+    return decided.filter("kept").select(*[F.col(n).alias(c) for n, c in named.items()])

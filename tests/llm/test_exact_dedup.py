@@ -55,6 +55,14 @@ def test_single_file_and_empty_table(spark, no_docs):
     assert exact_dedup.decide(spark, _stored(no_docs)).count() == 0
 
 
+def test_drop_copies_of_more_than_a_table(spark, awkward_docs):
+    """Rows that are filtered or made are written first; a stored table is read in place."""
+    some = awkward_docs.filter("doc_id > 30 or doc_id is null")
+    assert exact_dedup._stored_at(awkward_docs) and exact_dedup._stored_at(some) is None
+    texts = [(r.text or "").translate(LOWER) for r in some.collect()]
+    assert exact_dedup.drop_copies(spark, some).count() == len(set(texts)) < len(texts)
+
+
 def test_drop_copies_keeps_columns(spark, awkward, awkward_docs):
     left = written(exact_dedup.drop_copies(spark, awkward_docs), "left")
     assert left.columns == awkward_docs.columns
