@@ -1,5 +1,3 @@
-import numpy as np
-import zlib
 from collections import Counter
 
 import corpus_pipeline
