@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB oracle (sf0.001), as the round driver
+"""Every registered farm query against its DuckDB oracle (sf0.001), as the round driver
 does at sf0.01; queries without an oracle must at least run."""
 
 import datetime as dt
@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from henhouse import catalog
 
 SF = "/root/testdata/sf0.001"
 RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -41,7 +42,7 @@ def test_entry(spark):
     assert df.count() == 7
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns
