@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 #: Characters encoded at once.
 CALL_CHARS = 1 << 20
 #: Parts a worker remembers: at most twice as many.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 def byte_bpe_path() -> str:
