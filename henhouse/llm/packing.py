@@ -6,7 +6,8 @@ pieces, then the rest. Only the histogram of piece lengths (at most ``size`` num
 reaches the driver. There lengths are placed longest first; a length's pieces go to the
 kind of pack that is emptiest so far, and the counts of packing patterns are updated
 rather than any single pack, so the work depends on the number of lengths and patterns
-and not on the number of documents. The patterns come back as a small table: pieces of
+and not on the number of documents. Pieces that fit no open pack open one that further
+pieces of their length fill up. The patterns come back as a small table: pieces of
 length L with ranks a..b fill one place of one pattern. Ranks come from one range
 exchange of the piece records (``ranks.ranked``), which splits a length that a third of
 all pieces share over many tasks.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,13 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...]
                 if count > left:
                     heapq.heappush(packs, (free, order, lengths, count - left))
                     order += 1
-            else:
-                free, lengths, count = -size, (), left
+            else:  # none fits: the pack opened next is the emptiest until it is full of this length
+                per = size // length
+                for times, opened in ((per, left // per), (left % per, 1)):
+                    if times and opened:
+                        heapq.heappush(packs, (times * length - size, order, (length,) * times, opened))
+                        order += 1
+                break
             used = min(count, left)
             left -= used
             grown = (free + length, order, (*lengths, length), used)
@@ -96,6 +102,28 @@ def places(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
     return out
 
 
+def placer(found: list[tuple[int, int, int, int, int]], size: int) -> Callable:
+    """Pieces with their sequence and offset, looked up by length and rank: a length has as
+    many places as patterns hold it, too many to join each piece with all of them."""
+    table = np.array(sorted(found), np.int64).reshape(-1, 5)
+    length, low, high, sequence, offset = table.T
+    first = np.zeros(size + 1, np.int64)  # pieces of lesser lengths
+    ends = np.cumsum(high - low)
+    starts = ends - (high - low)
+    at = np.flatnonzero(low == 0)
+    first[length[at]] = starts[at]
+    shift = sequence - low
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = np.asarray(batch.column("rank"))
+            at = np.searchsorted(starts, first[np.asarray(batch.column("length"))] + rank, "right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shift[at] + rank), pa.array(offset[at])],
+                                             [*batch.schema.names[:-1], "sequence_id", "offset"])
+
+    return place
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, size: int = 2048,
          with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
@@ -103,13 +131,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, size:
     spark = docs.sparkSession
     cut = written(pieces(docs, vocabulary or byte_bpe_path(), end_id, size, with_ids), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    table = spark.createDataFrame(places(patterns(counts, size)),
-                                  "length long, low long, high long, sequence long, offset long")
     lines = ranked(cut.drop("ids"), "length", ["doc_id", "tie", "start"], "piece-ranks")
-    placed = (lines.join(F.broadcast(table), "length")
-              .filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-              .select("doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens",
-                      (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset"))
+    placed = lines.select("doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(
+        placer(places(patterns(counts, size)), size), PIECES + ", sequence_id long, offset long")
     if with_ids:
         same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "tie", "start")]
         ids = cut.select("doc_id", "tie", "start", "ids").dropDuplicates(["doc_id", "tie", "start"])

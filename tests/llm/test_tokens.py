@@ -1,3 +1,4 @@
+import heapq
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -102,6 +103,36 @@ def test_packing_with_ids_and_without_rows(spark, awkward, awkward_docs, no_docs
     assert packing.pack(no_docs).count() == 0
 
 
+def _packed_one_by_one(histogram, size):
+    """Free room of the packs after each piece went to the emptiest that fits, longest first."""
+    free = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            if not free or free[0] > -length:
+                heapq.heappush(free, -size)
+            heapq.heapreplace(free, free[0] + length)
+    return Counter(-f for f in free)
+
+
+def test_a_hot_short_length_fills_the_packs_it_opens():
+    rng = random.Random(11)
+    hot = [({1: 10_000}, 2048), ({1024: 50}, 2048), ({700: 7, 100: 5000, 1: 3000}, 2048), ({2048: 3, 9: 1}, 2048)]
+    hot += [({rng.randint(1, n): rng.randint(1, 400) for _ in range(6)}, n) for n in (5, 17, 64) for _ in range(20)]
+    for histogram, size in hot:
+        left = Counter()
+        for lengths, n in packing.patterns(histogram, size):
+            left[size - sum(lengths)] += n
+        assert left == _packed_one_by_one(histogram, size)
+    assert sum(n for _, n in packing.patterns({1: 10_000_000}, 2048)) == -(-10_000_000 // 2048)
+
+
+def test_copies_of_a_short_text_share_sequences(spark):
+    docs = spark.createDataFrame([(i, "a short text" if i % 3 else "") for i in range(900)], "doc_id long, text string")
+    got = packing.pack(docs, size=64).collect()
+    _check_packs(got, [(i, "a short text" if i % 3 else "") for i in range(900)], 64, 1)
+    assert sum(r.length for r in got) > 0.95 * 64 * len({r.sequence_id for r in got})
+
+
 def test_little_padding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = packing.pack(docs).selectExpr("sum(length) / (count(distinct sequence_id) * 2048)").first()
