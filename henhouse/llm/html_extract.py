@@ -3,10 +3,13 @@
 Pages of one host share templates, so the place of the article is decided per host, not per
 page. Every page scores its containers (text that is not links, shared with the outer
 ones) and votes for the generalised path of its best one: tags with their classes, digits
-taken out. Spark counts the votes per host and path; the paths that enough pages of a host
-voted for are its winners, in the order of their votes. Each page is then read again and
-its text taken from the containers on the first winning path that holds a fair part of
-what its own best container has; a page no winner fits keeps its own choice.
+taken out. Spark counts per host and path the votes and the pages that have text there; a path
+that at least half of its pages voted for wins. Each page is then read again and its text
+taken from the containers on all winning paths it has, each widened to the article around
+it; a page no winner fits keeps its own choice. So a box that is the longest part of one
+page does not win where the host's other pages have the same box and voted otherwise, and
+an article in several containers is whole if each is the article of most of its pages, or
+if they stand in one article element.
 
 The votes are pre-aggregated before the exchange, so a host with a third of all pages costs
 one row per task and path. The winners (at most ``PATHS`` rows a host) are written; where
@@ -20,6 +23,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,11 +43,15 @@ def host_of(url: Column) -> Column:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(h, *v) for h, p in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())
-                 if (v := html_pages.vote(p))]
+        votes, seen = Counter(), Counter()
+        for h, p in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            best, paths = html_pages.ballot(p)
+            seen.update((h, path) for path in paths)
+            votes.update([(h, best)] if best else [])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()),
-             pa.array([f[2] for f in found], pa.float64())], ["host", "path", "score"])
+            [pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.string()),
+             pa.array([votes[k] for k in seen], pa.int64()), pa.array(seen.values(), pa.int64())],
+            ["host", "path", "votes", "seen"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,9 +67,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def winners(pages: DataFrame, paths: int = PATHS, support: float = SUPPORT) -> DataFrame:
     """(host, paths): the winning paths of each host in the order of their votes. ``pages``
     has host and html."""
-    votes = (pages.select("host", "html").mapInArrow(_votes, "host string, path string, score double")
-             .groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score")))
-    rank = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")
+    votes = (pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes long, seen long")
+             .groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("seen").alias("seen"))
+             .filter(F.col("votes") * 2 >= F.col("seen")))
+    rank = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     ranked = (votes.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= paths)
               .withColumn("top", F.max("votes").over(Window.partitionBy("host"))))
     return (ranked.filter(F.col("votes") >= F.col("top") * support).groupBy("host")

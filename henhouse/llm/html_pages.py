@@ -20,7 +20,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary "
                   "table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article blockquote body div main section td".split())
+CONTAINERS = frozenset("article body div main section td".split())
 OUT = frozenset("aside audio button canvas dialog datalist embed footer form head iframe input label map menu meter nav noembed noframes "
                 "noscript object optgroup option progress script select style svg template textarea title video xmp".split())
 OUT_WORDS = frozenset("ad ads adv advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments "
@@ -30,6 +30,8 @@ OUT_WORDS = frozenset("ad ads adv advert advertisement adverts advertising adsen
                       "sponsored subscribe subscription toolbar topbar widget".split())
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text".split())
+#: Of these, the ones that also name what holds a whole site.
+SITE_WORDS = frozenset("main page".split())
 #: Elements that end when one of these starts before their end tag.
 ENDS = {"p": BLOCK - {"html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
         "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}}
@@ -44,15 +46,19 @@ class Node:
     parent: int
     out: bool
     hint: float
+    whole: bool = False  # an article or main by its tag or role
+    named: bool = False  # one by its class or id
+    prose: bool = False  # text that is not short or links stands in it outside inner containers
     score: float = 0.0
 
 
 @dataclass
 class Page:
-    """``nodes`` of a page in order, and its text ``blocks``: (node, text)."""
+    """``nodes`` of a page in order, and its text ``blocks``: (node, text), with their ``values``."""
 
     nodes: list[Node] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    values: list[float] = field(default_factory=list)
 
     def within(self, node: int, chosen: set[int]) -> bool:
         while node >= 0:
@@ -64,20 +70,41 @@ class Page:
     def text(self, chosen: set[int]) -> str:
         return "\n".join(t for n, t in self.blocks if self.within(n, chosen))
 
+    def held(self, chosen: set[int]) -> float:
+        return sum(v for (n, _), v in zip(self.blocks, self.values) if v and self.within(n, chosen))
+
+    def whole(self, node: int) -> int:
+        """The container of the article that ``node`` is a part of: the nearest article or
+        main, else the outermost one that is named so or has text beside ``node``."""
+        top, at = node, node
+        while at >= 0 and (n := self.nodes[at]).tag not in ("body", "html"):
+            if n.tag in CONTAINERS:
+                if n.whole:
+                    return at
+                if n.named or n.prose:
+                    top = at
+            at = n.parent
+        return top
+
+    def candidates(self) -> list[int]:
+        return [i for i, n in enumerate(self.nodes) if n.score > 0]
+
     def best(self) -> int:
-        """The container with the highest score (the first of equals), or -1."""
-        scored = [i for i, n in enumerate(self.nodes) if n.score > 0]
-        return max(scored, key=lambda i: (self.nodes[i].score, -i), default=-1)
+        """The article around the container with the highest score (the first of equals), or -1."""
+        best = max(self.candidates(), key=lambda i: (self.nodes[i].score, -i), default=-1)
+        return self.whole(best) if best >= 0 else -1
 
 
 def _words(value: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(value)}
 
 
-def _described(tag: str, rest: str, inside: bool) -> tuple[str, bool, float]:
-    """The step of the generalised path, whether the element is not article text, and a hint."""
+def _described(tag: str, rest: str, inside: bool) -> tuple[str, bool, float, bool, bool]:
+    """The step of the generalised path, whether the element is not article text, a hint,
+    and whether it is a whole article by its tag or role, or by its class or id."""
     if not rest.strip(" /"):
-        return tag, tag in OUT or (tag == "header" and not inside), 1.25 if tag in ("article", "main") else 1.0
+        whole = tag in ("article", "main")
+        return tag, tag in OUT or (tag == "header" and not inside), 1.25 if whole else 1.0, whole, False
     attrs = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(rest)}
     classes = attrs.get("class", "").split()
     step = ".".join([tag, *sorted({re.sub(r"\d+", "", c).strip("-_").lower() for c in classes} - {""})])
@@ -87,8 +114,8 @@ def _described(tag: str, rest: str, inside: bool) -> tuple[str, bool, float]:
     named = _words(" ".join([*classes, attrs.get("id", "")]))
     if tag not in ("html", "body", "article", "main"):
         out = out or bool(named & OUT_WORDS)
-    hint = 1.25 if tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or named & GOOD_WORDS else 1.0
-    return step, out, hint
+    whole = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
+    return step, out, 1.25 if whole or named & GOOD_WORDS else 1.0, whole, bool(named & (GOOD_WORDS - SITE_WORDS))
 
 
 def read(source: str) -> Page:
@@ -106,12 +133,15 @@ def read(source: str) -> Page:
             parts.clear()
             if text:
                 page.blocks.append((stack[-1], text))
+                inner = True
                 value = max(0.0, len(text) - 3.0 * linked) * (1.0 if len(text) >= 25 else 0.2)
+                page.values.append(value)
                 at, share = stack[-1], 1.0
                 while at >= 0 and value:
                     if nodes[at].tag in CONTAINERS:
                         nodes[at].score += value * share * nodes[at].hint
-                        share /= 2
+                        nodes[at].prose |= inner and len(text) >= 25
+                        share, inner = share / 2, False
                     at = nodes[at].parent
         linked = 0
 
@@ -175,10 +205,10 @@ def read(source: str) -> Page:
             if tag in ("br", "wbr", "img"):
                 say(" " if tag != "wbr" else "")
             continue
-        step, out, hint = _described(tag, rest, inside > 0)
+        step, out, *hints = _described(tag, rest, inside > 0)
         up = stack[-1]
         path = f"{nodes[up].path}/{step}" if up >= 0 and tag in CONTAINERS | OUT else (nodes[up].path if up >= 0 else step)
-        nodes.append(Node(tag, path, up, out, hint))
+        nodes.append(Node(tag, path, up, out, *hints))
         stack.append(len(nodes) - 1)
         links += tag == "a"
         hidden += out
@@ -195,15 +225,22 @@ def vote(source: str) -> tuple[str, float] | None:
     return (page.nodes[best].path, page.nodes[best].score) if best >= 0 else None
 
 
+def ballot(source: str) -> tuple[str | None, set[str]]:
+    """The generalised path of the page's best container, and those of all that hold text."""
+    page = read(source)
+    best = page.best()
+    return page.nodes[best].path if best >= 0 else None, {page.nodes[i].path for i in page.candidates()}
+
+
 def extract(source: str, paths: list[str]) -> str:
-    """The text of the containers on the first of ``paths`` that holds a fair part (0.3) of
-    what the page's best container has; of that container if there is none."""
+    """The text of the articles that the containers on ``paths`` are parts of. Where they
+    hold no fair part (0.3) of what the page's best container has, its text as well."""
     page = read(source)
     best = page.best()
     if best < 0:
         return "\n".join(t for _, t in page.blocks)
-    for path in paths:
-        chosen = {i for i, n in enumerate(page.nodes) if n.path == path and n.tag in CONTAINERS and n.score > 0}
-        if chosen and sum(page.nodes[i].score for i in chosen) >= 0.3 * page.nodes[best].score:
-            return page.text(chosen)
-    return page.text({best})
+    winning = set(paths)
+    chosen = {page.whole(i) for i in page.candidates() if page.nodes[i].path in winning}
+    if page.held(chosen) < 0.3 * page.held({best}):
+        chosen.add(best)
+    return page.text(chosen)

@@ -48,6 +48,36 @@ def test_consensus_overrides_a_page(spark):
     assert got[(21, 0)] == "" and got[(22, 0)] == ""
 
 
+LEAD = "The lead of this article says in short what it is about. "
+REST = "The rest of the article tells it at length, with all there is to say. "
+
+
+@pytest.mark.parametrize("source, text", [
+    (f"<body><div><p>{LEAD}</p><blockquote>{REST * 3}</blockquote></div></body>", f"{LEAD.strip()}\n{(REST * 3).strip()}"),
+    (f"<body><article><h1>Title</h1><div class=lead>{LEAD}</div><div class=body>{REST * 4}</div></article></body>",
+     f"Title\n{LEAD.strip()}\n{(REST * 4).strip()}"),
+    (f"<body><div class=entry-content><div class=lead>{LEAD}</div><div class=rest>{REST * 4}</div></div></body>",
+     f"{LEAD.strip()}\n{(REST * 4).strip()}"),
+    (f"<body><div class=x><p>{LEAD}</p><div class=rest>{REST * 4}</div></div></body>", f"{LEAD.strip()}\n{(REST * 4).strip()}"),
+])
+def test_siblings_of_the_best_part(source, text):
+    assert html_pages.extract(source, []) == text
+    assert html_pages.extract(source, [html_pages.vote(source)[0]]) == text
+
+
+def test_two_templates_on_a_host(spark):
+    """Short pages in one container, long ones with a second one beside it, others elsewhere."""
+    short, long, other = "<body><div class=lead>{}</div></body>", "<body><div class=lead>{}</div><div class=rest>{}</div></body>", "<body><div class=b><section>{}</section></div></body>"
+    rows = [(i, "http://h.example/%d" % i, short.format(LEAD * 3)) for i in range(20)]
+    rows += [(i, "http://h.example/%d" % i, long.format(LEAD, REST * 3)) for i in range(20, 28)]
+    rows += [(i, "http://h.example/%d" % i, other.format(REST)) for i in range(28, 31)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert {got[i] for i in range(20)} == {(LEAD * 3).strip()}
+    assert {got[i] for i in range(20, 28)} == {f"{LEAD.strip()}\n{(REST * 3).strip()}"}
+    assert {got[i] for i in range(28, 31)} == {REST.strip()}
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract(pages).count() == 0
