@@ -11,10 +11,13 @@ page does not win where the host's other pages have the same box and voted other
 an article in several containers is whole if each is the article of most of its pages, or
 if they stand in one article element.
 
-The votes are pre-aggregated before the exchange, so a host with a third of all pages costs
-one row per task and path. The winners (at most ``PATHS`` rows a host) are written; where
-the table is small by its size on disk Spark sends it to all tasks, else it is joined by
-host, with large hosts split by adaptive execution.
+Every voted path counts, however many a host has. Pages are grouped by host and template
+(the hash of the set of paths with text); a template carries its paths, and they meet the
+host's counts in a join. So a page is sent the winners among its own paths only, and a
+host of many templates makes no row longer. The votes are summed before the exchange, so a
+host with a third of all pages costs one row per task and template. The winners are
+written; where the table is small by its size on disk Spark sends it to all tasks, else it
+is joined by host and template, with large ones split by adaptive execution.
 
 Defined results: null or empty html gives an empty text; a url without a host, or none,
 falls under the empty host; repeated page_ids are extracted each by itself; an empty table
@@ -25,33 +28,40 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from henhouse.llm import html_pages
 from henhouse.llm.common import written
 
-#: Winning paths of a host at most, and the share of its pages that must vote for one.
-PATHS, SUPPORT = 20, 0.02
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _template(paths: set[str]) -> int:
+    return int.from_bytes(blake2b("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes, seen = Counter(), Counter()
+        votes: Counter = Counter()
         for h, p in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             best, paths = html_pages.ballot(p)
-            seen.update((h, path) for path in paths)
-            votes.update([(h, best)] if best else [])
+            if best:
+                votes[h, tuple(sorted(paths)), best] += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.string()),
-             pa.array([votes[k] for k in seen], pa.int64()), pa.array(seen.values(), pa.int64())],
-            ["host", "path", "votes", "seen"])
+            [pa.array([h for h, _, _ in votes], pa.string()), pa.array([_template(set(p)) for _, p, _ in votes], pa.int64()),
+             pa.array([list(p) for _, p, _ in votes], pa.list_(pa.string())), pa.array([b for _, _, b in votes], pa.string()),
+             pa.array(votes.values(), pa.int64())], ["host", "template", "paths", "best", "votes"])
+
+
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_template(html_pages.ballot(p)[1]) for p in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "template"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,24 +74,24 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["page_id", "url", "text", "n_chars", "host"])
 
 
-def winners(pages: DataFrame, paths: int = PATHS, support: float = SUPPORT) -> DataFrame:
-    """(host, paths): the winning paths of each host in the order of their votes. ``pages``
-    has host and html."""
-    votes = (pages.select("host", "html").mapInArrow(_votes, "host string, path string, votes long, seen long")
-             .groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("seen").alias("seen"))
-             .filter(F.col("votes") * 2 >= F.col("seen")))
-    rank = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    ranked = (votes.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= paths)
-              .withColumn("top", F.max("votes").over(Window.partitionBy("host"))))
-    return (ranked.filter(F.col("votes") >= F.col("top") * support).groupBy("host")
-            .agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("all"))
-            .select("host", F.col("all.path").alias("paths")))
+def winners(pages: DataFrame) -> DataFrame:
+    """(host, template, paths): the winning paths among those of each template of a host.
+    ``pages`` has host and html."""
+    votes = written(pages.select("host", "html").mapInArrow(
+        _votes, "host string, template long, paths array<string>, best string, votes long")
+        .groupBy("host", "template", "paths", "best").agg(F.sum("votes").alias("votes")), "template-votes")
+    won = (votes.select("host", "template", F.explode("paths").alias("path"), "best", "votes").groupBy("host", "path")
+           .agg(F.sum("votes").alias("seen"), F.sum(F.when(F.col("path") == F.col("best"), F.col("votes"))).alias("won"))
+           .filter(F.col("won") * 2 >= F.col("seen")).select("host", "path"))
+    own = votes.select("host", "template", F.explode("paths").alias("path")).distinct()
+    return own.join(won, ["host", "path"]).groupBy("host", "template").agg(F.collect_list("path").alias("paths"))
 
 
-def extract(pages: DataFrame, paths: int = PATHS, support: float = SUPPORT) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, host."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"),
                         F.coalesce("html", F.lit("")).alias("html"))
-    best = written(winners(rows, paths, support), "host-paths")
-    return rows.join(best, "host", "left").select("page_id", "url", "host", "html", "paths").mapInArrow(
-        _texts, "page_id long, url string, text string, n_chars long, host string")
+    best = written(winners(rows), "host-paths")
+    return (rows.mapInArrow(_templates, "page_id long, url string, host string, html string, template long")
+            .join(best, ["host", "template"], "left").select("page_id", "url", "host", "html", "paths").mapInArrow(
+                _texts, "page_id long, url string, text string, n_chars long, host string"))

@@ -78,6 +78,16 @@ def test_two_templates_on_a_host(spark):
     assert {got[i] for i in range(28, 31)} == {REST.strip()}
 
 
+def test_a_rare_template_of_a_host_with_many(spark):
+    """Thirty templates on one host, the last with few pages, one of them with a long box."""
+    page = "<body><div class=t{}><p>{}</p></div><div class=box><p>{}</p></div></body>"
+    name = lambda k: "abcdefghijklmnopqrstuvwxyzABCD"[k] * 2
+    rows = [(k * 10 + i, "http://h.example/", page.format(name(k), REST * 3, LEAD)) for k in range(29) for i in range(8)]
+    rows += [(1000 + i, "http://h.example/", page.format("rare", REST * 3, LEAD * (9 if i == 4 else 1))) for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in html_extract.extract(pages).collect()} == {(REST * 3).strip()}
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract(pages).count() == 0
