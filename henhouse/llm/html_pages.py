@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 _TAG = re.compile(
@@ -48,7 +49,9 @@ class Node:
     hint: float
     whole: bool = False  # an article or main by its tag or role
     named: bool = False  # one by its class or id
+    marks: tuple[str, ...] = ()  # the classes and id that hold a word of OUT_WORDS
     prose: bool = False  # text that is not short or links stands in it outside inner containers
+    chars: int = 0  # of its text outside links and inner elements
     score: float = 0.0
 
 
@@ -59,6 +62,8 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
     values: list[float] = field(default_factory=list)
+    left_out: set[str] = field(default_factory=set)  # paths of containers that their marks leave out
+
 
     def within(self, node: int, chosen: set[int]) -> bool:
         while node >= 0:
@@ -75,17 +80,23 @@ class Page:
 
     def whole(self, node: int) -> int:
         """The container of the article that ``node`` is a part of: the nearest article or
-        main, else the outermost one that is named so or has text beside ``node``."""
+        main, else the outermost one that is named so, has text beside ``node``, or is
+        kept in spite of its marks, as it or its kind holds most of the page."""
         top, at = node, node
         while at >= 0 and (n := self.nodes[at]).tag not in ("body", "html"):
             if n.tag in CONTAINERS:
                 if n.whole:
                     return at
-                if n.named or n.prose:
+                if n.named or n.prose or n.marks:
                     top = at
             at = n.parent
         return top
 
+    def marked(self, node: int) -> bool:
+        while node >= 0 and not self.nodes[node].marks:
+            node = self.nodes[node].parent
+        return node >= 0
+
     def candidates(self) -> list[int]:
         return [i for i, n in enumerate(self.nodes) if n.score > 0]
 
@@ -99,58 +110,84 @@ def _words(value: str) -> set[str]:
     return {w.lower() for w in _WORD.findall(value)}
 
 
-def _described(tag: str, rest: str, inside: bool) -> tuple[str, bool, float, bool, bool]:
+def _described(tag: str, rest: str, inside: bool) -> tuple[str, bool, float, bool, bool, tuple[str, ...]]:
     """The step of the generalised path, whether the element is not article text, a hint,
-    and whether it is a whole article by its tag or role, or by its class or id."""
+    whether it is a whole article by its tag or role, or by its class or id, and its marks."""
     if not rest.strip(" /"):
         whole = tag in ("article", "main")
-        return tag, tag in OUT or (tag == "header" and not inside), 1.25 if whole else 1.0, whole, False
+        return tag, tag in OUT or (tag == "header" and not inside), 1.25 if whole else 1.0, whole, False, ()
     attrs = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(rest)}
     classes = attrs.get("class", "").split()
     step = ".".join([tag, *sorted({re.sub(r"\d+", "", c).strip("-_").lower() for c in classes} - {""})])
     out = tag in OUT or (tag == "header" and not inside) or attrs.get("role", "").lower() in OUT_ROLES \
         or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" \
         or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-    named = _words(" ".join([*classes, attrs.get("id", "")]))
-    if tag not in ("html", "body", "article", "main"):
-        out = out or bool(named & OUT_WORDS)
+    names = [*classes, attrs.get("id", "")]
+    named = _words(" ".join(names))
+    marks: tuple[str, ...] = ()
+    if tag not in ("html", "body", "article", "main") and named & OUT_WORDS:
+        marks = tuple(sorted({re.sub(r"\d+", "", n) for n in names if _words(n) & OUT_WORDS}))
     whole = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
-    return step, out, 1.25 if whole or named & GOOD_WORDS else 1.0, whole, bool(named & (GOOD_WORDS - SITE_WORDS))
+    return step, out, 1.25 if whole or named & GOOD_WORDS and not marks else 1.0, whole, bool(named & (GOOD_WORDS - SITE_WORDS)), marks
+
+
+def _left_out(nodes: list[Node]) -> list[bool]:
+    """Of each node, whether it stands in a part that its marks say is not the article.
+    Marks do not count for an element around an article or main, nor where the elements
+    that bear the same ones hold more than half of the page's text (0.9 of it on a page that
+    has text in an article or main beside them)."""
+    if not any(n.marks for n in nodes):
+        return [False] * len(nodes)
+    around, chars = [n.whole for n in nodes], [n.chars for n in nodes]
+    for i in range(len(nodes) - 1, -1, -1):  # inner nodes come after the outer ones
+        if (up := nodes[i].parent) >= 0:
+            around[up] |= around[i]
+            chars[up] += chars[i]
+    total, held = sum(n.chars for n in nodes), Counter()
+    bearers: list[frozenset] = []
+    articles: list[int] = []  # the outermost article or main around each node, or -1
+    beside: dict[int, frozenset] = {}  # articles with text, and the marks around them
+    for i, n in enumerate(nodes):
+        above = bearers[n.parent] if n.parent >= 0 else frozenset()
+        if n.marks and n.marks not in above:  # inside another one with the same marks it is counted with it
+            held[n.marks] += chars[i]
+            above = above | {n.marks}
+        bearers.append(above)
+        outer = articles[n.parent] if n.parent >= 0 else -1
+        articles.append(outer if outer >= 0 or not n.whole else i)
+        if n.whole and chars[i]:
+            beside[i] = above
+    within: dict[tuple[str, ...], set[int]] = {}
+    for i, n in enumerate(nodes):
+        if n.marks:
+            within.setdefault(n.marks, set()).add(articles[i])
+    least = {m: 0.9 if any(m not in above and a not in inside for a, above in beside.items()) else 0.5 for m, inside in within.items()}
+    out: list[bool] = []
+    for i, n in enumerate(nodes):
+        own = bool(n.marks) and not around[i] and held[n.marks] <= least[n.marks] * total
+        out.append(own or n.parent >= 0 and out[n.parent])
+    return out
 
 
 def read(source: str) -> Page:
     """The containers and text blocks of a page; never fails, whatever the markup."""
     page = Page()
     nodes, stack = page.nodes, [-1]
-    parts: list[str] = []
-    linked = 0
+    parts: list[tuple[int, str, bool]] = []  # node, text, in a link
+    found: list[tuple[int, list[tuple[int, str, bool]]]] = []
     links = hidden = inside = 0  # open elements of each sort
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal parts
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            parts.clear()
-            if text:
-                page.blocks.append((stack[-1], text))
-                inner = True
-                value = max(0.0, len(text) - 3.0 * linked) * (1.0 if len(text) >= 25 else 0.2)
-                page.values.append(value)
-                at, share = stack[-1], 1.0
-                while at >= 0 and value:
-                    if nodes[at].tag in CONTAINERS:
-                        nodes[at].score += value * share * nodes[at].hint
-                        nodes[at].prose |= inner and len(text) >= 25
-                        share, inner = share / 2, False
-                    at = nodes[at].parent
-        linked = 0
+            found.append((stack[-1], parts))
+            parts = []
 
     def say(text: str) -> None:
-        nonlocal linked
         if text and not hidden:
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
+            parts.append((stack[-1], text, links > 0))
+            if stack[-1] >= 0 and not links:
+                nodes[stack[-1]].chars += len(text.strip())
 
     def close(depth: int) -> None:
         nonlocal links, hidden, inside
@@ -215,9 +252,35 @@ def read(source: str) -> Page:
         inside += tag in ("article", "main")
     close(1)
     flush()
+    out = [*_left_out(nodes), False]  # the last one stands for text outside all elements
+    for at in {n for _, said in found for n, _, _ in said if out[n]}:
+        while out[at]:
+            if nodes[at].tag in CONTAINERS:
+                page.left_out.add(nodes[at].path)
+            at = nodes[at].parent
+    for node, said in found:
+        said = [p for p in said if not out[p[0]]]
+        text = " ".join(entities.unescape("".join([t for _, t, _ in said])).split())
+        if text:
+            _add(page, node, text, sum(len(t.strip()) for _, t, link in said if link))
     return page
 
 
+def _add(page: Page, node: int, text: str, linked: int) -> None:
+    """A block of text, and its value for the containers around it."""
+    value = max(0.0, len(text) - 3.0 * linked) * (1.0 if len(text) >= 25 else 0.2)
+    page.blocks.append((node, text))
+    page.values.append(value)
+    at, share, inner = node, 1.0, True
+    while at >= 0 and value:
+        outer = page.nodes[at]
+        if outer.tag in CONTAINERS:
+            outer.score += value * share * outer.hint
+            outer.prose |= inner and len(text) >= 25
+            share, inner = share / 2, False
+        at = outer.parent
+
+
 def vote(source: str) -> tuple[str, float] | None:
     """The generalised path of the page's best container and its score."""
     page = read(source)
@@ -226,21 +289,23 @@ def vote(source: str) -> tuple[str, float] | None:
 
 
 def ballot(source: str) -> tuple[str | None, set[str]]:
-    """The generalised path of the page's best container, and those of all that hold text."""
+    """The generalised path of the page's best container, and those of all that hold text,
+    also where it is left out."""
     page = read(source)
     best = page.best()
-    return page.nodes[best].path if best >= 0 else None, {page.nodes[i].path for i in page.candidates()}
+    return page.nodes[best].path if best >= 0 else None, {page.nodes[i].path for i in page.candidates()} | page.left_out
 
 
 def extract(source: str, paths: list[str]) -> str:
     """The text of the articles that the containers on ``paths`` are parts of. Where they
-    hold no fair part (0.3) of what the page's best container has, its text as well."""
+    hold no fair part (0.3) of what the page's best container has, its text as well, unless
+    it is one with marks (long comments below a short article)."""
     page = read(source)
     best = page.best()
     if best < 0:
         return "\n".join(t for _, t in page.blocks)
     winning = set(paths)
     chosen = {page.whole(i) for i in page.candidates() if page.nodes[i].path in winning}
-    if page.held(chosen) < 0.3 * page.held({best}):
+    if not chosen or page.held(chosen) < 0.3 * page.held({best}) and not page.marked(best):
         chosen.add(best)
     return page.text(chosen)

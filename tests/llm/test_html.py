@@ -65,6 +65,23 @@ def test_siblings_of_the_best_part(source, text):
     assert html_pages.extract(source, [html_pages.vote(source)[0]]) == text
 
 
+BODY = f"<p>{LEAD}</p><p>{REST * 3}</p>"
+BODY_TEXT = f"{LEAD.strip()}\n{(REST * 3).strip()}"
+
+
+@pytest.mark.parametrize("source", [
+    f"<body><div class='content has-sidebar'>{BODY}<div class=sidebar>{LEAD}</div></div></body>",
+    f"<body><div id=no-sidebar>{BODY}</div><div class=footer>{LEAD}</div></body>",
+    f"<body><div class=elementor-widget-wrap><div class='elementor-widget el-a'><p>{LEAD}</p></div>"
+    f"<div class='elementor-widget el-b'><p>{REST * 3}</p></div></div></body>",
+    f"<body><div class=has-cookie-banner><div class=cookie-banner>{LEAD * 2}</div><article>{BODY}</article></div></body>",
+    f"<body><div class=story>{BODY}<div class=comments><p>{LEAD}</p></div><p class=x><span class=share>Share</span></p></div></body>",
+])
+def test_words_of_a_class_do_not_hide_the_article(source):
+    found = html_pages.vote(source)
+    assert html_pages.extract(source, [found[0]]) == BODY_TEXT
+
+
 def test_two_templates_on_a_host(spark):
     """Short pages in one container, long ones with a second one beside it, others elsewhere."""
     short, long, other = "<body><div class=lead>{}</div></body>", "<body><div class=lead>{}</div><div class=rest>{}</div></body>", "<body><div class=b><section>{}</section></div></body>"
