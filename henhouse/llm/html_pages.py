@@ -12,7 +12,9 @@ _TAG = re.compile(
     r"|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']+|\"[^\"]{0,20000}\"|'[^']{0,20000}')*+)>"
     r"|/?[a-zA-Z][^>]*(?P<cut>>|\Z))", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_ASKED = frozenset("class id role hidden aria-hidden style".split())
+_MARK = re.compile(r">|=\s*([\"'])")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # Names of HTML and words that sites use for what is not the article.
@@ -116,7 +118,7 @@ def _described(tag: str, rest: str, inside: bool) -> tuple[str, bool, float, boo
     if not rest.strip(" /"):
         whole = tag in ("article", "main")
         return tag, tag in OUT or (tag == "header" and not inside), 1.25 if whole else 1.0, whole, False, ()
-    attrs = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(rest)}
+    attrs = {n: next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(rest) if (n := m[1].lower()) in _ASKED}
     classes = attrs.get("class", "").split()
     step = ".".join([tag, *sorted({re.sub(r"\d+", "", c).strip("-_").lower() for c in classes} - {""})])
     out = tag in OUT or (tag == "header" and not inside) or attrs.get("role", "").lower() in OUT_ROLES \
@@ -131,6 +133,23 @@ def _described(tag: str, rest: str, inside: bool) -> tuple[str, bool, float, boo
     return step, out, 1.25 if whole or named & GOOD_WORDS and not marks else 1.0, whole, bool(named & (GOOD_WORDS - SITE_WORDS)), marks
 
 
+def _tag_end(source: str, at: int, dead: set[int]) -> int:
+    """The place of the ``>`` that ends the tag whose attributes start at ``at``, quoted
+    values of any length passed over; -1 if a quote does not end or no ``>`` comes. ``dead``
+    keeps the quotes known to lead there, so each is looked at once for a page."""
+    seen = []
+    while (m := _MARK.search(source, at)) and m[1] and m.end() not in dead:
+        seen.append(m.end())
+        close = source.find(m[1], m.end())
+        if close < 0:
+            break
+        at = close + 1
+    if m and not m[1]:
+        return m.start()
+    dead.update(seen)
+    return -1
+
+
 def _left_out(nodes: list[Node]) -> list[bool]:
     """Of each node, whether it stands in a part that its marks say is not the article.
     Marks do not count for an element around an article or main, nor where the elements
@@ -201,6 +220,7 @@ def read(source: str) -> Page:
             inside -= node.tag in ("article", "main")
 
     at, size = 0, len(source)
+    dead: set[int] = set()
     while at < size:
         m = _TAG.search(source, at)
         if not m:
@@ -212,6 +232,10 @@ def read(source: str) -> Page:
         if not name:
             continue
         tag, rest = name.lower(), m["rest"] or ""
+        if m["cut"] and m[0][1] != "/":  # a value too long for the expression, or a stray quote
+            start = m.start() + 1 + len(name)
+            if (end := _tag_end(source, start, dead)) >= 0:
+                rest, at = source[start:end], end + 1
         if m["end"] or m[0].startswith("</"):
             for depth in range(len(stack) - 1, 0, -1):
                 open_ = nodes[stack[depth]].tag

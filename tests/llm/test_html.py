@@ -82,6 +82,21 @@ def test_words_of_a_class_do_not_hide_the_article(source):
     assert html_pages.extract(source, [found[0]]) == BODY_TEXT
 
 
+@pytest.mark.parametrize("n", [10, 20_001, 300_000])
+def test_long_attribute_values(n):
+    data = "{a: 1 > 0, class=ad hidden} " * (n // 28 + 1)
+    source = (f"<body><div data-props='{data}' class=story data-x=\"{data}\">{BODY}</div><div data-props='{data}' class=ad>{LEAD}</div>"
+              f"<p data-props=\"{data}\" hidden>{LEAD}</p><img src='{data}'></body>")
+    found = html_pages.vote(source)
+    assert found[0] == "body/div.story" and html_pages.extract(source, [found[0]]) == BODY_TEXT
+
+
+def test_quotes_without_an_end():
+    assert html_pages.extract(f"<body><p title='never closed>{LEAD}</p><p>{REST}</p></body>", []) == f"{LEAD.strip()}\n{REST.strip()}"
+    many = "<a x='>" + "<a y=\">" * 100_001
+    assert html_pages.extract(many, []) == ""
+
+
 def test_two_templates_on_a_host(spark):
     """Short pages in one container, long ones with a second one beside it, others elsewhere."""
     short, long, other = "<body><div class=lead>{}</div></body>", "<body><div class=lead>{}</div><div class=rest>{}</div></body>", "<body><div class=b><section>{}</section></div></body>"
