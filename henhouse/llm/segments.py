@@ -9,7 +9,12 @@ ranges of places of a document.
 Segments that are equal byte for byte are one: the occurrence that starts first stands
 for them, and the others' windows are known repeats at once. This is done where segments
 are cut and again whenever a bucket's memory fills, so a text that a third of all rows
-share costs a bucket one segment for each block of input at most."""
+share costs a bucket one segment for each block of input at most.
+
+A minimiser that many documents share between different neighbours gives as many distinct
+segments. A bucket with more of them than its memory is meant for is not settled there: its
+windows are written with their content, Spark finds the first of each content, and the
+others are joined to it, so such a bucket is spread by its windows."""
 
 from __future__ import annotations
 
@@ -23,13 +28,15 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from henhouse.llm.common import NULL_ID, extent, keyed_texts
+from henhouse.llm.common import NULL_ID, extent, keyed_texts, written
 from henhouse.llm.words import Texts, blocks, mix
 
 #: Bytes of text cut at once, and bytes of segments a bucket gathers before it joins equal ones.
 CUT_BYTES, GATHER_BYTES = 2 << 20, 12 << 20
 #: Bytes of segments aimed at in a bucket; with about 3.3 bytes of segment for each of text.
 BUCKET_BYTES, GROWTH = 8 << 20, 3.3
+#: Bytes of distinct segments in a bucket above which its windows are dealt out one by one.
+HOT_BYTES = 3 * BUCKET_BYTES
 RANGES = "doc_id long, tie long, low long, high long"
 _CODEC = pa.Codec("zstd", compression_level=5)
 
@@ -148,13 +155,16 @@ def runs(valid: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 #: Cuts a block of texts: (first window of each segment, its place in its document, windows,
 #: off, minimiser, text number, bytes).
 Cut = Callable[[Texts], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]
+#: First and end byte of each window of a segment.
+Bounds = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
 
 
 def repeats(docs: DataFrame, window: int, cut: Cut, settle: Callable[[Segments], Iterator[pa.RecordBatch]],
-            *carried: Column) -> tuple[DataFrame, DataFrame]:
+            *carried: Column, bounds: Bounds, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, tie, text, and ``carried``) and the ranges of places covered
     by windows that start earlier elsewhere. ``settle`` gets a bucket's distinct segments
-    and yields the ranges of the windows that are not the first of their kind."""
+    and yields the ranges of the windows that are not the first of their kind; ``bounds``
+    gives the windows of a segment of a bucket with more than ``hot_bytes`` of them."""
     spark = docs.sparkSession
     unique, size = extent(docs)
     buckets = max(1, round(size * GROWTH / BUCKET_BYTES))
@@ -181,31 +191,71 @@ def repeats(docs: DataFrame, window: int, cut: Cut, settle: Callable[[Segments],
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, bytes_held = None, [], 0
+        bucket, held, bytes_held, hot = None, [], 0, False
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            def last(kept: Segments) -> Iterator[pa.RecordBatch]:
+                return _contents(kept, window, bounds) if hot or int(kept.sizes().sum()) > hot_bytes else settle(kept)
+
+            return _settled(held, window, last) if held else iter(())
+
         for batch in batches:
             for name, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                if name != bucket and held:
-                    yield from _settled(held, window, settle)
-                    held, bytes_held = [], 0
+                if name != bucket:
+                    yield from map(_full, ended())
+                    held, bytes_held, hot = [], 0, False
                 bucket = name
                 if blob[:4] == _KNOWN:
-                    yield _unpacked_ranges(blob[4:])
+                    yield _full(_unpacked_ranges(blob[4:]))
                     continue
                 held.append(Segments.unpacked(blob))
                 bytes_held += sum(map(len, held[-1].text))
-                if bytes_held > GATHER_BYTES:
+                if bytes_held > min(GATHER_BYTES, hot_bytes):
                     kept, again, _ = compacted(Segments.joined(held), window)
-                    yield again
+                    yield _full(again)
+                    size = sum(map(len, kept.text))
+                    hot = hot or size > hot_bytes
+                    if hot:
+                        yield from map(_full, _contents(kept, window, bounds))
+                        held, bytes_held = [], 0
+                        continue
                     held = [kept]
                     # distinct segments may fill the memory: gather as much again before the next try
-                    bytes_held = min(sum(map(len, kept.text)), GATHER_BYTES // 2)
-        if held:
-            yield from _settled(held, window, settle)
+                    bytes_held = min(size, min(GATHER_BYTES, hot_bytes) // 2)
+        yield from map(_full, ended())
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = (texts.select("doc_id", "tie", "text").mapInArrow(ship, "bucket long, blob binary")
-             .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(search, RANGES))
-    return texts, found
+    found = written(texts.select("doc_id", "tie", "text").mapInArrow(ship, "bucket long, blob binary")
+                    .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(search, RANGES + ", content binary"), "ranges")
+    hot = found.filter(F.col("content").isNotNull())
+    found = found.filter(F.col("content").isNull()).drop("content")
+    return texts, found if hot.isEmpty() else found.union(_later(hot))
+
+
+def _contents(segments: Segments, window: int, bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    """The windows of ``segments``, each with its bytes."""
+    for a, b in slices(segments.windows.astype(np.int64) * window, CUT_BYTES // 4):
+        text = segments.text[a:b]
+        spans = [bounds(t) for t in text]
+        n = segments.windows[a:b].astype(np.int64)
+        low = np.concatenate([segments.start[i] + np.arange(segments.windows[i]) for i in range(a, b)]).astype(np.int64)
+        content = [t[x:y] for t, (first, end) in zip(text, spans) for x, y in zip(first.tolist(), end.tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(segments.doc[a:b], n).astype(np.int64)), pa.array(np.repeat(segments.tie[a:b], n).astype(np.int64)),
+             pa.array(low), pa.array(low + window), pa.array(content, pa.binary())], ["doc_id", "tie", "low", "high", "content"])
+
+
+def _full(found: pa.RecordBatch) -> pa.RecordBatch:
+    if found.num_columns == 5:
+        return found
+    return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.binary())], [*found.schema.names, "content"])
+
+
+def _later(hot: DataFrame) -> DataFrame:
+    """The ranges of the windows with a content that starts earlier elsewhere."""
+    place = F.struct("doc_id", "tie", "low")
+    first = hot.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") < F.col("last"))
+    return hot.join(first, "content").filter(place > F.col("first")).select("doc_id", "tie", "low", "high")
 
 
 #: Leads a blob of ranges; a blob of segments leads with its size, which is never this large.

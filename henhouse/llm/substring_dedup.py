@@ -67,6 +67,13 @@ def cutter(window: int, gram: int):
     return cut
 
 
+def bounds_of(window: int):
+    def bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1  # of the words, each with its space
+        return np.concatenate(([0], ends))[:len(ends) - window + 1], ends[window - 1:]
+    return bounds
+
+
 def _same_spans(data: bytes, low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> np.ndarray:
     return np.fromiter((data[a:b] == data[c:d] for a, b, c, d in zip(low.tolist(), high.tolist(), other_low.tolist(), other_high.tolist())),
                        bool, len(low))
@@ -149,7 +156,7 @@ def _apply(with_text: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and ``kept_text``,
     the kept words joined by one space)."""
-    texts, found = repeats(docs, window, cutter(window, gram), settler(window))
+    texts, found = repeats(docs, window, cutter(window, gram), settler(window), bounds=bounds_of(window))
     out = (with_ranges(texts, found).select("doc_id", "packed", "spans")
            .mapInArrow(_apply(with_text), OUT + (", kept_text string" if with_text else "")))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))

@@ -96,6 +96,13 @@ def cutter(window: int, gram: int):
     return cut
 
 
+def bounds_of(window: int):
+    def bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        first = np.arange(len(text) - window + 1)
+        return first, first + window
+    return bounds
+
+
 def candidates(segments: Segments, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Which segments may hold a string that another place of the bucket also holds, and
     the minimiser of each: strings of ``window`` bytes around the same minimiser share at
@@ -269,7 +276,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    texts, found = repeats(docs, window, cutter(window, GRAM), settler(window, GRAM))
+    texts, found = repeats(docs, window, cutter(window, GRAM), settler(window, GRAM), bounds=bounds_of(window))
     out = with_ranges(texts, found).select("doc_id", "packed", "spans").mapInArrow(_digests, OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
@@ -278,7 +285,7 @@ def shorten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs``, all columns, with what is left of each text, ``n_chars`` (if it is there)
     counted anew. Every row stays, if need be with an empty text."""
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rec")
-    texts, found = repeats(docs, window, cutter(window, GRAM), settler(window, GRAM), others)
+    texts, found = repeats(docs, window, cutter(window, GRAM), settler(window, GRAM), others, bounds=bounds_of(window))
     schema = f"rec {texts.schema['rec'].dataType.simpleString()}, kept_text string"
     left = with_ranges(texts, found).select("rec", "packed", "spans").mapInArrow(_shorten, schema)
     columns = [F.col("kept_text").alias(c) if c == "text" else

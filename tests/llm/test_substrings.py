@@ -138,6 +138,32 @@ def test_unique_ids_and_a_large_group_of_copies(spark):
         assert got == {d: sum(g) for d, (_, g) in want.items()}
 
 
+@pytest.mark.parametrize("kind", CASES)
+def test_a_hot_minimiser_is_dealt_out_by_windows(spark, kind):
+    """A phrase in all documents, between different neighbours: no bucket is settled with
+    more distinct bytes than its limit, and the places are those of brute force."""
+    window, units, cut, settle = CASES[kind]
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    phrase = " ".join(word() for _ in range(24))
+    texts = [" ".join([*(word() for _ in range(15)), phrase, *(word() for _ in range(15))]) for _ in range(120)]
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "hot")
+    limit = 4000
+
+    def within_limit(held):
+        if sum(map(len, held.text)) > limit:
+            raise ValueError("a bucket over the limit")
+        yield from settle(held)
+
+    module = {"words": substring_dedup, "bytes": suffix_dedup}[kind]
+    _, found = segments.repeats(docs, window, cut, within_limit, bounds=module.bounds_of(window), hot_bytes=limit)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.doc_id, r.tie), set()).update(range(r.low, r.high))
+    want = brute.repeats([((i, 0), t) for i, t in enumerate(texts)], units, window)
+    assert got == {k: places for k, (_, gone) in want.items() if (places := {i for i, g in enumerate(gone) if g})}
+
+
 def test_joined_ranges():
     doc = np.array([1, 1, 1, 1, 2, 2, -5]); tie = np.zeros(7, np.int64)
     low, high = np.array([0, 5, 20, 21, 0, 90, 3]), np.array([6, 10, 30, 22, 4, 95, 9])
