@@ -16,11 +16,11 @@ def shingles(text, n=5):
     return frozenset(tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1)))
 
 
-def ngram_components(rows, percent=80):
+def ngram_components(rows, percent=80, n=5):
     """rows: (doc_id, text). For each row: (doc_id, n_shingles, component_id)."""
     sets = {}
     for d, t in rows:
-        sets.setdefault(shingles(t), []).append(d)
+        sets.setdefault(shingles(t, n), []).append(d)
     keys = [s for s in sets if s]
     where = {}
     for i, s in enumerate(keys):
@@ -33,8 +33,8 @@ def ngram_components(rows, percent=80):
         while up[x] != x:
             x = up[x]
         return x
-    for (i, j), n in both.items():
-        if 100 * n >= percent * len(keys[i] | keys[j]):
+    for (i, j), common in both.items():
+        if 100 * common >= percent * len(keys[i] | keys[j]):
             up[root(i)] = root(j)
     least = {}
     for i, s in enumerate(keys):
@@ -43,7 +43,7 @@ def ngram_components(rows, percent=80):
     out = []
     at = {s: i for i, s in enumerate(keys)}
     for d, t in rows:
-        s = shingles(t)
+        s = shingles(t, n)
         out.append((d, len(s), min(least[root(at[s])], default=None) if s else d))
     return out
 
