@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from henhouse.llm import exact_dedup, html_extract, lsh_forest, merkle, ngram_join, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, token_files
+from henhouse.llm import exact_dedup, html_extract, lsh_forest, merkle, ngram_join, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, token_alignment, token_files
 from henhouse.llm.common import table
 from henhouse.session import ship_package
 
@@ -61,6 +61,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_components(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ FROM n WINDOW g AS (PARTITION BY t)
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (
         op1_consensus_extract, op2_super_kmer_dedup, op3_ngram_join, op4_sentencepiece, op5_weak_supervision, op6_suffix_dedup, op7_histogram_shards, op8_token_files, op9_pack, op10_exact_dedup,
-        op12_lsh_forest, op13_merkle_manifest,
+        op11_token_alignment, op12_lsh_forest, op13_merkle_manifest,
     )}
 
 

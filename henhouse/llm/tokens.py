@@ -18,8 +18,12 @@ from pyspark.sql import SparkSession
 
 #: Characters encoded at once.
 CALL_CHARS = 1 << 20
-#: Parts a worker remembers: at most twice as many.
-REMEMBERED = 400_000
+#: Bytes of remembered parts and ids: a worker holds at most twice as many.
+REMEMBERED_BYTES = 40 << 20
+#: Bytes of a remembered part besides its letters and ids, about.
+ENTRY_BYTES = 170
+#: Longer parts are not remembered.
+PART_CHARS = 100
 
 
 def byte_bpe_path() -> str:
@@ -40,15 +44,17 @@ def _visible(piece: str) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """``plain``: the strings of special tokens inside texts are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        self._library.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         split, model = described.get("pre_tokenizer") or {}, described.get("model") or {}
-        self._added = [t["content"] for t in described.get("added_tokens") or []]
+        self._added = [] if plain else [t["content"] for t in described.get("added_tokens") or []]
         self._by_parts = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
                           and not described.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout"))
         #: The narrowest of uint16 and uint32 that holds every id.
@@ -60,6 +66,14 @@ class Encoder:
         #: Ids by part: a text's first part with a space before it, others without theirs.
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._held = 0
+
+    def vocabulary(self) -> list[str]:
+        """The token of each id; ids without one are empty."""
+        out = [""] * self._library.get_vocab_size()
+        for token, i in self._library.get_vocab().items():
+            out[i] = token
+        return out
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,9 +103,13 @@ class Encoder:
             for p, cut in zip(rest, cuts.tolist()):
                 made[p] = raw[low * width:cut * width]
                 low = cut
-        if len(self._young) + len(made) > REMEMBERED:
-            self._young, self._old = {}, self._young
-        self._young |= made
+        kept = {p: i for p, i in made.items() if len(p) <= PART_CHARS}
+        size = sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        if self._held + size > REMEMBERED_BYTES:
+            self._young, self._old, self._held = {}, self._young, 0
+        if size <= REMEMBERED_BYTES:
+            self._young |= kept
+            self._held += size
         return made
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -126,14 +144,14 @@ class Encoder:
         return out
 
 
-_LOADED: dict[str, Encoder] = {}
+_LOADED: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a file sent by ``ship``."""
-    if name not in _LOADED:
-        _LOADED[name] = Encoder(SparkFiles.get(name))
-    return _LOADED[name]
+    if (name, plain) not in _LOADED:
+        _LOADED[name, plain] = Encoder(SparkFiles.get(name), plain)
+    return _LOADED[name, plain]
 
 
 def encode(name: str, texts: list[str | None]) -> Iterator[np.ndarray]:

@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9_pack": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op10_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op11_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "op12_lsh_forest": ["doc_id", "n_shingles", "component_id", "kept"],
     "op13_merkle_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
 }
