@@ -20,28 +20,32 @@ An event with a ``ref`` acts only if the event it refers to was applied. An even
 an ``alt`` takes its second set of deltas (``a_<dim>``) if that other event was applied
 (the void of an edited sale gives back what the edit left).
 
+An event counts as referred to only if it comes before the one that refers to it, in the
+order of the key; what comes later, or isn't there, was not applied.
+
 Execution is chosen from the modes the caller declares:
 
 * ``add`` only — a running sum, computed as a two-phase prefix scan over
   (key, chunk) partitions so one busy key is spread over many tasks;
-* ``add`` + ``clamp`` — the reflected walk ``x_t = S_t - least(0, min_{k<=t} S_k)``
-  (adds are non-negative), also two-phase: chunk totals and chunk minima combine
-  associatively;
-* anything else is order-dependent and not associative. The events of a key are cut
-  into chunks of at most about ``CHUNK_ROWS`` (whole values of ``chunk``); every chunk
-  is sorted (external sort) and streamed through ``mapInPandas`` from its start state.
-  With one chunk per key that is a single pass. Otherwise starts, and the outcomes of
-  events that other chunks refer to, are guessed first, all chunks are folded in
-  parallel, and then, round by round, the chunks whose start or referenced outcomes
-  turned out otherwise are folded again, until none does. After round r the first r
-  chunks of every key are final, so the result is exact; since refusals and clamps
-  forget the past, few rounds are needed in practice. A farm that holds a third of
-  the log is folded by as many tasks as it has chunks, and a task holds one batch.
+* ``add``, ``clamp`` and ``set`` — every event is a map x -> max(x + a, b), and such maps
+  compose to one of their kind, so this is a two-phase scan too (``_closed_scan``);
+* anything else is order-dependent and not associative. The events are written once and
+  ranked per key by one range exchange; ``CHUNK_ROWS`` of them, in order, are a chunk,
+  whatever their days. A chunk is folded in leaps (``_leap``): all events up to the next
+  refusal, binding clamp or set are applied by one cumulative sum. Where every key is one
+  chunk, one pass does. Larger keys are folded in rounds: the starts of chunks and the
+  outcomes that other chunks refer to are guessed, all chunks folded in parallel, and those
+  that started from a wrong guess folded again until none did. After round r the first r
+  chunks of a key are final, so the result is exact, and the same as that of one pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,159 +79,274 @@ def _out_schema(events: DataFrame, dims: list[str], halt: bool = False) -> T.Str
 # ---------------------------------------------------------------------------
 # associative paths
 # ---------------------------------------------------------------------------
-def _chunked_scan(events: DataFrame, key: str, order: list[str], chunk: str, dims: list[str],
-                  clamp: bool) -> DataFrame:
-    """Two-phase segmented scan. Phase 1: inside each (key, chunk) a running sum
-    (and, for clamp, the running minimum of those sums). Phase 2: per key, the chunk
-    totals (and chunk minima) are scanned in chunk order — one row per chunk, far
-    fewer rows than events — and joined back as offsets. No window ever spans a
-    whole key, so a key holding a third of the rows is still spread over its
-    chunks."""
-    w_local = Window.partitionBy(key, chunk).orderBy(*order)
-    upto = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before_row = w_local.rowsBetween(Window.unboundedPreceding, -1)
-    local = events.select("*", *[F.sum(F.col(_d(d)).cast("bigint")).over(upto).alias(f"ls_{d}") for d in dims])
-    if clamp:
-        local = local.select("*", *[F.min(f"ls_{d}").over(upto).alias(f"lm_{d}") for d in dims],
-                             *[F.min(f"ls_{d}").over(before_row).alias(f"lp_{d}") for d in dims])
-    aggs = [F.sum(F.col(_d(d)).cast("bigint")).alias(f"ct_{d}") for d in dims]
-    if clamp:
-        aggs += [F.min(f"ls_{d}").alias(f"cm_{d}") for d in dims]
-    chunks = local.groupBy(key, chunk).agg(*aggs)
-    w_prev = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    sel = [key, chunk] + [F.coalesce(F.sum(f"ct_{d}").over(w_prev), F.lit(0)).alias(f"off_{d}") for d in dims]
-    chunks = _chunk_minima(chunks, key, chunk, dims) if clamp else chunks.select(*sel)
-    j = local.join(chunks, [key, chunk], "inner")
+def _running_sum(events: DataFrame, key: str, order: list[str], chunk: str, dims: list[str]) -> DataFrame:
+    """Two-phase segmented sum. Phase 1: a running sum inside each (key, chunk). Phase 2:
+    per key, the chunk totals (one row per chunk, far fewer than events) are scanned in
+    chunk order and joined back as offsets. No window ever spans a whole key, so a key
+    holding a third of the rows is still spread over its chunks."""
+    upto = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = {x: F.col(_d(x)).cast("bigint") for x in dims}
+    local = events.select("*", *[F.sum(d[x]).over(upto).alias(f"ls_{x}") for x in dims])
+    earlier = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = events.groupBy(key, chunk).agg(*[F.sum(d[x]).alias(f"ct_{x}") for x in dims]).select(
+        key, chunk, *[F.coalesce(F.sum(f"ct_{x}").over(earlier), F.lit(0)).alias(f"off_{x}") for x in dims])
+    after = {x: F.col(f"off_{x}") + F.col(f"ls_{x}") for x in dims}
+    return local.join(chunks, [key, chunk]).select(
+        *events.columns, F.lit(True).alias("applied"), *[(after[x] - d[x]).alias(f"before_{x}") for x in dims],
+        *[after[x].alias(f"after_{x}") for x in dims])
+
+
+def _closed_scan(events: DataFrame, key: str, order: list[str], chunk: str, dims: list[str], mode_col: str) -> DataFrame:
+    """Two-phase scan of maps x -> max(x + a, b): an add has no b, a clamp has b = 0, a set to
+    v is the constant v. With A the sum of all a so far, the composition of maps up to t is
+    max(x + A_t, A_t + max over s <= t of (b_s - A_s)). A constant forgets all before it: the
+    maximum is taken over (number of sets so far, b - A), so that later sets come first,
+    and the start only counts while there was none. ``events`` has the start s_<dim>."""
+    has_sets = _v(dims[0]) in events.columns
+    rows = Window.partitionBy(key, chunk).orderBy(*order)
+    upto, earlier_rows = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow), rows.rowsBetween(Window.unboundedPreceding, -1)
+    mode = F.col(mode_col)
+    d = {x: F.when(mode != SET, F.col(_d(x))).otherwise(0).cast("bigint") for x in dims}
+    given = {x: (mode == SET) & F.col(_v(x)).isNotNull() if has_sets else F.lit(False) for x in dims}
+    floor = {x: F.when(given[x], F.col(_v(x)).cast("bigint") if has_sets else F.lit(None).cast("bigint")).when(mode == CLAMP, F.lit(0).cast("bigint")) for x in dims}
+    sums = events.select("*", *[F.sum(d[x]).over(upto).alias(f"ls_{x}") for x in dims],
+                         *[F.sum(given[x].cast("bigint")).over(upto).alias(f"lk_{x}") for x in dims])
+    offer = {x: F.when(floor[x].isNotNull(), F.struct(F.col(f"lk_{x}").alias("k"), (floor[x] - F.col(f"ls_{x}")).alias("h"))) for x in dims}
+    local = sums.select("*", *[F.max(offer[x]).over(upto).alias(f"lm_{x}") for x in dims],
+                        *[F.max(offer[x]).over(earlier_rows).alias(f"lp_{x}") for x in dims])
+    # phase 2: one row per chunk
+    totals = local.groupBy(key, chunk).agg(*[F.sum(d[x]).alias(f"ct_{x}") for x in dims],
+                                           *[F.max(f"lk_{x}").alias(f"ck_{x}") for x in dims], *[F.max(f"lm_{x}").alias(f"cm_{x}") for x in dims])
+    earlier = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+
+    def moved(m, x):
+        """An offer of a chunk, counted from the key's start."""
+        return F.when(m.isNotNull(), F.struct((F.col(f"off_{x}_k") + m["k"]).alias("k"), (m["h"] - F.col(f"off_{x}")).alias("h")))
+
+    offsets = totals.select(key, chunk, *[f"cm_{x}" for x in dims], *[before(f"ct_{x}").alias(f"off_{x}") for x in dims],
+                            *[before(f"ck_{x}").alias(f"off_{x}_k") for x in dims])
+    offsets = offsets.select(key, chunk, *[f"off_{x}" for x in dims], *[f"off_{x}_k" for x in dims],
+                             *[F.max(moved(F.col(f"cm_{x}"), x)).over(earlier).alias(f"pm_{x}") for x in dims])
+
+    def state(x, total, sets, own):
+        best = F.greatest(F.col(f"pm_{x}"), moved(own, x))
+        reached = total + best["h"]
+        return F.when(sets > 0, reached).otherwise(F.greatest(F.col(f"s_{x}") + total, reached))
+
     out = []
-    for d in dims:
-        s_t = F.col(f"off_{d}") + F.col(f"ls_{d}")
-        if clamp:
-            m_t = F.least(F.col(f"pm_{d}"), F.col(f"off_{d}") + F.col(f"lm_{d}"))
-            m_prev = F.least(F.col(f"pm_{d}"), F.coalesce(F.col(f"off_{d}") + F.col(f"lp_{d}"), F.col(f"pm_{d}")))
-            before = (s_t - F.col(_d(d)).cast("bigint")) - F.least(F.lit(0), m_prev)
-            after = s_t - F.least(F.lit(0), m_t)
-        else:
-            after = s_t
-            before = s_t - F.col(_d(d)).cast("bigint")
-        out += [before.alias(f"before_{d}"), after.alias(f"after_{d}")]
-    res = j.select(*events.columns, F.lit(True).alias("applied"), *out)
-    return res.select(*events.columns, "applied", *[f"before_{d}" for d in dims], *[f"after_{d}" for d in dims])
-
-
-def _chunk_minima(chunks: DataFrame, key: str, chunk: str, dims: list[str]) -> DataFrame:
-    """Per chunk: offset (sum of earlier chunks) and pm = least(0, lowest prefix sum
-    reached in earlier chunks)."""
-    w_prev = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    c1 = chunks.select(key, chunk, *[f"ct_{d}" for d in dims], *[f"cm_{d}" for d in dims],
-                       *[F.coalesce(F.sum(f"ct_{d}").over(w_prev), F.lit(0)).alias(f"off_{d}") for d in dims])
-    return c1.select(key, chunk, *[f"off_{d}" for d in dims],
-                     *[F.least(F.lit(0), F.coalesce(F.min(F.col(f"off_{d}") + F.col(f"cm_{d}")).over(w_prev),
-                                                    F.lit(0))).alias(f"pm_{d}") for d in dims])
+    for x in dims:
+        total, sets = F.col(f"off_{x}") + F.col(f"ls_{x}"), F.col(f"off_{x}_k") + F.col(f"lk_{x}")
+        out.append((state(x, total - d[x], sets - given[x].cast("bigint"), F.col(f"lp_{x}")).alias(f"before_{x}"),
+                    state(x, total, sets, F.col(f"lm_{x}")).alias(f"after_{x}")))
+    return local.join(offsets, [key, chunk]).select("*", F.lit(True).alias("applied"), *[b for b, _ in out], *[a for _, a in out])
 
 
 # ---------------------------------------------------------------------------
 # sequential path
 # ---------------------------------------------------------------------------
-def _fold_batches(groups: list[str], dims: list[str], modes_col: str, scope: str | None, id_col: str,
-                  ref_col: str | None, alt_col: str | None):
-    """Fold over batches sorted by (groups, order). A group starts from the ``s_<dim>``
-    columns of its first row. The outcome of a referenced event is remembered inside its
-    group (a group is one chunk, so this is bounded by its rows); for events of other
-    groups ``gate`` and ``alt_ok`` say it. With ``scope`` a refused event halts the later
-    events of the same scope value; ``stopped`` lists those halted before the group."""
-    n = len(dims)
-
-    def run(batches):
-        at, state, stopped, memo = None, None, set(), {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = len(pdf)
-            number = lambda c: pdf[c].fillna(0).to_numpy(dtype=np.int64)
-            dmat = np.stack([number(_d(d)) for d in dims], axis=1)
-            text = lambda c: np.where(pdf[c].isna(), None, pdf[c].to_numpy(dtype=object)) if c else np.full(m, None)
-            flag = lambda c: pdf[c].fillna(False).to_numpy(dtype=bool) if c in pdf.columns else np.zeros(m, dtype=bool)
-            amat = np.stack([number(f"a_{d}") for d in dims], axis=1) if alt_col else None
-            ids, refs, alts, known, alt_known = pdf[id_col].to_numpy(), text(ref_col), text(alt_col), flag("gate"), flag("alt_ok")
-            spent = flag("__spent")
-            smat = np.stack([number(f"s_{d}") for d in dims], axis=1)
-            vmat = (np.stack([pdf[_v(d)].to_numpy(dtype="float64") for d in dims], axis=1)
-                    if _v(dims[0]) in pdf.columns else None)
-            who = pdf[scope].to_numpy() if scope else None
-            modes = pdf[modes_col].to_numpy()
-            codes = pdf[groups].ne(pdf[groups].shift()).any(axis=1).to_numpy()
-            first = tuple(pdf[groups].iloc[0])
-            if first == at:
-                codes[0] = False
-            applied = np.zeros(m, dtype=bool)
-            halted = np.zeros(m, dtype=bool)
-            before = np.empty((m, n), dtype=np.int64)
-            after = np.empty((m, n), dtype=np.int64)
-            # Runs of consecutive adds of one group are applied in one cumulative sum;
-            # only the order-dependent events are stepped through one by one.
-            plain = (modes == ADD) & np.equal(refs, None) & np.equal(alts, None)
-            if scope:
-                plain[:] = False
-            breaks = np.flatnonzero(~plain | codes)
-            i = 0
-            while i < m:
-                if codes[i]:
-                    state, memo = smat[i].copy(), {}
-                    stopped = set(pdf["stopped"].iloc[i]) if scope and pdf["stopped"].iloc[i] is not None else set()
-                if plain[i]:
-                    nb = np.searchsorted(breaks, i, side="right")
-                    j = int(breaks[nb]) if nb < len(breaks) else m
-                    run_after = state + np.cumsum(dmat[i:j], axis=0)
-                    after[i:j] = run_after
-                    before[i] = state
-                    before[i + 1:j] = run_after[:-1]
-                    applied[i:j] = True
-                    state = run_after[-1].copy()
-                    if ref_col:
-                        memo.update(dict.fromkeys(ids[i:j], True))
-                    i = j
-                    continue
+_MODES = pa.array([ADD, REJECT, CLAMP, SET, RESTORE, REPLACE, NOOP, FAIL])
+#: Events tried in the first leap after a refusal, and in the longest one.
+LEAP, LONGEST_LEAP = 32, 1 << 15
+
+
+class _Log:
+    """Whole groups of sorted events as arrays: what each event does, and what it needs."""
+
+    def __init__(self, rows: pa.Table, groups: list[str], dims: list[str], mode_col: str, scope: str | None, id_col: str,
+                 ref_col: str | None, alt_col: str | None):
+        n = rows.num_rows
+        number = lambda c: np.asarray(pc.fill_null(rows[c].cast(pa.int64()), 0)) if c in rows.column_names else np.zeros(n, np.int64)
+        flag = lambda c: np.asarray(pc.fill_null(rows[c], False)) if c in rows.column_names else np.zeros(n, bool)
+        matrix = lambda name: np.stack([number(name(d)) for d in dims], axis=1)
+        modes = pc.index_in(rows[mode_col], _MODES)
+        if modes.null_count:
+            raise ValueError(f"unknown ledger mode among {pc.unique(rows[mode_col]).to_pylist()}")
+        mode = np.asarray(modes)
+        is_ = lambda *names: np.isin(mode, [_MODES.index(m).as_py() for m in names])
+        self.size = n
+        starts = np.zeros(n, bool)
+        starts[:1] = True
+        for g in groups:
+            codes = np.asarray(pc.dictionary_encode(rows[g].combine_chunks(), null_encoding="encode").indices)
+            starts[1:] |= codes[1:] != codes[:-1]
+        self.first = np.flatnonzero(starts)
+        self.deltas, self.start = matrix(_d), matrix(lambda d: f"s_{d}")
+        self.other_deltas = matrix(lambda d: f"a_{d}") if alt_col else None
+        self.sets = is_(SET)
+        self.values = matrix(_v)
+        self.given = np.stack([np.asarray(pc.is_valid(rows[_v(d)])) if _v(d) in rows.column_names else np.zeros(n, bool) for d in dims], axis=1)
+        self.guarded = is_(REJECT, REPLACE, CLAMP)
+        self.clamps = is_(CLAMP)
+        self.moves = ~is_(NOOP, FAIL, SET)
+        #: Whether an event may act as far as that is known before the fold.
+        self.may = ~is_(FAIL)
+        #: The event of the same group that decides whether this one acts, or which deltas it takes.
+        self.gate = self.choice = np.full(n, -1)
+        self.other = np.zeros(n, bool)
+        group = np.cumsum(starts)
+        if ref_col or alt_col:
+            names = pa.chunked_array([rows[c].cast(pa.string()).combine_chunks() for c in (id_col, ref_col, alt_col) if c]).combine_chunks()
+            codes = np.asarray(pc.fill_null(pc.dictionary_encode(names).indices, -1)).astype(np.int64).reshape(-1, n)
+            keys = group * (codes.max(initial=0) + 1) + codes
+            order = np.argsort(keys[0], kind="stable")
+
+            def place(k: int) -> np.ndarray:
+                """Where the event that row k of ``keys`` names is in the group, or -1."""
+                found = np.minimum(np.searchsorted(keys[0][order], keys[k]), n - 1)
+                return np.where((codes[k] >= 0) & (keys[0][order[found]] == keys[k]), order[found], -1)
+
+        here = np.arange(n)
+        if ref_col:
+            refers, target = codes[1] >= 0, place(1)
+            self.gate = np.where((target >= 0) & (target < here), target, -1)
+            outside = refers & (target < 0) & flag("gate")
+            # given back before: an earlier restore of the same event
+            own = np.flatnonzero(refers)
+            own = own[np.lexsort((own, keys[1][own]))]
+            restores = np.concatenate(([0], np.cumsum(is_(RESTORE)[own] & (outside[own] | (self.gate[own] >= 0)))))
+            spent = flag("__spent").copy()
+            spent[own] |= restores[:-1] > restores[np.searchsorted(keys[1][own], keys[1][own])]
+            self.may &= ~refers | ((outside | (self.gate >= 0)) & ~spent)
+            self.gate[spent] = -1
+        if alt_col:
+            target = place(-1)
+            self.choice = np.where((target >= 0) & (target < here), target, -1)
+            self.other = (codes[-1] >= 0) & (target < 0) & flag("alt_ok")
+        #: The latest event of the group that an event waits for.
+        self.waits = np.maximum(self.gate, self.choice)
+        self.who = None
+        if scope:
+            self.who = np.asarray(pc.dictionary_encode(rows[scope].combine_chunks(), null_encoding="encode").indices)
+            self.names = pc.dictionary_encode(rows[scope].combine_chunks(), null_encoding="encode").dictionary
+            self.stopped = rows["stopped"]
+
+
+def _leap(log: _Log) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """applied, halted, before, after of each event. From a known state the next events are
+    tried together: their deltas are summed up as if all were applied, which is right up
+    to the first guarded one that goes below zero. That one is settled alone, and the next
+    leap starts behind it, so steps are taken per refusal and not per event. A leap also
+    ends before a set and before an event that waits for an outcome inside the leap."""
+    n, dims = log.deltas.shape
+    applied, halted = np.zeros(n, bool), np.zeros(n, bool)
+    before, after = np.empty((n, dims), np.int64), np.empty((n, dims), np.int64)
+    ends = np.append(log.first[1:], n)
+    linked = (log.gate >= 0).any() or (log.choice >= 0).any() or log.other.any()
+    for low, high in zip(log.first.tolist(), ends.tolist()):
+        state, i, size = log.start[low].copy(), low, LEAP
+        halts = _Halts(log, low, high, halted) if log.who is not None else None
+        while i < high:
+            j = min(i + size, high)
+            cut = np.flatnonzero(log.sets[i:j] | (log.waits[i:j] >= i))
+            if len(cut) and cut[0] == 0:  # a set, alone
                 before[i] = state
-                if scope and who[i] in stopped:
-                    halted[i] = True
-                else:
-                    mode, d, ref, alt = modes[i], dmat[i], refs[i], alts[i]
-                    ok = ref is None or not spent[i] and bool(memo.get(ref, known[i]))
-                    if alt is not None and memo.get(alt, alt_known[i]):
-                        d = amat[i]
-                    if mode == FAIL:
-                        ok = False
-                    elif not ok or mode == NOOP:
-                        pass
-                    elif mode in (ADD, RESTORE):
-                        state = state + d
-                        if mode == RESTORE:  # given back once
-                            memo[ref] = False
-                    elif mode in (REJECT, REPLACE):
-                        ok = bool((state + d >= 0).all())
-                        state = state + d if ok else state
-                    elif mode == CLAMP:
-                        state = np.maximum(state + d, 0)
-                    elif mode == SET:
-                        state = np.where(np.isnan(vmat[i]), state, np.nan_to_num(vmat[i])).astype(np.int64)
-                    else:
-                        raise ValueError(f"unknown ledger mode {mode!r}")
-                    applied[i] = ok
-                    if ref_col:
-                        memo[ids[i]] = ok
-                    if scope and not ok:
-                        stopped.add(who[i])
+                if not halted[i] and log.may[i] and (log.gate[i] < 0 or applied[log.gate[i]]):
+                    state = np.where(log.given[i], log.values[i], state)
+                    applied[i] = True
+                elif halts and not halted[i]:
+                    halts.stop(i)
                 after[i] = state
                 i += 1
-            at = tuple(pdf[groups].iloc[-1])
-            out = pdf.copy()
-            out["applied"] = applied
-            if scope:
-                out["halted"] = halted
-            for j, dname in enumerate(dims):
-                out[f"before_{dname}"] = before[:, j]
-                out[f"after_{dname}"] = after[:, j]
-            yield out
+                continue
+            if len(cut):
+                j = i + int(cut[0])
+            own = slice(i, j)
+            ok = log.may[own]
+            deltas = log.deltas[own]
+            if linked:
+                gate, choice = log.gate[own], log.choice[own]
+                ok = ok & ((gate < 0) | applied[gate])
+                other = log.other[own] | ((choice >= 0) & applied[choice])
+                if log.other_deltas is not None and other.any():
+                    deltas = np.where(other[:, None], log.other_deltas[own], deltas)
+            if halts:
+                ok = ok & ~halted[own]
+            acts = ok & log.moves[own]
+            run = np.cumsum(np.where(acts[:, None], deltas, 0), axis=0)
+            run += state
+            wrong = acts & log.guarded[own] & (run < 0).any(axis=1)
+            if halts:
+                wrong |= ~ok & ~halted[own]
+            k = int(wrong.argmax()) if wrong.any() else j - i
+            before[i] = state
+            after[i:i + k] = run[:k]
+            before[i + 1:i + k] = run[:max(k - 1, 0)]
+            applied[i:i + k] = ok[:k]
+            if k:
+                state = run[k - 1].copy()
+            if k == j - i:
+                i, size = j, min(2 * size, LONGEST_LEAP)
+                continue
+            t = i + k
+            before[t] = state
+            if acts[k] and log.clamps[t]:
+                state = np.maximum(state + deltas[k], 0)
+                applied[t] = True
+            elif halts:
+                halts.stop(t)
+            after[t] = state
+            i, size = t + 1, LEAP
+    return applied, halted, before, after
+
+
+class _Halts:
+    """Marks the later events of a scope value of one group when it stops."""
+
+    def __init__(self, log: _Log, low: int, high: int, halted: np.ndarray):
+        self.low, self.who, self.halted = low, log.who[low:high], halted
+        self.order = np.argsort(self.who, kind="stable")
+        self.sorted = self.who[self.order]
+        already = log.stopped[low].as_py() or []
+        if already:
+            codes = [i for i, name in enumerate(log.names.to_pylist()) if name in set(already)]
+            halted[low:high] |= np.isin(self.who, codes)
+
+    def stop(self, t: int) -> None:
+        code = self.who[t - self.low]
+        a, b = np.searchsorted(self.sorted, (code, code + 1))
+        own = self.order[a:b]
+        self.halted[self.low + own[own > t - self.low]] = True
+
+
+def _fold_batches(groups: list[str], dims: list[str], mode_col: str, scope: str | None, id_col: str,
+                  ref_col: str | None, alt_col: str | None, out: pa.Schema):
+    """Folds batches sorted by (groups, order), the groups that are whole together. A group
+    is a chunk of at most ``CHUNK_ROWS`` events and starts from the ``s_<dim>`` of its first
+    row. For events of other groups ``gate`` and ``alt_ok`` tell the outcome, and
+    ``__spent`` whether they were given back. With ``scope`` an event that isn't applied
+    halts the later ones of its scope value; ``stopped`` lists those halted before."""
+    def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        log = _Log(rows, groups, dims, mode_col, scope, id_col, ref_col, alt_col)
+        applied, halted, before, after = _leap(log)
+        columns = [rows[c] for c in rows.column_names] + [pa.array(applied)] + ([pa.array(halted)] if scope else [])
+        columns += [pa.array(np.ascontiguousarray(before[:, k])) for k in range(len(dims))]
+        columns += [pa.array(np.ascontiguousarray(after[:, k])) for k in range(len(dims))]
+        yield from pa.table(columns, names=out.names).to_batches()
+
+    def last_group(batch: pa.RecordBatch) -> int:
+        """The row at which the batch's last group begins."""
+        at = 0
+        for g in groups:
+            codes = np.asarray(pc.dictionary_encode(batch.column(g), null_encoding="encode").indices)
+            change = np.flatnonzero(codes[1:] != codes[:-1])
+            at = max(at, int(change[-1]) + 1 if len(change) else 0)
+        return at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seen = pa.Table.from_batches([*(b.slice(b.num_rows - 1) for b in held[-1:]), batch]).combine_chunks().to_batches()[0]
+            if change := last_group(seen):
+                at = change - (1 if held else 0)
+                yield from settled(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held, batch = [], batch.slice(at)
+            held.append(batch)
+        if held:
+            yield from settled(pa.Table.from_batches(held))
 
     return run
 
@@ -235,20 +354,27 @@ def _fold_batches(groups: list[str], dims: list[str], modes_col: str, scope: str
 def _pass(events: DataFrame, groups: list[str], order: list[str], dims: list[str], mode_col: str,
           scope: str | None, id_col: str, ref_col: str | None, alt_col: str | None) -> DataFrame:
     """One fold of every group of ``events`` from the start state in its rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = _out_schema(events, dims, scope is not None)
     ordered = events.repartition(*groups).sortWithinPartitions(*groups, *order)
-    return ordered.mapInPandas(_fold_batches(groups, dims, mode_col, scope, id_col, ref_col, alt_col),
-                               _out_schema(events, dims, scope is not None))
+    return ordered.mapInArrow(_fold_batches(groups, dims, mode_col, scope, id_col, ref_col, alt_col, to_arrow_schema(schema)), schema)
 
 
-def _chunk_numbers(events: DataFrame, key: str, chunk: str, rows: int) -> DataFrame:
-    """``events`` with ``__chunk``: whole values of ``chunk`` in order, ``rows`` events or
-    more each. Only the counts per (key, chunk value) are windowed."""
-    counts = events.groupBy(key, chunk).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.select(F.col(key).alias("__k"), F.col(chunk).alias("__c"),
-                             F.floor(F.coalesce(F.sum("__n").over(w), F.lit(0)) / rows).cast("long").alias("__raw"))
-    dense = numbered.withColumn("__chunk", F.dense_rank().over(Window.partitionBy("__k").orderBy("__raw")).cast("long")).drop("__raw")
-    return events.join(dense, (F.col(key) == F.col("__k")) & (F.col(chunk) == F.col("__c"))).drop("__k", "__c")
+def _chunked(events: DataFrame, key: str, order: list[str], rows: int) -> DataFrame:
+    """``events`` with ``__chunk``: ``rows`` events of a key, in order, are one. A place in the
+    key is the place in a range partition plus the key's events in earlier partitions; only
+    counts per (key, partition) are windowed."""
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.monotonically_increasing_id()
+    placed = _written(events.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+                      .withColumn("__part", F.shiftright(row, 33)).withColumn("__row", row.bitwiseAND(F.lit((1 << 33) - 1))), "ledger-placed")
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(key, "__part").agg(F.min("__row").alias("__low"), F.count("*").alias("__n")).select(
+        F.col(key).alias("__k"), F.col("__part").alias("__p"), (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__low")).alias("__shift"))
+    return (placed.join(runs, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__part") == F.col("__p")))
+            .withColumn("__chunk", F.floor((F.col("__row") + F.col("__shift")) / rows).cast("long"))
+            .drop("__k", "__p", "__shift", "__part", "__row"))
 
 
 def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes: set[str],
@@ -259,32 +385,36 @@ def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes:
     ``before_<dim>`` and ``after_<dim>`` columns.
 
     ``modes`` is the set of modes the caller's log can contain (it picks the plan);
-    ``chunk`` is a column that is monotone in ``order`` inside a key (a date is
-    ideal) and splits a busy key; ``ref_col`` and ``alt_col`` name the events an event
-    depends on. With ``halt_scope`` the first event of a scope value that is not applied
-    halts the later events of that value in the key: they are marked ``halted`` and
-    change nothing (one sync request stops at its first bad op). ``initial`` gives
-    start states (key and one column per dimension)."""
-    modes = set(modes)
-    if initial is None and not halt_scope and chunk and modes <= {ADD, CLAMP} and not ref_col:
-        return _chunked_scan(events, key, order, chunk, dims, clamp=CLAMP in modes)
-
-    columns = events.columns
-    starts = [F.coalesce(F.col(f"__i.{d}"), F.lit(0)).cast("bigint").alias(f"s_{d}") for d in dims]
+    ``chunk`` is a column that is monotone in ``order`` inside a key (a date is ideal) and
+    splits a busy key of an associative log; ``ref_col`` and ``alt_col`` name the events an
+    event depends on. With ``halt_scope`` the first event of a scope value that is not
+    applied halts the later events of that value in the key: they are marked ``halted`` and
+    change nothing (one sync request stops at its first bad op); such logs hold no
+    references. ``initial`` gives start states (key and one column per dimension). The
+    outcome depends on neither ``chunk`` nor ``chunk_rows``."""
+    modes, columns = set(modes), events.columns
+    ref_col, alt_col = (c if c in columns else None for c in (ref_col, alt_col))
+    if halt_scope and (ref_col or alt_col):
+        raise ValueError("a log with references can't be halted")
+    associative = not halt_scope and chunk and not ref_col and not alt_col
+    if associative and modes <= {ADD} and initial is None:
+        return _running_sum(events, key, order, chunk, dims)
     plain = events.withColumn("stopped", F.lit(None).cast(T.ArrayType(events.schema[halt_scope].dataType))) if halt_scope else events
     if initial is not None:
+        starts = [F.coalesce(F.col(f"__i.{d}"), F.lit(0)).cast("bigint").alias(f"s_{d}") for d in dims]
         plain = plain.alias("__e").join(initial.alias("__i"), F.col(f"__e.{key}") == F.col(f"__i.{key}"), "left").select("__e.*", *starts)
     else:
         plain = plain.select("*", *[F.lit(0).cast("bigint").alias(f"s_{d}") for d in dims])
     out = [*columns, "applied", *(["halted"] if halt_scope else []),
            *[f"before_{d}" for d in dims], *[f"after_{d}" for d in dims]]
-    ref_col, alt_col = (c if c in columns else None for c in (ref_col, alt_col))
-    largest = 0
-    if chunk:
-        largest = events.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if associative and modes <= {ADD, CLAMP, SET}:
+        return _closed_scan(plain, key, order, chunk, dims, mode_col).select(*out)
+    # written once: what made the events is not computed again for the count of a key
+    stored = _written(plain, "ledger-events")
+    largest = stored.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     if largest <= chunk_rows:
-        return _pass(plain, [key], order, dims, mode_col, halt_scope, id_col, ref_col, alt_col).select(*out)
-    return _rounds(plain, key, order, dims, mode_col, chunk, id_col, ref_col, alt_col, halt_scope, chunk_rows).select(*out)
+        return _pass(stored, [key], order, dims, mode_col, halt_scope, id_col, ref_col, alt_col).select(*out)
+    return _rounds(stored, key, order, dims, mode_col, id_col, ref_col, alt_col, halt_scope, chunk_rows).select(*out)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -293,48 +423,61 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _rounds(plain: DataFrame, key: str, order: list[str], dims: list[str], mode_col: str, chunk: str,
-            id_col: str, ref_col: str | None, alt_col: str | None, scope: str | None, chunk_rows: int) -> DataFrame:
-    """The fold of chunks in parallel rounds. The driver sees a count per round."""
-    base = _chunk_numbers(plain, key, chunk, chunk_rows)
-    if ref_col:
-        # a referenced event is given back once; later events that refer to it are refused
-        before = Window.partitionBy(key, ref_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        spent = F.max(F.col(mode_col) == RESTORE).over(before)
-        base = base.filter(F.col(ref_col).isNull()).withColumn("__spent", F.lit(False)).unionByName(
-            base.filter(F.col(ref_col).isNotNull()).withColumn("__spent", F.coalesce(spent, F.lit(False))))
-    base = _written(base, "ledger-events")
-    groups = [key, "__chunk"]
-    names = [c for c in (ref_col, alt_col) if c]
+def _referred(base: DataFrame, key: str, order: list[str], mode_col: str, id_col: str, names: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """``base`` with, for each column of ``names`` (column -> flag), whether it names an event of
+    an earlier chunk (<flag>_before), and ``__spent``: an earlier restore gave the event of
+    the first column back. And the events named across chunks: __rk, __rid, __ok (true)."""
+    place = F.struct(*order)
+    events = base.select(F.col(key).alias("__xk"), F.col(id_col).cast("string").alias("__xi"), F.col("__chunk").alias("__xc"), place.alias("__xo"))
     asked = None
-    for c in names:
-        ids = base.filter(F.col(c).isNotNull()).select(F.col(key).alias("__rk"), F.col(c).alias("__rid"))
+    for k, (c, flag) in enumerate(names.items()):
+        named, others = base.filter(F.col(c).isNotNull()), base.filter(F.col(c).isNull())
+        found = named.join(events, (F.col(key) == F.col("__xk")) & (F.col(c).cast("string") == F.col("__xi")), "left")
+        found = (found.withColumn("__earlier", F.coalesce(F.col("__xo") < place, F.lit(False)))
+                 .withColumn(f"{flag}_before", F.col("__earlier") & (F.col("__xc") < F.col("__chunk"))))
+        if k == 0:
+            restored = Window.partitionBy(key, c).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            found = found.withColumn("__spent", F.coalesce(F.max((F.col(mode_col) == RESTORE) & F.col("__earlier")).over(restored), F.lit(False)))
+            others = others.withColumn("__spent", F.lit(False))
+        base = found.drop("__xk", "__xi", "__xc", "__xo", "__earlier").unionByName(others.withColumn(f"{flag}_before", F.lit(False)))
+        ids = base.filter(f"{flag}_before").select(F.col(key).alias("__rk"), F.col(c).cast("string").alias("__rid"))
         asked = ids if asked is None else asked.union(ids)
-    asked = asked.distinct() if asked is not None else None
+    return base, asked.distinct().withColumn("__ok", F.lit(True))
+
+
+def _rounds(stored: DataFrame, key: str, order: list[str], dims: list[str], mode_col: str, id_col: str,
+            ref_col: str | None, alt_col: str | None, scope: str | None, chunk_rows: int) -> DataFrame:
+    """The fold of chunks in parallel rounds. The driver sees a count per round."""
+    base, known = _chunked(stored, key, order, chunk_rows), None
+    names = {c: flag for c, flag in ((ref_col, "gate"), (alt_col, "alt_ok")) if c}
+    if names:
+        base, known = _referred(_written(base, "ledger-chunks"), key, order, mode_col, id_col, names)
+    base = _written(base, "ledger-base")
+    known = _written(known, "ledger-known") if known is not None else None
+    groups = [key, "__chunk"]
     firsts = [f"s_{d}" for d in dims] + (["stopped"] if scope else [])
     # round 1: chunks start from the sum of all deltas before them, references were applied
     total = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = base.groupBy(*groups).agg(*[F.sum(F.col(_d(d)).cast("bigint")).alias(f"t_{d}") for d in dims],
                                      *[F.first(c).alias(c) for c in firsts])
-    starts = _written(sums.select(*groups, *[F.greatest(F.lit(0), F.col(f"s_{d}") + F.coalesce(F.sum(f"t_{d}").over(total), F.lit(0))).alias(f"s_{d}")
-                                             for d in dims], *(["stopped"] if scope else [])), "ledger-starts")
-    known = _written(asked.withColumn("__ok", F.lit(True)), "ledger-known") if asked is not None else None
+    guess = lambda d: F.when(F.col("__chunk") == 0, F.col(f"s_{d}")).otherwise(
+        F.greatest(F.lit(0), F.col(f"s_{d}") + F.coalesce(F.sum(f"t_{d}").over(total), F.lit(0)))).alias(f"s_{d}")
+    starts = _written(sums.select(*groups, *[guess(d) for d in dims], *(["stopped"] if scope else [])), "ledger-starts")
     todo, done = None, []
     while True:
         rows = base.drop(*firsts)
         if todo is not None:
             rows = rows.join(todo, groups, "left_semi")
         rows = rows.join(starts, groups)
-        for c, flag in ((ref_col, "gate"), (alt_col, "alt_ok")):
-            if c in names:
-                k = known.select(F.col("__rk").alias("__xk"), F.col("__rid").alias("__xi"), F.col("__ok").alias("__xo"))
-                rows = rows.join(k, (F.col(key) == F.col("__xk")) & (F.col(c) == F.col("__xi")), "left")
-                rows = rows.withColumn(flag, F.coalesce("__xo", F.lit(False))).drop("__xk", "__xi", "__xo")
+        for c, flag in names.items():
+            k = known.select(F.col("__rk").alias("__xk"), F.col("__rid").alias("__xi"), F.col("__ok").alias("__xo"))
+            rows = rows.join(k, F.col(f"{flag}_before") & (F.col(key) == F.col("__xk")) & (F.col(c).cast("string") == F.col("__xi")), "left")
+            rows = rows.withColumn(flag, F.coalesce("__xo", F.lit(False))).drop("__xk", "__xi", "__xo")
         folded = _written(_pass(rows, groups, order, dims, mode_col, scope, id_col, ref_col, alt_col), "ledger-round")
         done.append(folded.withColumn("__round", F.lit(len(done))))
         ends = folded.groupBy(*groups).agg(
             F.max_by(F.struct(*[f"after_{d}" for d in dims]), F.struct(*order)).alias("__end"),
-            *([F.array_sort(F.array_union(F.coalesce(F.first("stopped"), F.array().cast(T.ArrayType(plain.schema[scope].dataType))),
+            *([F.array_sort(F.array_union(F.coalesce(F.first("stopped"), F.array().cast(stored.schema["stopped"].dataType)),
                                           F.collect_set(F.when(~F.col("applied") & ~F.col("halted"), F.col(scope))))).alias("__stop")] if scope else []))
         nexts = ends.select(key, (F.col("__chunk") + 1).alias("__chunk"), *[F.col(f"__end.after_{d}").alias(f"n_{d}") for d in dims],
                             *([F.col("__stop").alias("n_stopped")] if scope else []))
@@ -347,12 +490,13 @@ def _rounds(plain: DataFrame, key: str, order: list[str], dims: list[str], mode_
         moved = _written(moved.filter(changed), "ledger-moved")
         again = moved.select(*groups)
         if known is not None:
-            now = folded.select(F.col(key).alias("__rk"), F.col(id_col).alias("__rid"), F.col("applied").alias("__new"))
+            now = folded.select(F.col(key).alias("__rk"), F.col(id_col).cast("string").alias("__rid"), F.col("applied").alias("__new"))
             flips = _written(known.join(now, ["__rk", "__rid"]).filter(F.col("__ok") != F.col("__new"))
                              .select("__rk", "__rid", F.col("__new").alias("__ok")), "ledger-flips")
             hit = flips.select(F.col("__rk").alias("__fk"), F.col("__rid").alias("__fi"))
-            for c in names:
-                again = again.union(base.join(hit, (F.col(key) == F.col("__fk")) & (F.col(c) == F.col("__fi")), "left_semi").select(*groups))
+            for c, flag in names.items():
+                again = again.union(base.filter(f"{flag}_before").join(
+                    hit, (F.col(key) == F.col("__fk")) & (F.col(c).cast("string") == F.col("__fi")), "left_semi").select(*groups))
             known = _written(known.join(flips.select("__rk", "__rid"), ["__rk", "__rid"], "left_anti").union(flips), "ledger-known")
         todo = _written(again.distinct(), "ledger-todo")
         if todo.isEmpty():

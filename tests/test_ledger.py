@@ -2,6 +2,7 @@
 with the brute-force fold."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,32 +74,29 @@ def test_void_twice_is_void_once(spark):
 
 
 def reference_fold(rows, dims):
-    """Independent plain-Python fold (rows sorted by key then order)."""
-    out, state, key, applied_ops = [], None, object(), {}
+    """Independent plain-Python fold (rows sorted by key then order). A reference counts only
+    if the event came earlier and was applied, and an event is given back once."""
+    out, state, key, seen, back = [], None, object(), {}, set()
     for r in rows:
         if r["key"] != key:
-            key, state, applied_ops = r["key"], {d: 0 for d in dims}, {}
+            key, state, seen, back = r["key"], {d: 0 for d in dims}, {}, set()
         before = dict(state)
         d = {x: int(r[f"d_{x}"] or 0) for x in dims}
-        mode, ok = r["mode"], True
-        if mode == "add":
+        if r.get("alt") and seen.get(r["alt"]):
+            d = {x: int(r[f"a_{x}"] or 0) for x in dims}
+        mode = r["mode"]
+        ok = mode != "fail" and (r["ref"] is None or bool(seen.get(r["ref"])) and r["ref"] not in back)
+        if ok and mode in ("reject", "replace"):
+            ok = all(state[x] + d[x] >= 0 for x in dims)
+        if ok and mode in ("add", "reject", "replace", "restore"):
             state = {x: state[x] + d[x] for x in dims}
-        elif mode == "reject":
-            nxt = {x: state[x] + d[x] for x in dims}
-            ok = all(v >= 0 for v in nxt.values())
-            state = nxt if ok else state
-        elif mode == "clamp":
+        elif ok and mode == "clamp":
             state = {x: max(state[x] + d[x], 0) for x in dims}
-        elif mode == "set":
+        elif ok and mode == "set":
             state = {x: (state[x] if r.get(f"v_{x}") is None else int(r[f"v_{x}"])) for x in dims}
-        elif mode == "restore":
-            ok = applied_ops.pop(r["ref"], False)
-            state = {x: state[x] + d[x] for x in dims} if ok else state
-        elif mode == "replace":
-            nxt = {x: state[x] + d[x] for x in dims}
-            ok = applied_ops.get(r["ref"], False) and all(v >= 0 for v in nxt.values())
-            state = nxt if ok else state
-        applied_ops.setdefault(r["op_id"], ok) if mode in ("add", "reject") else None
+        if ok and mode == "restore":
+            back.add(r["ref"])
+        seen[r["op_id"]] = ok
         out.append(dict(r, applied=ok, **{f"before_{x}": before[x] for x in dims},
                         **{f"after_{x}": state[x] for x in dims}))
     return out
@@ -139,6 +137,8 @@ def _random_log(seed, modes, n=400, keys=3, days=9):
     (("add", "reject", "clamp", "set"), 20),
     (("add", "reject", "restore", "replace"), 1000),
     (("add", "reject", "restore", "replace", "clamp"), 25),
+    (("add", "clamp", "set"), 1000),
+    (("add", "noop", "fail", "reject", "set"), 17),
 ])
 def test_plans_agree_with_brute_force(spark, modes, chunk_rows):
     rows = _random_log(7, modes)
@@ -151,6 +151,121 @@ def test_plans_agree_with_brute_force(spark, modes, chunk_rows):
            [(w["after_x"], w["before_x"], bool(w["applied"])) for w in want]
 
 
+def _linked_log(seed, n=260, keys=2):
+    """References in both directions, to refused events, to nothing and to other edits."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(keys):
+        for s in range(n):
+            mode = rng.choice(["add", "reject", "reject", "clamp", "restore", "replace", "set", "noop", "fail"])
+            ref = alt = None
+            if mode in ("restore", "replace") or rng.random() < 0.1:
+                ref = f"{k}-{int(rng.integers(max(0, s - 40), min(n + 3, s + 20)))}"
+            if rng.random() < 0.3:
+                alt = f"{k}-{int(rng.integers(0, n + 3))}"
+            d, a = (int(x) for x in rng.integers(-9, 10, 2))
+            rows.append((k, s, f"{k}-{s}", str(mode), ref, alt, abs(d) if mode == "add" else d, int(rng.integers(-9, 10)),
+                         a, int(rng.integers(-3, 4)), int(rng.integers(0, 15)) if rng.random() < 0.6 else None, None))
+    return rows
+
+
+LINKED = ("key long, seq long, op_id string, mode string, ref string, alt string, d_x long, d_y long, a_x long, a_y long, "
+          "v_x long, v_y long")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_both_plans_give_one_answer(spark, seed):
+    """Random logs with references in both directions: chunks of 1 and 7 events, and one
+    pass, equal the plain fold."""
+    rows = _linked_log(seed, n=40 if seed == 1 else 260)
+    df = spark.createDataFrame(rows, LINKED).withColumn("op_date", F.lit("2024-01-01").cast("date"))
+    names = [c.split()[0] for c in LINKED.split(", ")]
+    want = [(w["key"], w["seq"], w["applied"], w["before_x"], w["after_x"], w["before_y"], w["after_y"])
+            for w in reference_fold([dict(zip(names, r)) for r in rows], ["x", "y"])]
+    for chunk_rows in (1, 7, 200_000) if seed == 1 else (90, 200_000):
+        out = L.fold(df, "key", ["seq"], ["x", "y"], {"add", "reject", "clamp", "restore", "replace", "set", "noop", "fail"},
+                     chunk="op_date", ref_col="ref", alt_col="alt", chunk_rows=chunk_rows)
+        got = [tuple(r) for r in out.select("key", "seq", "applied", "before_x", "after_x", "before_y", "after_y").orderBy("key", "seq").collect()]
+        assert got == want, chunk_rows
+
+
+def test_restore_before_its_sale_is_refused(spark):
+    """Five events, the void ordered before its sale: refused by every plan."""
+    rows = [(1, 1, 0, "a", "add", None, 61, None), (1, 2, 0, "v", "restore", "s", 50, None), (1, 3, 0, "s", "reject", None, -50, None),
+            (1, 4, 0, "b", "add", None, 50, None), (1, 5, 0, "w", "restore", "gone", 9, None)]
+    for chunk_rows in (1, 2, 200_000):
+        out = L.fold(_events(spark, rows), "key", ["seq"], ["x"], {"add", "reject", "restore"}, chunk="op_date", ref_col="ref", chunk_rows=chunk_rows)
+        assert [(r.applied, r.after_x) for r in out.orderBy("seq").collect()] == [
+            (True, 61), (False, 61), (True, 11), (True, 61), (False, 61)]
+
+
+def test_refused_restore_leaves_the_sale_to_give_back(spark):
+    """The first void comes before its sale and is refused; a later one counts, a third not."""
+    rows = [(1, 1, 0, "a", "add", None, 20, None), (1, 2, 0, "v1", "restore", "s", 5, None), (1, 3, 0, "s", "reject", None, -5, None),
+            (1, 4, 0, "v2", "restore", "s", 5, None), (1, 5, 0, "v3", "restore", "s", 5, None), (1, 6, 0, "r", "replace", "s", 1, None)]
+    for chunk_rows in (1, 3, 200_000):
+        out = L.fold(_events(spark, rows), "key", ["seq"], ["x"], {"add", "reject", "restore", "replace"}, ref_col="ref", chunk_rows=chunk_rows)
+        assert [r.applied for r in out.orderBy("seq").collect()] == [True, False, True, True, False, False]
+
+
+def test_a_busy_day_is_cut(spark, monkeypatch):
+    """One day of one key: its chunks are as even as those of many days."""
+    df = _events(spark, [(k, s, 0, oid, m, ref, d, v) for k, s, _, oid, m, ref, d, v in _random_log(9, ("add", "reject"), n=300, keys=1)])
+    seen = []
+    real = L._pass
+    monkeypatch.setattr(L, "_pass", lambda ev, groups, *a: seen.append(
+        sorted(r["count"] for r in ev.groupBy(*groups).count().collect())) or real(ev, groups, *a))
+    L.fold(df, "key", ["seq"], ["x"], {"add", "reject"}, chunk="op_date", chunk_rows=50).count()
+    assert seen[0] == [50] * 6
+
+
+def test_steps_are_taken_per_refusal(monkeypatch):
+    """A long log with few refusals is folded in few leaps."""
+    n = 50_000
+    rng = np.random.default_rng(4)
+    d = np.where(rng.random(n) < 0.5, rng.integers(1, 9, n), -rng.integers(1, 9, n))
+    d[rng.integers(0, n, 20)] = -10**6  # refused
+    d[0] = 10**5
+    table = pa.table({"key": np.zeros(n, np.int64), "mode": np.where(d > 0, "add", "reject"), "op_id": np.arange(n).astype(str),
+                      "d_x": d, "s_x": np.zeros(n, np.int64)})
+    log = L._Log(table, ["key"], ["x"], "mode", None, "op_id", None, None)
+    steps = []
+    real = np.cumsum
+    monkeypatch.setattr(L.np, "cumsum", lambda *a, **k: steps.append(1) or real(*a, **k))
+    applied, _, before, after = L._leap(log)
+    refused = int((~applied).sum())
+    assert 15 <= refused <= 25 and len(steps) <= 14 * (refused + 1)
+    state = 0
+    for i in range(n):
+        ok = d[i] > 0 or state + d[i] >= 0
+        assert applied[i] == ok and before[i, 0] == state
+        state += int(d[i]) if ok else 0
+
+
+def test_closed_maps_compose_without_python(spark):
+    """Adds, clamps and sets of single dimensions, from given starts: no Python in the plan."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(3):
+        for s in range(200):
+            m = str(rng.choice(["add", "add", "clamp", "clamp", "set"]))
+            v = [int(x) if m == "set" and rng.random() < 0.5 else None for x in rng.integers(0, 20, 2)]
+            rows.append((k, s, s // 23, m, int(rng.integers(-9, 10)), int(rng.integers(-9, 10)), *v))
+    df = spark.createDataFrame(rows, "key long, seq long, day int, mode string, d_x long, d_y long, v_x long, v_y long").withColumn("op_id", F.col("seq").cast("string"))
+    out = L.fold(df, "key", ["seq"], ["x", "y"], {"add", "clamp", "set"}, chunk="day",
+                 initial=spark.createDataFrame([(0, 30, 2), (2, 1, -4)], "key long, x long, y long"))
+    assert "Python" not in out._jdf.queryExecution().toString() and "MapInArrow" not in out._jdf.queryExecution().toString()
+    state = {0: [30, 2], 1: [0, 0], 2: [1, -4]}
+    for r in out.orderBy("key", "seq").collect():
+        x = state[r.key]
+        assert [r.before_x, r.before_y] == x
+        d, v = (r.d_x, r.d_y), (r.v_x, r.v_y)
+        x = [a + b for a, b in zip(x, d)] if r.mode == "add" else [max(a + b, 0) for a, b in zip(x, d)] if r.mode == "clamp" else \
+            [a if b is None else b for a, b in zip(x, v)]
+        state[r.key] = x
+        assert [r.after_x, r.after_y] == x
+
+
 def test_hot_key_is_folded_by_several_tasks(spark, monkeypatch):
     """One key with a third of the log: its chunks are separate groups of the fold, and
     the result is that of the fold in one piece."""
