@@ -31,6 +31,8 @@ from henhouse.llm.common import written
 from henhouse.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Memory for the state of all partitions of an executor; the rest is on its disk.
+STATE_MB = 128
 #: Where a row's content is: its file and its place in that file.
 LOCATOR = ("file", "row")
 
@@ -69,6 +71,7 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
         streams.conf.set(key, spark.conf.get(key))
     streams.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     streams.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    streams.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STATE_MB))
     streams.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     checkpoint = scratch_path(spark, "exact-dedup-state")
     options = {"maxFilesPerTrigger": str(max_files_per_trigger)} if max_files_per_trigger else {}
