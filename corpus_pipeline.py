@@ -12,9 +12,20 @@ from henhouse.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup
 from henhouse.session import scratch_path, ship_package
 
 
+#: An executor runs all stages in the same Python workers: memory that a stage no longer
+#: uses goes back to the system, not into allocators that keep it for the next.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2",
+              "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
+
+
+def prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    spark.sparkContext.environment.update(WORKER_ENV)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs)
 
 
@@ -25,19 +36,19 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by shared shingles, the one with the smallest doc_id."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.keep_one_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that start earlier in the corpus."""
-    ship_package(spark)
+    prepare(spark)
     return suffix_dedup.shorten(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 ids."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 
