@@ -151,6 +151,8 @@ OPLOG = T.StructType([
     T.StructField("userId", T.LongType()),
     T.StructField("farmId", T.LongType()),
 ])
+# As stored, an operation may name the request it was sent in.
+OPLOG_STORED = T.StructType([*OPLOG.fields, T.StructField("requestId", T.StringType())])
 
 # Payloads arrive as text; every field is read as a string and checked by the
 # validation operators (coercion rules live there, not in the parser).
