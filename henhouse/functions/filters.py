@@ -62,6 +62,11 @@ def active_admins(users: DataFrame) -> DataFrame:
     return users.filter((F.col("role") == "admin") & F.col("active"))
 
 
+def by_id(col: str, value) -> Column:
+    """The records of one shed, author or customer: a plain predicate, pushed to the scan."""
+    return _c(col) == F.lit(value)
+
+
 def in_keys(df: DataFrame, col: str, keys: DataFrame, key_col: str = "id") -> DataFrame:
     """Rows whose key is among ``keys``: a left semi join, so one job serves every key."""
     return df.join(keys.select(_c(key_col).alias("__k")), F.col(col) == F.col("__k"), "left_semi")

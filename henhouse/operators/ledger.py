@@ -380,7 +380,7 @@ def _chunked(events: DataFrame, key: str, order: list[str], rows: int) -> DataFr
 def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes: set[str],
          mode_col: str = "mode", chunk: str | None = None, id_col: str = "op_id",
          ref_col: str | None = None, alt_col: str | None = None, halt_scope: str | None = None,
-         initial: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+         initial: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS, outcomes: DataFrame | None = None) -> DataFrame:
     """Fold ``events`` per ``key`` in ``order``; returns the events with ``applied``,
     ``before_<dim>`` and ``after_<dim>`` columns.
 
@@ -390,8 +390,9 @@ def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes:
     event depends on. With ``halt_scope`` the first event of a scope value that is not
     applied halts the later events of that value in the key: they are marked ``halted`` and
     change nothing (one sync request stops at its first bad op); such logs hold no
-    references. ``initial`` gives start states (key and one column per dimension). The
-    outcome depends on neither ``chunk`` nor ``chunk_rows``."""
+    references. ``initial`` gives start states (key and one column per dimension), and
+    ``outcomes`` what became of earlier events that the log refers to but doesn't hold (key,
+    ``id_col``, ``applied``, ``spent``: given back already). The result depends on neither ``chunk`` nor ``chunk_rows``."""
     modes, columns = set(modes), events.columns
     ref_col, alt_col = (c if c in columns else None for c in (ref_col, alt_col))
     if halt_scope and (ref_col or alt_col):
@@ -405,6 +406,8 @@ def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes:
         plain = plain.alias("__e").join(initial.alias("__i"), F.col(f"__e.{key}") == F.col(f"__i.{key}"), "left").select("__e.*", *starts)
     else:
         plain = plain.select("*", *[F.lit(0).cast("bigint").alias(f"s_{d}") for d in dims])
+    if outcomes is not None:
+        plain = _with_outcomes(plain, outcomes, key, id_col, ref_col, alt_col)
     out = [*columns, "applied", *(["halted"] if halt_scope else []),
            *[f"before_{d}" for d in dims], *[f"after_{d}" for d in dims]]
     if associative and modes <= {ADD, CLAMP, SET}:
@@ -417,6 +420,18 @@ def fold(events: DataFrame, key: str, order: list[str], dims: list[str], modes:
     return _rounds(stored, key, order, dims, mode_col, id_col, ref_col, alt_col, halt_scope, chunk_rows).select(*out)
 
 
+def _with_outcomes(events: DataFrame, outcomes: DataFrame, key: str, id_col: str, ref_col: str | None, alt_col: str | None) -> DataFrame:
+    """``gate``, ``__spent`` and ``alt_ok`` of events that refer to events before the log."""
+    known = outcomes.select(F.col(key).alias("__ok"), F.col(id_col).cast("string").alias("__oi"), "applied", "spent")
+    for c, flags in ((ref_col, {"gate": "applied", "__spent": "spent"}), (alt_col, {"alt_ok": "applied"})):
+        if c:
+            named, others = events.filter(F.col(c).isNotNull()), events.filter(F.col(c).isNull())
+            found = named.join(known, (F.col(key) == F.col("__ok")) & (F.col(c).cast("string") == F.col("__oi")), "left")
+            found = found.select(*events.columns, *[F.coalesce(F.col(v), F.lit(False)).alias(k) for k, v in flags.items()])
+            events = found.unionByName(others.select("*", *[F.lit(False).alias(k) for k in flags]))
+    return events
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -429,7 +444,9 @@ def _referred(base: DataFrame, key: str, order: list[str], mode_col: str, id_col
     the first column back. And the events named across chunks: __rk, __rid, __ok (true)."""
     place = F.struct(*order)
     events = base.select(F.col(key).alias("__xk"), F.col(id_col).cast("string").alias("__xi"), F.col("__chunk").alias("__xc"), place.alias("__xo"))
-    asked = None
+    asked, given = None, {f for f in ("gate", "alt_ok", "__spent") if f in base.columns}
+    for f in given:
+        base = base.withColumnRenamed(f, f"{f}_given")
     for k, (c, flag) in enumerate(names.items()):
         named, others = base.filter(F.col(c).isNotNull()), base.filter(F.col(c).isNull())
         found = named.join(events, (F.col(key) == F.col("__xk")) & (F.col(c).cast("string") == F.col("__xi")), "left")
@@ -442,6 +459,8 @@ def _referred(base: DataFrame, key: str, order: list[str], mode_col: str, id_col
         base = found.drop("__xk", "__xi", "__xc", "__xo", "__earlier").unionByName(others.withColumn(f"{flag}_before", F.lit(False)))
         ids = base.filter(f"{flag}_before").select(F.col(key).alias("__rk"), F.col(c).cast("string").alias("__rid"))
         asked = ids if asked is None else asked.union(ids)
+    if "__spent" in given:
+        base = base.withColumn("__spent", F.col("__spent") | F.col("__spent_given"))
     return base, asked.distinct().withColumn("__ok", F.lit(True))
 
 
@@ -472,7 +491,8 @@ def _rounds(stored: DataFrame, key: str, order: list[str], dims: list[str], mode
         for c, flag in names.items():
             k = known.select(F.col("__rk").alias("__xk"), F.col("__rid").alias("__xi"), F.col("__ok").alias("__xo"))
             rows = rows.join(k, F.col(f"{flag}_before") & (F.col(key) == F.col("__xk")) & (F.col(c).cast("string") == F.col("__xi")), "left")
-            rows = rows.withColumn(flag, F.coalesce("__xo", F.lit(False))).drop("__xk", "__xi", "__xo")
+            given = F.col(f"{flag}_given") if f"{flag}_given" in rows.columns else F.lit(False)
+            rows = rows.withColumn(flag, F.coalesce("__xo", given)).drop("__xk", "__xi", "__xo")
         folded = _written(_pass(rows, groups, order, dims, mode_col, scope, id_col, ref_col, alt_col), "ledger-round")
         done.append(folded.withColumn("__round", F.lit(len(done))))
         ends = folded.groupBy(*groups).agg(

@@ -8,7 +8,7 @@ zero-fill is a by-product of the union instead of a calendar left join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from henhouse import schemas
@@ -208,16 +208,118 @@ def report_by_size(t: Tables, period: int, as_of) -> DataFrame:
                     X.category_rank("category").alias("category_rank"))
 
 
-def report(t: Tables, period: int, as_of) -> dict[str, DataFrame]:
-    """Everything the report screen shows, as separate frames of one plan family."""
-    series = report_series(t, period, as_of)
-    return {
-        "series": series,
-        "kpis": report_kpis(t, period, as_of, series),
-        "by_category_production": production_by_category(t, period, as_of),
-        "by_category_sales": sales_by_category(t, period, as_of),
-        "birds": active_birds(t),
-    }
+PERIODS = (7, 30, 365)
+REPORT = ["period", "part", "pos", "label", "date", "eggs", "sales", "expenses", "profit", "sold", "points", "avg_eggs", "best_eggs",
+          "birds", "laying_rate"]
+
+
+def _first_days(as_of) -> dict[int, F.Column]:
+    """The first day of each period's series, and of its trailing window."""
+    d0 = X.lit_date(as_of)
+    return {p: F.add_months(F.trunc(d0, "MM"), -11) if _grain(p) == "month" else F.date_sub(d0, p - 1) for p in PERIODS}
+
+
+def daily_totals(t: Tables, as_of) -> DataFrame:
+    """Per day from the first day any period needs: eggs by size, money in and out, and eggs
+    and money sold by size. Every fact table is read once; the result has a row per day
+    with records."""
+    lo = F.least(*_first_days(as_of).values(), *[F.date_sub(X.lit_date(as_of), p - 1) for p in PERIODS])
+    money = "decimal(22,2)"
+    measures = {**{s: "bigint" for s in schemas.CATEGORIES}, "sales": money, "expenses": money,
+                **{f"sold_{s}": "bigint" for s in schemas.CATEGORIES}, **{f"earned_{s}": money for s in schemas.CATEGORIES}}
+
+    def part(df, date_col, **given):
+        rows = df.filter((F.col(date_col) >= lo) & P.active_only())
+        return rows.select(F.col(date_col).alias("d"), *[given.get(m, F.lit(None)).cast(kind).alias(m) for m, kind in measures.items()])
+
+    size = lambda s, x: F.when(F.col("category") == s, x)
+    items = t.sale_items.select("sale_id", "category", X.line_eggs("quantity", "eggs_per_unit").alias("n"), F.col("line_total").alias("money"))
+    recent = t.sales.filter((F.col("sale_date") >= lo) & P.active_only()).select("id", "sale_date", "total")
+    # a sale and its items: the items are added up per sale before the join, the total counts once
+    each = items.groupBy("sale_id").agg(*[F.sum(size(s, F.col("n"))).alias(f"sold_{s}") for s in schemas.CATEGORIES],
+                                        *[F.sum(size(s, F.col("money"))).alias(f"earned_{s}") for s in schemas.CATEGORIES])
+    sold = recent.join(each, recent.id == each.sale_id, "left").withColumn("voided_at", F.lit(None))
+    by_size = [f"{kind}_{s}" for kind in ("sold", "earned") for s in schemas.CATEGORIES]
+    u = (part(t.daily_collections, "collection_date", **{s: F.col(s) for s in schemas.CATEGORIES})
+         .unionByName(part(sold, "sale_date", sales=F.col("total"), **{c: F.col(c) for c in by_size}))
+         .unionByName(part(t.expenses, "expense_date", expenses=F.col("amount"))))
+    return u.groupBy("d").agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def report(t: Tables, as_of) -> DataFrame:
+    """The report of all periods in one result, one row per point, size and period:
+
+    * ``series`` — the points of the period in order (days, or calendar months for 365),
+      zero-filled, with eggs, sales, expenses and profit;
+    * ``size`` — per size in enum order: eggs laid (``eggs``), eggs and money sold (``sold``,
+      ``sales``) in the trailing window, whose end is open as in the stand-alone totals;
+    * ``kpi`` — totals over the points, the average per point, the earliest best point
+      (label, date, best_eggs; none if nothing was laid), birds and laying rate.
+
+    The facts are read once, into one row per day; everything else is made of those rows.
+    They are counted over the calendar, so their number does not grow with the facts."""
+    days = daily_totals(t, as_of)
+    d0, first = X.lit_date(as_of), _first_days(as_of)
+    periods = t.spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(p).alias("period"), F.lit(_grain(p)).alias("grain"), first[p].alias("lo"), F.date_sub(d0, p - 1).alias("from"))
+        for p in PERIODS])).alias("p")).select("p.*")
+    eggs = sum((F.coalesce(F.col(s), F.lit(0)) for s in schemas.CATEGORIES), F.lit(0)).cast("bigint")
+    step = F.when(F.col("grain") == "month", F.sequence(F.col("lo"), F.trunc(F.lit(d0), "MM"), F.expr("INTERVAL 1 MONTH"))).otherwise(
+        F.sequence(F.col("lo"), d0, F.expr("INTERVAL 1 DAY")))
+    zero = F.lit(0).cast("decimal(22,2)")
+    points = periods.select("period", "grain", F.explode(step).alias("d"), F.lit(0).cast("bigint").alias("eggs"),
+                            zero.alias("sales"), zero.alias("expenses"))
+    # a day counts in every period that reaches back to it: three copies of a row at most
+    copies = days.select("*", eggs.alias("eggs"), F.explode(F.array(*[
+        F.struct(F.lit(p).alias("period"), F.lit(_grain(p)).alias("grain"), first[p].alias("lo"), F.date_sub(d0, p - 1).alias("from"))
+        for p in PERIODS])).alias("p")).select("*", "p.*").drop("p")
+    last = F.when(F.col("grain") == "month", F.last_day(F.lit(d0))).otherwise(d0)  # the last month counts whole
+    inside = copies.filter((F.col("d") >= F.col("lo")) & (F.col("d") <= last)).select(
+        "period", "grain", F.when(F.col("grain") == "month", F.trunc("d", "MM")).otherwise(F.col("d")).alias("d"), "eggs",
+        F.coalesce("sales", zero).alias("sales"), F.coalesce("expenses", zero).alias("expenses"))
+    series = points.unionByName(inside).groupBy("period", "grain", "d").agg(
+        F.sum("eggs").alias("eggs"), F.sum("sales").alias("sales"), F.sum("expenses").alias("expenses"))
+    label = F.when(F.col("grain") == "month", X.month_label("d")).otherwise(X.day_label("d"))
+    series = series.withColumn("label", label)
+    null = lambda kind: F.lit(None).cast(kind)
+    place = F.row_number().over(Window.partitionBy("period").orderBy("d")).cast("int")
+    blank = {"label": null("string"), "date": null("date"), "eggs": null("bigint"), "sales": null("double"), "expenses": null("double"),
+             "profit": null("double"), "sold": null("bigint"), "points": null("bigint"), "avg_eggs": null("bigint"),
+             "best_eggs": null("bigint"), "birds": null("bigint"), "laying_rate": null("bigint")}
+
+    def rows(df, part, pos, **given):
+        return df.select("period", F.lit(part).alias("part"), pos.alias("pos"), *[given.get(c, blank[c]).alias(c) for c in REPORT[3:]])
+
+    money = lambda c: F.col(c).cast("double")
+    line = rows(series, "series", place, label=F.col("label"), date=F.col("d"), eggs=F.col("eggs"), sales=money("sales"),
+                expenses=money("expenses"), profit=money("sales") - money("expenses"))
+    window = copies.filter(F.col("d") >= F.col("from")).groupBy("period").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for s in schemas.CATEGORIES for c in (s, f"sold_{s}", f"earned_{s}")])
+    sizes = periods.select("period").join(window, "period", "left").select("period", F.explode(F.array(*[
+        F.struct(F.lit(k + 1).alias("pos"), F.lit(s).alias("label"), F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias("eggs"),
+                 F.coalesce(F.col(f"sold_{s}"), F.lit(0)).cast("bigint").alias("sold"),
+                 F.coalesce(F.col(f"earned_{s}"), F.lit(0)).cast("double").alias("sales"))
+        for k, s in enumerate(schemas.CATEGORIES)])).alias("c")).select("period", "c.*")
+    size = rows(sizes, "size", F.col("pos"), label=F.col("label"), eggs=F.col("eggs"), sold=F.col("sold"), sales=F.col("sales"))
+    k = series.groupBy("period").agg(
+        F.count(F.lit(1)).alias("points"), F.sum("eggs").alias("eggs"), F.sum("sales").alias("sales"), F.sum("expenses").alias("expenses"),
+        F.max_by(F.struct("d", "label", "eggs"), F.struct(F.col("eggs"), -F.unix_date("d"))).alias("best"))
+    k = _attach_scalar(k, active_birds(t)).withColumn("avg_eggs", X.js_round(F.col("eggs") / F.col("points")).cast("bigint"))
+    best = lambda c: F.when(F.col("best.eggs") > 0, F.col(f"best.{c}"))
+    kpi = rows(k, "kpi", F.lit(1), label=best("label"), date=best("d"), best_eggs=best("eggs"), eggs=F.col("eggs"), sales=money("sales"),
+               expenses=money("expenses"), profit=money("sales") - money("expenses"), points=F.col("points"), avg_eggs=F.col("avg_eggs"),
+               birds=F.col("birds"), laying_rate=X.laying_rate("avg_eggs", "birds"))
+    return line.unionByName(size).unionByName(kpi).orderBy("period", "part", "pos")
+
+
+def total_vs_lines(t: Tables) -> DataFrame:
+    """Audit: sales whose total is not the sum of their lines (a sale without lines sums to
+    0). The items are added up per sale before they meet the sales."""
+    lines = t.sale_items.groupBy("sale_id").agg(F.sum("line_total").alias("lines"), F.count(F.lit(1)).alias("items"))
+    return (t.sales.join(lines, F.col("id") == F.col("sale_id"), "left")
+            .select("id", "sale_date", "total", F.coalesce("lines", F.lit(0)).cast("decimal(22,2)").alias("lines"),
+                    F.coalesce("items", F.lit(0)).cast("bigint").alias("items"))
+            .withColumn("difference", (F.col("total") - F.col("lines")).cast("decimal(22,2)")).filter("difference <> 0"))
 
 
 # -- day summary -------------------------------------------------------------------
@@ -252,3 +354,11 @@ def dashboard_today(t: Tables, as_of) -> DataFrame:
         trend["pct"].alias("trend_pct"), trend["label"].alias("trend_label"),
         trend["tone"].alias("trend_tone"), trend["dir"].alias("trend_dir"),
     )
+
+
+def dashboard_with_stock(t: Tables, as_of, inventory: DataFrame) -> DataFrame:
+    """The day summary with the stock of all farms per size (``inventory``: category,
+    quantity; from a snapshot or a fold of the log)."""
+    stock = inventory.agg(*[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("quantity"))), F.lit(0)).cast("bigint").alias(f"stock_{c}")
+                            for c in schemas.CATEGORIES])
+    return _attach_scalar(dashboard_today(t, as_of), stock)

@@ -128,7 +128,7 @@ def bird_reconcile(t: Tables) -> DataFrame:
             .withColumn("opening", F.col("bird_count") - F.col("sum_delta")))
 
 
-def shed_history(t: Tables, period: int, as_of, bird_as_of=None) -> DataFrame:
+def shed_header(t: Tables, period: int, as_of, bird_as_of=None) -> DataFrame:
     """Header of the shed history screen for every shed: totals in the window,
     net birds, break rate and current bird count."""
     tot = shed_totals(t, period, as_of)
@@ -139,6 +139,30 @@ def shed_history(t: Tables, period: int, as_of, bird_as_of=None) -> DataFrame:
                     F.coalesce("net", F.lit(0)).cast("bigint").alias("net_birds"))
 
 
+def shed_history(t: Tables, period: int, as_of, bird_as_of=None, k: int = 100) -> DataFrame:
+    """The whole history screen of every shed, one row per entry: ``part`` is header, series,
+    event or collection, ``pos`` the place inside the part (points in time order, the k
+    newest events and collections). One shed is a filter on ``shed``."""
+    null = {"name": "string", "active": "boolean", "bird_count": "int", "entry": "string", "label": "string", "date": "date", "kind": "string",
+            "eggs": "bigint", "rotos": "bigint", "delta": "bigint", "break_rate": "double", "net_birds": "bigint", "actor_name": "string"}
+
+    def rows(df, part, shed, pos, **given):
+        return df.select(F.col(shed).alias("shed"), F.lit(part).alias("part"), pos.cast("int").alias("pos"),
+                         *[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in null.items()])
+
+    own = lambda *cols: {c: F.col(c) for c in cols}
+    head = rows(shed_header(t, period, as_of, bird_as_of), "header", "id", F.lit(1),
+                **own("name", "active", "bird_count", "eggs", "rotos", "break_rate", "net_birds"))
+    place = F.row_number().over(Window.partitionBy("galpon_id").orderBy("date"))
+    series = rows(shed_series(t, period, as_of), "series", "galpon_id", place, **own("label", "date", "eggs", "rotos"))
+    known = lambda df: P.in_keys(df, "galpon_id", t.galpones)
+    events = rows(known(shed_bird_ledger(t, k)), "event", "galpon_id", F.col("rn"), entry=F.col("id"), date=F.col("event_date"), kind=F.col("type"),
+                  delta=F.col("delta"))
+    made = rows(known(shed_collections(t, period, as_of, k)), "collection", "galpon_id", F.col("rn"), entry=F.col("id"), date=F.col("collection_date"),
+                **own("eggs", "rotos", "actor_name"))
+    return head.unionByName(series).unionByName(events).unionByName(made).orderBy("shed", "part", "pos")
+
+
 def shed_list(t: Tables, include_inactive: bool = False) -> DataFrame:
     g = t.galpones if include_inactive else P.active_sheds(t.galpones)
     return g.select("id", "name", "bird_count", "active").orderBy("name", "id")

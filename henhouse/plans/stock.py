@@ -210,13 +210,17 @@ def low_stock_crossings(folded: DataFrame, threshold: int = schemas.LOW_STOCK_TH
 def inventory(folded: DataFrame) -> DataFrame:
     """Current stock per farm and size (the last state of each farm's fold), in enum
     order."""
-    last = folded.groupBy("farm_id").agg(F.max_by(F.struct(*[f"after_{s}" for s in SIZES]),
-                                                  F.struct(*ORDER)).alias("st"))
-    long = last.select("farm_id", F.explode(F.array(*[
-        F.struct(F.lit(s).alias("category"), F.col(f"st.after_{s}").alias("quantity")) for s in SIZES])).alias("c"))
+    last = folded.groupBy("farm_id").agg(F.max_by(F.struct(*[F.col(f"after_{s}").alias(s) for s in SIZES]), F.struct(*ORDER)).alias("st"))
+    return inventory_of(last)
+
+
+def inventory_of(states: DataFrame, *more: str) -> DataFrame:
+    """The rows of the stock screen, of one state (struct st) per farm."""
+    long = states.select("farm_id", *more, F.explode(F.array(*[
+        F.struct(F.lit(s).alias("category"), F.col(f"st.{s}").alias("quantity")) for s in SIZES])).alias("c"))
     return long.select("farm_id", "c.category", "c.quantity",
                        X.category_rank("c.category").alias("category_rank"),
-                       X.crates_equiv("c.quantity").alias("crates")) \
+                       X.crates_equiv("c.quantity").alias("crates"), *more) \
         .orderBy("farm_id", "category_rank")
 
 
