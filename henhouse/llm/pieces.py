@@ -10,7 +10,7 @@ and the only one, so the same pass over the automaton finds it.
 
 No piece but runs of spaces has a space after its first letter, and letters of no piece
 stand alone, so a text falls into segments that can be encoded one by one. Words recur: a
-worker remembers the segments it has met, up to a fixed number."""
+worker remembers the short segments it has met, up to a fixed number of bytes."""
 
 from __future__ import annotations
 
@@ -21,8 +21,10 @@ import ahocorasick
 import numpy as np
 
 SPACE = "▁"
-#: Segments and pairs a worker remembers at most; then it starts afresh.
-REMEMBERED, REMEMBERED_PAIRS = 200_000, 600_000
+#: Bytes of segments with their ids, and pairs, a worker remembers at most; then it starts afresh.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 64 << 20, 600_000
+#: Longer segments are not remembered; bytes of one besides its letters and ids, about.
+SEGMENT_CHARS, SEGMENT_BYTES = 64, 250
 #: How far below the least score a letter without a piece lies (a fixed value).
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -63,6 +65,7 @@ class PieceModel:
         some = "".join(map(re.escape, sorted(known)))
         self._segments = re.compile(f"{SPACE}+[{some}]*|[{some}]+|[^{some}{SPACE}]")
         self._known: dict[str, tuple[int, ...]] = {}
+        self._held = 0
         self._pairs: dict[tuple[str, str], bool] = {}
         self._made: dict[str, tuple[str, str, bool] | None] = {}
         self._raw = [None if i in self.bytes_of or i in self.silent else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
@@ -80,9 +83,13 @@ class PieceModel:
         for segment in self._segments.findall(self.normalized(text)):
             ids = known.get(segment)
             if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[segment] = tuple(i for p in self._viterbi(segment) for i in self._ids(p))
+                ids = tuple(i for p in self._viterbi(segment) for i in self._ids(p))
+                if len(segment) <= SEGMENT_CHARS:
+                    self._held += SEGMENT_BYTES + 2 * len(segment) + 8 * len(ids)
+                    if self._held > REMEMBERED_BYTES:
+                        known.clear()
+                        self._held = 0
+                    known[segment] = ids
             out += ids
         if not self.byte_ids:  # letters without a piece, side by side, are one unknown piece
             out = [i for k, same in groupby(out) for i in ([k] if k == self.unknown else same)]

@@ -75,7 +75,7 @@ def test_round_trip():
 
 
 def test_memory_limit_changes_nothing(monkeypatch):
-    monkeypatch.setattr("henhouse.llm.pieces.REMEMBERED", 3)
+    monkeypatch.setattr("henhouse.llm.pieces.REMEMBERED_BYTES", 900)
     monkeypatch.setattr("henhouse.llm.pieces.REMEMBERED_PAIRS", 3)
     serialized = open(codec.model_path(), "rb").read()
     library, own = _library(serialized), PieceModel(serialized)
