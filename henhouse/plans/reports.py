@@ -186,7 +186,7 @@ def with_share_of_max(df: DataFrame, col: str, name: str = "bar_pct") -> DataFra
 def sales_by_category(t: Tables, period: int, as_of) -> DataFrame:
     """Σ line_total and Σ eggs per size for the active sales of the window."""
     sales = t.sales.filter(P.trailing_window("sale_date", as_of, period) & P.active_only()).select("id")
-    items = t.sale_items.select("sale_id", "category", "quantity", "eggs_per_unit", "line_total")
+    items = t.items_between(lambda c: P.trailing_window(c, as_of, period)).select("sale_id", "category", "quantity", "eggs_per_unit", "line_total")
     j = items.join(sales, items.sale_id == sales.id, "inner")
     return j.groupBy("category").agg(
         F.sum("line_total").cast("double").alias("total"),
@@ -233,7 +233,7 @@ def daily_totals(t: Tables, as_of) -> DataFrame:
         return rows.select(F.col(date_col).alias("d"), *[given.get(m, F.lit(None)).cast(kind).alias(m) for m, kind in measures.items()])
 
     size = lambda s, x: F.when(F.col("category") == s, x)
-    items = t.sale_items.select("sale_id", "category", X.line_eggs("quantity", "eggs_per_unit").alias("n"), F.col("line_total").alias("money"))
+    items = t.items_between(lambda c: F.col(c) >= lo).select("sale_id", "category", X.line_eggs("quantity", "eggs_per_unit").alias("n"), F.col("line_total").alias("money"))
     recent = t.sales.filter((F.col("sale_date") >= lo) & P.active_only()).select("id", "sale_date", "total")
     # a sale and its items: the items are added up per sale before the join, the total counts once
     each = items.groupBy("sale_id").agg(*[F.sum(size(s, F.col("n"))).alias(f"sold_{s}") for s in schemas.CATEGORIES],

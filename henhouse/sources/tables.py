@@ -15,17 +15,26 @@ pushes the filters of the operator down to the parquet scan.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from henhouse import schemas
 from henhouse.sources.adapter import VIEWS
 
+#: The day of an item's sale, by which stored items are laid out.
+ITEM_DATE = "sale_date"
+
 
 class Tables:
-    def __init__(self, spark: SparkSession, loader, raw_reader=None):
+    def __init__(self, spark: SparkSession, loader, raw_reader=None, dated_items=None):
+        """``dated_items`` reads the sale items with the day of their sale (``ITEM_DATE``), if
+        they are stored by it."""
         self.spark = spark
+        self._dated_items = dated_items
         self._loader = loader
         self._raw_reader = raw_reader
         self._cache: dict[str, DataFrame] = {}
@@ -55,7 +64,11 @@ class Tables:
                 *schemas.DOMAIN_SCHEMAS[name].fieldNames()
             )
 
-        return cls(spark, load)
+        def dated_items() -> DataFrame:
+            fields = [*schemas.SALE_ITEMS.fields, T.StructField(ITEM_DATE, T.DateType())]
+            return spark.read.schema(T.StructType(fields)).parquet(os.path.join(root, "sale_items"))
+
+        return cls(spark, load, dated_items=dated_items)
 
     # -- access -------------------------------------------------------------
     def raw(self, name: str) -> DataFrame:
@@ -97,6 +110,15 @@ class Tables:
     def bird_events(self) -> DataFrame:
         return self.table("bird_events")
 
+    def items_between(self, keep: Callable[[str], Column]) -> DataFrame:
+        """The items of the sales whose date passes ``keep`` (a function of a date column's
+        name), as far as storage can tell: where items are stored by the day of their sale,
+        the other folders are not read; elsewhere all items, which the join with the sales
+        filters anyway."""
+        if self._dated_items is None:
+            return self.sale_items
+        return self._dated_items().filter(keep(ITEM_DATE)).select(*self.sale_items.columns)
+
     @cached_property
     def names(self) -> tuple[str, ...]:
         return tuple(VIEWS)
@@ -111,8 +133,6 @@ def write_domain(tables: Tables, root: str, mode: str = "overwrite", partition_b
     folders with no extra predicate; ``"month"`` adds a ``year_month`` folder level
     for fewer, larger partitions (pruning then relies on parquet min/max statistics,
     kept tight by the range partitioning on the date)."""
-    from pyspark.sql import functions as F
-
     date_col = {
         "daily_collections": "collection_date",
         "sales": "sale_date",
@@ -122,6 +142,12 @@ def write_domain(tables: Tables, root: str, mode: str = "overwrite", partition_b
     for name in VIEWS:
         df = tables.table(name)
         path = os.path.join(root, name)
+        if name == "sale_items":
+            # beside the sales: an item lies in the folder of the day its sale has
+            days = tables.sales.select(F.col("id").alias("sale_id"), F.col("sale_date").alias(ITEM_DATE))
+            df = df.join(days, "sale_id").select(*df.columns, ITEM_DATE)
+            df.repartitionByRange(ITEM_DATE, "sale_id").write.mode(mode).partitionBy(ITEM_DATE).parquet(path)
+            continue
         if name not in date_col:
             df.write.mode(mode).parquet(path)
             continue
