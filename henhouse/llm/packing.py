@@ -35,7 +35,7 @@ from henhouse.llm.tokens import byte_bpe_path, encode, ship
 PIECES = "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """The pieces of every document, in any order; ``with_ids`` adds the ids themselves."""
     name = ship(docs.sparkSession, vocabulary)
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int, with_ids: b
             cols: list[list] = [[] for _ in range(7)]
             texts = batch.column("text").to_pylist()
             for doc, tie, ids in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(),
-                                     encode(name, texts)):
+                                     encode(name, texts, remembered)):
                 ids = np.append(ids, ids.dtype.type(end_id))
                 for at in range(0, len(ids), size):
                     part = ids[at:at + size].astype("<u4")
@@ -125,11 +125,11 @@ def placer(found: list[tuple[int, int, int, int, int]], size: int) -> Callable:
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, size: int = 2048,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
-    (and ids). Sequences are numbered from 0 and padded to ``size`` by whoever writes them."""
+    (and ids). ``remembered`` bounds the bytes of parts a worker keeps. Sequences are numbered from 0 and padded to ``size`` by whoever writes them."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, vocabulary or byte_bpe_path(), end_id, size, with_ids), "pieces")
+    cut = written(pieces(docs, vocabulary or byte_bpe_path(), end_id, size, with_ids, remembered), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     lines = ranked(cut.drop("ids"), "length", ["doc_id", "tie", "start"], "piece-ranks")
     placed = lines.select("doc_id", "tie", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(

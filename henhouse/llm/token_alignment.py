@@ -40,8 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from henhouse.llm.common import keyed_texts, written
-from henhouse.llm.tokens import byte_bpe_path, encoder, ship
+from henhouse.llm.tokens import ENTRY_BYTES, PART_CHARS, byte_bpe_path, encoder, ship
 
+SPACE = "▁"
+#: Bytes of remembered words and their ids: a worker holds at most twice as many.
+WORD_BYTES = 60 << 20
 BLOCK_BYTES = 1 << 20
 CHUNK_BYTES = 8 << 20
 
@@ -69,7 +72,7 @@ def level_bytes(token: str, signs: dict[str, int]) -> bytes:
 def piece_bytes(piece: str) -> bytes:
     if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
         return bytes([int(piece[3:5], 16)])
-    return piece.replace("▁", " ").encode()
+    return piece.replace(SPACE, " ").encode()
 
 
 class Side:
@@ -94,16 +97,65 @@ class LevelSide(Side):
 
 
 class PieceSide(Side):
-    def __init__(self, name: str):
-        import sentencepiece
+    """The model's ids. Where none of its pieces has a space after another letter, a single
+    space between two words always starts a piece, so the ids of the words, one after the
+    other, are those of the text; words recur, and their ids are remembered."""
 
-        self._model = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(name))
-        super().__init__([piece_bytes(self._model.id_to_piece(i)) for i in range(self._model.get_piece_size())])
+    def __init__(self, name: str):
+        self._load(SparkFiles.get(name))
+
+    def _load(self, path: str) -> None:
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
+
+        self._model = SentencePieceProcessor(model_file=path)
+        pieces = [self._model.id_to_piece(i) for i in range(self._model.get_piece_size())]
+        with open(path, "rb") as f:
+            norm = sentencepiece_model_pb2.ModelProto.FromString(f.read()).normalizer_spec
+        self._by_words = (norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+                          and not norm.precompiled_charsmap and not any(SPACE in p.lstrip(SPACE) for p in pieces))
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._held = 0
+        super().__init__([piece_bytes(p) for p in pieces])
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """``text`` cut at the single spaces that have something else on both sides."""
+        pieces = text.split(" ")
+        if "" not in pieces:
+            return pieces
+        out = pieces[:1]
+        for before, piece in zip(pieces, pieces[1:]):
+            if before and piece:
+                out.append(piece)
+            else:
+                out[-1] += " " + piece
+        return out
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        made = {w: self._old[w] for w in missing if w in self._old}
+        rest = [w for w in missing if w not in made]
+        made |= zip(rest, (np.array(ids, np.int32).tobytes() for ids in self._model.encode(rest, num_threads=1)))
+        kept = {w: ids for w, ids in made.items() if len(w) <= PART_CHARS}
+        size = sum(len(w) + len(ids) + ENTRY_BYTES for w, ids in kept.items())
+        if self._held + size > WORD_BYTES:
+            self._young, self._old, self._held = {}, self._young, 0
+        if size <= WORD_BYTES:
+            self._young |= kept
+            self._held += size
+        return made
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self._model.encode(texts, num_threads=1)
-        sizes = np.array([len(x) for x in found], np.int64)
-        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+        if not self._by_words or any(SPACE in t for t in texts):
+            found = self._model.encode(texts, num_threads=1)
+            sizes = np.array([len(x) for x in found], np.int64)
+            return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+        cut = [self.words(t) for t in texts]
+        ids = [list(map(self._young.get, words)) for words in cut]
+        missing = {w for words, known in zip(cut, ids) if None in known for w, i in zip(words, known) if i is None}
+        made = self._learn(missing) if missing else {}
+        blobs = [b"".join([made[w] if i is None else i for w, i in zip(words, known)] if None in known else known) for words, known in zip(cut, ids)]
+        return np.frombuffer(b"".join(blobs), np.int32), np.array([len(x) // 4 for x in blobs], np.int64)
 
 
 _LOADED: dict[tuple[type, str], Side] = {}

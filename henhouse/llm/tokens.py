@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 #: Characters encoded at once.
 CALL_CHARS = 1 << 20
 #: Bytes of remembered parts and ids: a worker holds at most twice as many.
-REMEMBERED_BYTES = 40 << 20
+REMEMBERED_BYTES = 80 << 20
 #: Bytes of a remembered part besides its letters and ids, about.
 ENTRY_BYTES = 170
 #: Longer parts are not remembered.
@@ -44,8 +44,9 @@ def _visible(piece: str) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, remembered: int | None = None):
         """``plain``: the strings of special tokens inside texts are ordinary text."""
+        self.remembered = REMEMBERED_BYTES if remembered is None else remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,9 +106,9 @@ class Encoder:
                 low = cut
         kept = {p: i for p, i in made.items() if len(p) <= PART_CHARS}
         size = sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
-        if self._held + size > REMEMBERED_BYTES:
+        if self._held + size > self.remembered:
             self._young, self._old, self._held = {}, self._young, 0
-        if size <= REMEMBERED_BYTES:
+        if size <= self.remembered:
             self._young |= kept
             self._held += size
         return made
@@ -144,19 +145,19 @@ class Encoder:
         return out
 
 
-_LOADED: dict[tuple[str, bool], Encoder] = {}
+_LOADED: dict[tuple[str, bool, int | None], Encoder] = {}
 
 
-def encoder(name: str, plain: bool = False) -> Encoder:
+def encoder(name: str, plain: bool = False, remembered: int | None = None) -> Encoder:
     """The worker's encoder for a file sent by ``ship``."""
-    if (name, plain) not in _LOADED:
-        _LOADED[name, plain] = Encoder(SparkFiles.get(name), plain)
-    return _LOADED[name, plain]
+    if (name, plain, remembered) not in _LOADED:
+        _LOADED[name, plain, remembered] = Encoder(SparkFiles.get(name), plain, remembered)
+    return _LOADED[name, plain, remembered]
 
 
-def encode(name: str, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The ids of each text; a null text is empty."""
-    own, at = encoder(name), 0
+def encode(name: str, texts: list[str | None], remembered: int | None = None) -> Iterator[np.ndarray]:
+    """The ids of each text; a null text is empty. ``remembered`` as in ``REMEMBERED_BYTES``."""
+    own, at = encoder(name, remembered=remembered), 0
     while at < len(texts):
         end, chars = at, 0
         while end < len(texts) and (end == at or chars + len(texts[end] or "") <= CALL_CHARS):

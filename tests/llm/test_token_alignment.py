@@ -114,10 +114,9 @@ def test_empty_table(no_docs):
     assert token_alignment.align_documents(no_docs).collect() == []
 
 
-def test_remembered_parts_are_bounded_by_bytes(monkeypatch):
+def test_remembered_parts_are_bounded_by_bytes():
     """Long texts without spaces, and many parts, stay under the stated bytes."""
-    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 200_000)
-    own = tokens.Encoder(tokens.byte_bpe_path())
+    own = tokens.Encoder(tokens.byte_bpe_path(), remembered=200_000)
     library = Tokenizer.from_file(tokens.byte_bpe_path())
     for k in range(200):
         texts = [chr(0x4E00 + (k * 10 + i) % 5000) * 300 for i in range(10)] + [f"part{k}x{i} " * 3 for i in range(40)]
@@ -126,4 +125,20 @@ def test_remembered_parts_are_bounded_by_bytes(monkeypatch):
                 assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
         held = [d for d in (own._young, own._old)]
         assert max(len(p) for d in held for p in d) <= tokens.PART_CHARS
-        assert sum(len(p) + len(i) + tokens.ENTRY_BYTES for d in held for p, i in d.items()) <= 2 * tokens.REMEMBERED_BYTES
+        assert sum(len(p) + len(i) + tokens.ENTRY_BYTES for d in held for p, i in d.items()) <= 400_000
+
+
+def test_words_give_the_model_s_ids(libraries, monkeypatch):
+    own = token_alignment.PieceSide.__new__(token_alignment.PieceSide)
+    own._load(public_tokenizers.path("piece_bpe_32k.model"))
+    assert own._by_words
+    texts = ["a  b", " lead", "trail ", "  ", "one", "a b c", "a \n b", "\t x  y   z", "\u65e5\u672c \u8a9e", "\U0001f600 \u00bd", "<s> </s> <0x41>", "x\u00a0y z", "'s 12 3"]
+    texts += [" ".join(f"w{i % 50}{'' if i % 7 else ' '}" for i in range(k, k + 40)) for k in range(60)]
+    for held in (token_alignment.WORD_BYTES, 3000):
+        monkeypatch.setattr(token_alignment, "WORD_BYTES", held)
+        for size in (1, 9):
+            for i in range(0, len(texts), size):
+                ids, sizes = own.encode(texts[i:i + size])
+                want = libraries[1].encode(texts[i:i + size])
+                assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert own.encode(["\u2581 a"])[0].tolist() == libraries[1].encode("\u2581 a")
