@@ -49,7 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 ids."""
     prepare(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=40 << 20)  # earlier stages hold memory of the executor too
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_copies", exact_copies), ("near_copies", near_copies),
