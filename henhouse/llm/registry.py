@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from henhouse.llm import exact_dedup, html_extract, lsh_forest, merkle, ngram_join, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, token_alignment, token_files
+from henhouse.llm import exact_dedup, html_extract, lsh_forest, merkle, ngram_join, oracles, packing, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup, token_alignment, token_files
 from henhouse.llm.common import table
 from henhouse.session import ship_package
 
@@ -91,4 +91,5 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op2_super_kmer_dedup": oracles.repeats(), "op3_ngram_join": oracles.near_copies(5), "op10_exact_dedup": OP10_SQL,
+            "op12_lsh_forest": oracles.near_copies(2, ", doc_id = min(other) AS kept"), "op13_merkle_manifest": oracles.manifest()}
