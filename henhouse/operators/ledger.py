@@ -148,6 +148,8 @@ def _closed_scan(events: DataFrame, key: str, order: list[str], chunk: str, dims
 _MODES = pa.array([ADD, REJECT, CLAMP, SET, RESTORE, REPLACE, NOOP, FAIL])
 #: Events tried in the first leap after a refusal, and in the longest one.
 LEAP, LONGEST_LEAP = 32, 1 << 15
+#: Where refusals follow each other within so many events, so many are settled one by one.
+DENSE, STRETCH = 8, 64
 
 
 class _Log:
@@ -227,7 +229,8 @@ def _leap(log: _Log) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     tried together: their deltas are summed up as if all were applied, which is right up
     to the first guarded one that goes below zero. That one is settled alone, and the next
     leap starts behind it, so steps are taken per refusal and not per event. A leap also
-    ends before a set and before an event that waits for an outcome inside the leap."""
+    ends before a set and before an event that waits for an outcome inside the leap. Where
+    refusals are dense, a stretch of events is settled one by one (``_stretch``)."""
     n, dims = log.deltas.shape
     applied, halted = np.zeros(n, bool), np.zeros(n, bool)
     before, after = np.empty((n, dims), np.int64), np.empty((n, dims), np.int64)
@@ -287,9 +290,42 @@ def _leap(log: _Log) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
                 halts.stop(t)
             after[t] = state
             i, size = t + 1, LEAP
+            if k < DENSE and i < high:
+                j = min(i + STRETCH, high)
+                state = _stretch(log, i, j, state.tolist(), applied, halted, before, after, halts)
+                i = j
     return applied, halted, before, after
 
 
+def _stretch(log: _Log, low: int, high: int, state: list[int], applied: np.ndarray, halted: np.ndarray, before: np.ndarray,
+             after: np.ndarray, halts: _Halts | None) -> np.ndarray:
+    """The events from ``low`` to ``high``, one by one in plain integers; the state after them."""
+    befores, afters = [], []
+    columns = [c[low:high].tolist() for c in (log.may, log.gate, log.choice, log.other, log.sets, log.moves, log.guarded, log.clamps, log.deltas)]
+    for t, may, gate, choice, other, sets, moves, guarded, clamps, delta in zip(range(low, high), *columns):
+        befores.append(state)
+        if not halted[t]:
+            ok = may and (gate < 0 or bool(applied[gate]))
+            if ok and sets:
+                state = [v if g else x for x, v, g in zip(state, log.values[t].tolist(), log.given[t].tolist())]
+            elif ok and moves:
+                if log.other_deltas is not None and (other or choice >= 0 and applied[choice]):
+                    delta = log.other_deltas[t].tolist()
+                moved = [x + d for x, d in zip(state, delta)]
+                if not guarded or min(moved) >= 0:
+                    state = moved
+                elif clamps:
+                    state = [max(x, 0) for x in moved]
+                else:
+                    ok = False
+            applied[t] = ok
+            if halts and not ok:
+                halts.stop(t)
+        afters.append(state)
+    before[low:high], after[low:high] = befores, afters
+    return np.array(state, np.int64)
+
+
 class _Halts:
     """Marks the later events of a scope value of one group when it stops."""
 
