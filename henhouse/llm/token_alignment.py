@@ -43,9 +43,10 @@ from henhouse.llm.common import keyed_texts, written
 from henhouse.llm.tokens import ENTRY_BYTES, PART_CHARS, byte_bpe_path, encoder, ship
 
 SPACE = "▁"
-#: Bytes of remembered words and their ids: a worker holds at most twice as many.
-WORD_BYTES = 60 << 20
-BLOCK_BYTES = 1 << 20
+#: Bytes of remembered words (B) and parts (A) and their ids: a worker holds at most twice
+#: as many.
+WORD_BYTES, PART_BYTES = 48 << 20, 64 << 20
+BLOCK_BYTES = 1 << 19
 CHUNK_BYTES = 8 << 20
 
 
@@ -87,7 +88,7 @@ class Side:
 
 class LevelSide(Side):
     def __init__(self, name: str):
-        self._encoder, signs = encoder(name, plain=True), byte_signs()
+        self._encoder, signs = encoder(name, plain=True, remembered=PART_BYTES), byte_signs()
         super().__init__([level_bytes(t, signs) for t in self._encoder.vocabulary()])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
