@@ -313,3 +313,27 @@ def test_stock_never_negative_and_conserves(tables_small):
     # farms with only refused sales have no applied flow and end at zero
     j = inv.join(flows, "farm_id", "left").filter(F.col("q") != F.coalesce("q2", F.lit(0)))
     assert j.count() == 0
+
+
+@pytest.mark.parametrize("scope", [None, "who"])
+def test_keys_are_folded_side_by_side(monkeypatch, scope):
+    """Forty keys whose events are mostly refused take a step per place in a key, and not one
+    per refusal and key; the outcome is that of the leaps."""
+    rng, keys, each = np.random.default_rng(5), 40, 60
+    n = keys * each
+    table = pa.table({
+        "key": pa.array(np.repeat(np.arange(keys), each)), "op_id": pa.array([str(i % each) for i in range(n)]),
+        "mode": pa.array(rng.choice(["add", "reject", "clamp", "fail"], n, p=[0.2, 0.5, 0.2, 0.1])),
+        "d_x": pa.array(rng.integers(-6, 5, n)), "s_x": pa.array(np.repeat(np.arange(keys) % 3, each)),
+        "who": pa.array([None if i % 17 == 0 else f"u{i % 7}" for i in range(n)]),
+        "stopped": pa.array([["u3", "elsewhere"] if i // each % 2 else None for i in range(n)], pa.list_(pa.string()))})
+    log = L._Log(table, ["key"], ["x"], "mode", scope, "op_id", None, None)
+    expected = L._leap(log)
+
+    def refuse(*_):
+        raise AssertionError("events were settled one by one")
+
+    monkeypatch.setattr(L, "_stretch", refuse)
+    monkeypatch.setattr(L, "_Halts", refuse)
+    for got, want in zip(L._settle(log), expected):
+        assert (got == want).all()
