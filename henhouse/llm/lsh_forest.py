@@ -12,8 +12,8 @@ when 100 * |intersection| >= ``PERCENT`` * |union|. Candidates come from a fores
 3. *Adaptive depth.* A region is a run of the order that shares a prefix of ``DEPTHS[0]``
    values. A region of more than ``REGION`` classes is split by its next, longer prefixes,
    thin ones stay shallow. What is still larger at full depth shares all ``DEPTH`` values: it
-   is dealt into parts, each of which gets the region's first class too. Regions with the
-   same members in several trees are one.
+   is dealt into parts, each of which gets the region's first class too, and is settled in
+   step 6. Regions with the same members in several trees are one.
 4. *Candidates.* Inside a region the signatures of all trees estimate similarities; pairs
    less than ``SIGMAS`` standard errors below the threshold are taken most similar first, as
    a spanning forest, so a family of n near copies is n - 1 pairs.
@@ -24,12 +24,15 @@ when 100 * |intersection| >= ``PERCENT`` * |union|. Candidates come from a fores
    the components known by then: what counts against ``REGION`` is now only the classes
    outside a region's main component, so the regions of a family of near copies end at
    less depth, where few pairs are missed; the main component is dealt into parts that are
-   each compared with all that is outside it. This ends when nothing more links.
+   each compared with all that is outside it. A region with too many classes outside it at
+   full depth is dealt into half parts, and each two of these are compared: no pair of it
+   is left out. This ends when nothing more links.
 
 A pair at the threshold is missed by all trees with a probability under 1e-5 where regions
 end at depth 4, 0.02 at depth 8; pairs of higher similarity far less, and a missed pair costs
 a link only if no chain of other pairs connects the two. The work of a pass is linear in the
-number of documents: a class is compared with ``2 * REGION`` others in each tree at most.
+number of documents: a class is compared with ``2 * REGION`` others in each tree at most,
+except in the regions of step 6 that are compared two half parts at a time.
 
 Defined results: a null or blank text has no shingles and is alone; a document of fewer than
 ``WORDS`` words is one shingle; rows equal in doc_id and text get equal results; a missing
@@ -157,14 +160,20 @@ def regions(rest: DataFrame, size: int = REGION, again: bool = False) -> tuple[D
     dealt = F.when(F.col("whole"), F.col("main.n")).otherwise(F.col("n"))
     single = written(every.groupBy("n", "members_1", "members_2").agg(F.min(F.struct("region", "first", "whole", "main")).alias("one"))
                      .select("n", "one.*").select("region", "first", "whole", F.col("main.label").alias("main"),
-                                                  F.ceil(dealt / size).cast("long").alias("parts")), "forest-single")
+                                                  F.ceil(dealt / size).cast("long").alias("parts"),
+                                                  F.when(F.lit(again) & ~F.col("whole"), F.ceil(F.col("n") / max(1, size // 2))).cast("long").alias("halves")),
+                     "forest-single")
     members = None
     for rows, done in kept:
         found = (rows.join(done.select("tree", "prefix", "region"), ["tree", "prefix"]).join(single, "region")
                  .withColumn("everywhere", (F.col("parts") > 1) & F.when(F.col("whole"), F.col("label") != F.col("main")).otherwise(F.col("cid") == F.col("first"))))
         members = found if members is None else members.union(found)
     own = F.pmod(F.xxhash64("cid"), "parts")
-    parts = F.when(F.col("everywhere"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))
+    half, each = F.pmod(F.xxhash64("cid"), "halves"), F.sequence(F.lit(0).cast("long"), F.col("halves") - 1)
+    # a part for each two halves: every pair of classes meets in one of them
+    twos = F.transform(each, lambda other: F.least(half, other) * F.col("halves") + F.greatest(half, other))
+    parts = (F.when(F.col("halves").isNotNull(), twos)
+             .when(F.col("everywhere"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own)))
     return written(members.select("region", F.explode(parts).alias("part"), "cid"), "forest-members"), wide
 
 
@@ -306,7 +315,7 @@ def linked_classes(classes: DataFrame, trees: DataFrame, texts: DataFrame, perce
             members = members.join(again_in, ["region", "part"], "left_semi")
             refused = failed if refused is None else refused.join(again_in, ["region", "part"], "left_semi").union(failed)
             forests = None if forests >= 64 else 8 * forests
-        if not wide or tested.filter("linked").count() == known:
+        if not wide or again and tested.filter("linked").count() == known:
             return roots
         again = True
 

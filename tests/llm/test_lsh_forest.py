@@ -83,3 +83,14 @@ def test_candidates_are_spanning_forests():
     assert lsh_forest.candidates(sigs, size, [0, 1, 2, 3, 4], 80, set(), 1) == [(0, 1), (0, 2), (3, 4)]
     assert lsh_forest.candidates(sigs, size, [0, 1, 2, 3, 4], 80, {(0, 1)}, 1) == [(0, 2), (1, 2), (3, 4)]
     assert lsh_forest.candidates(sigs, size, [0, 0, 2, 3, 3], 80, set(), None) == [(0, 2), (1, 2)]
+
+
+def test_every_pair_of_a_region_too_large_at_full_depth_is_compared(spark):
+    """Forty unrelated classes share all values of a tree; parts of them leave no pair out."""
+    rest = spark.createDataFrame([(i, i, 0, b"ab" * lsh_forest.DEPTH) for i in range(40)], "cid long, label long, tree int, values binary")
+    members, wide = lsh_forest.regions(rest, size=8, again=True)
+    together = {}
+    for region, part, cid in members.collect():
+        together.setdefault((region, part), set()).add(cid)
+    met = {(a, b) for classes in together.values() for a in classes for b in classes if a < b}
+    assert wide and len(met) == 40 * 39 // 2
