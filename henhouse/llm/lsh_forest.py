@@ -11,28 +11,30 @@ when 100 * |intersection| >= ``PERCENT`` * |union|. Candidates come from a fores
    longest common prefix are a class's neighbours.
 3. *Adaptive depth.* A region is a run of the order that shares a prefix of ``DEPTHS[0]``
    values. A region of more than ``REGION`` classes is split by its next, longer prefixes,
-   thin ones stay shallow. What is still larger at full depth shares all ``DEPTH`` values: it
-   is dealt into parts, each of which gets the region's first class too, and is settled in
-   step 6. Regions with the same members in several trees are one.
+   thin ones stay shallow. What is still larger at full depth shares all ``DEPTH`` values
+   and is one family (step 6) without a comparison. Regions with the same members in
+   several trees are one.
 4. *Candidates.* Inside a region the signatures of all trees estimate similarities; pairs
    less than ``SIGMAS`` standard errors below the threshold are taken most similar first, as
    a spanning forest, so a family of n near copies is n - 1 pairs.
-5. *Confirmation.* Every pair is checked on the full sets. Regions with a pair that failed
-   are searched again among the components known by then, with 8 times as many forests each
-   time, until every candidate pair is confirmed, refused or inside one component.
-6. *Again.* Where regions were too large at the least depth, the forest is read again with
-   the components known by then: what counts against ``REGION`` is now only the classes
-   outside a region's main component, so the regions of a family of near copies end at
-   less depth, where few pairs are missed; the main component is dealt into parts that are
-   each compared with all that is outside it. A region with too many classes outside it at
-   full depth is dealt into half parts, and each two of these are compared: no pair of it
-   is left out. This ends when nothing more links.
+5. *Again.* Where regions were too large at the least depth, the forest is read again with
+   the families (components of the candidate pairs) known by then: what counts against
+   ``REGION`` is now only the classes outside a region's main family, so the regions of a
+   family of near copies end at less depth, where few pairs are missed; the main family is
+   dealt into parts that are each compared with all that is outside it. This ends when no
+   pair joins two families.
+6. *Confirmation.* A candidate pair never leaves a family. In a family all pairs that the
+   estimates allow are checked on the full sets where the task has them, most similar
+   first; pairs already connected are passed over, and refused pairs are not written.
+   Families of more than ``BLOCK`` classes are searched block by block, as in ``ngram_join``.
 
 A pair at the threshold is missed by all trees with a probability under 1e-5 where regions
 end at depth 4, 0.02 at depth 8; pairs of higher similarity far less, and a missed pair costs
 a link only if no chain of other pairs connects the two. The work of a pass is linear in the
-number of documents: a class is compared with ``2 * REGION`` others in each tree at most,
-except in the regions of step 6 that are compared two half parts at a time.
+number of documents: a class is compared with ``2 * REGION`` others in each tree at most, and
+every table of a pass is linear in that of the trees. The confirmation
+of a family of more than a block takes time in the product of its size and the number of
+classes outside its largest component.
 
 Defined results: a null or blank text has no shingles and is alone; a document of fewer than
 ``WORDS`` words is one shingle; rows equal in doc_id and text get equal results; a missing
@@ -54,7 +56,7 @@ from pyspark.sql import functions as F
 
 from henhouse.llm.common import NULL_ID, extent, keyed_texts, written
 from henhouse.llm.components import Forest, components
-from henhouse.llm.ngram_join import shingle_sets
+from henhouse.llm.ngram_join import BLOCK, family_roots, shingle_sets
 from henhouse.llm.words import blocks, mix
 
 WORDS, PERCENT = 2, 80
@@ -64,6 +66,8 @@ DEPTHS = (4, 6, 8, DEPTH)
 #: Classes compared with each other in one region.
 REGION = 256
 SIGMAS = 4
+#: The part of a region that is one family.
+ALL = -1
 #: Texts handled at once.
 BLOCK_BYTES = 1 << 20
 
@@ -127,23 +131,24 @@ def in_trees(signed: DataFrame) -> DataFrame:
 def regions(rest: DataFrame, size: int = REGION, again: bool = False) -> tuple[DataFrame, bool]:
     """region, part, cid: the classes that are compared with each other, region by region,
     and whether any region at the least depth was too large. ``rest``: cid, label (the
-    component known so far), tree, values. ``again``: only regions of more than ``size``."""
+    family known so far), tree, values. ``again``: only regions of more than ``size``. Part
+    ``ALL`` is a region too large at full depth, which is one family without a comparison."""
     kept, wide = [], False
     for depth in DEPTHS:
         keyed = rest.withColumn("prefix", F.substring("values", 1, 2 * depth))
         members = [F.bit_xor(F.xxhash64(F.lit(s), "cid")).alias(f"members_{s}") for s in (1, 2)]
         if again:
-            by_label = keyed.groupBy("tree", "prefix", "label").agg(F.count("*").alias("n"), F.min("cid").alias("first"), *members)
+            by_label = keyed.groupBy("tree", "prefix", "label").agg(F.count("*").alias("n"), *members)
             counts = by_label.groupBy("tree", "prefix").agg(
-                F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.min("first").alias("first"),
+                F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"),
                 *[F.bit_xor(f"members_{s}").alias(f"members_{s}") for s in (1, 2)]).filter(F.col("n") > size)
-        else:  # every class is a component of its own
+        else:  # every class is a family of its own
             counts = (keyed.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("cid").alias("first"), *members).filter("n > 1")
                       .select("tree", "prefix", "n", F.struct(F.lit(1).cast("long").alias("n"), F.col("first").alias("label")).alias("main"),
-                              "first", "members_1", "members_2"))
+                              "members_1", "members_2"))
         counts = written(counts, "forest-regions")
         others = F.col("n") - F.col("main.n")
-        # the main component is dealt into parts, each compared with all that is outside it
+        # the main family is dealt into parts, each compared with all that is outside it
         done = counts.filter((others > 0) & (others < size)).withColumn("whole", F.lit(True))
         left = counts.filter(others >= size)
         if depth == DEPTH:
@@ -157,26 +162,27 @@ def regions(rest: DataFrame, size: int = REGION, again: bool = False) -> tuple[D
     for _, done in kept[1:]:
         every = every.union(done)
     # the same members in several trees, or at several depths: one region
-    dealt = F.when(F.col("whole"), F.col("main.n")).otherwise(F.col("n"))
-    single = written(every.groupBy("n", "members_1", "members_2").agg(F.min(F.struct("region", "first", "whole", "main")).alias("one"))
-                     .select("n", "one.*").select("region", "first", "whole", F.col("main.label").alias("main"),
-                                                  F.ceil(dealt / size).cast("long").alias("parts"),
-                                                  F.when(F.lit(again) & ~F.col("whole"), F.ceil(F.col("n") / max(1, size // 2))).cast("long").alias("halves")),
+    single = written(every.groupBy("n", "members_1", "members_2").agg(F.min(F.struct("region", "whole", "main")).alias("one"))
+                     .select("one.*").select("region", "whole", F.col("main.label").alias("main"),
+                                             F.ceil(F.col("main.n") / size).cast("long").alias("parts")),
                      "forest-single")
     members = None
     for rows, done in kept:
         found = (rows.join(done.select("tree", "prefix", "region"), ["tree", "prefix"]).join(single, "region")
-                 .withColumn("everywhere", (F.col("parts") > 1) & F.when(F.col("whole"), F.col("label") != F.col("main")).otherwise(F.col("cid") == F.col("first"))))
+                 .withColumn("everywhere", (F.col("parts") > 1) & (F.col("label") != F.col("main"))))
         members = found if members is None else members.union(found)
     own = F.pmod(F.xxhash64("cid"), "parts")
-    half, each = F.pmod(F.xxhash64("cid"), "halves"), F.sequence(F.lit(0).cast("long"), F.col("halves") - 1)
-    # a part for each two halves: every pair of classes meets in one of them
-    twos = F.transform(each, lambda other: F.least(half, other) * F.col("halves") + F.greatest(half, other))
-    parts = (F.when(F.col("halves").isNotNull(), twos)
+    parts = (F.when(~F.col("whole"), F.array(F.lit(ALL)))
              .when(F.col("everywhere"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own)))
     return written(members.select("region", F.explode(parts).alias("part"), "cid"), "forest-members"), wide
 
 
+def together(members: DataFrame) -> DataFrame:
+    """a, b: the classes of each region ``ALL``, tied to its first."""
+    whole = members.filter(F.col("part") == ALL)
+    return whole.join(whole.groupBy("region").agg(F.min("cid").alias("b")), "region").filter("cid <> b").select(F.col("cid").alias("a"), "b")
+
+
 def cutoff(percent: int) -> float:
     """The least estimate of a candidate pair."""
     s = percent / 100
@@ -214,40 +220,31 @@ def candidates(sigs: np.ndarray, sizes: np.ndarray, labels: list[int], percent:
     return out
 
 
-def _search(members: DataFrame, refused: DataFrame | None, percent: int, forests: int | None) -> DataFrame:
-    """region, part, a, b: the pairs to confirm. ``members``: region, part, cid, label,
-    n_shingles, sig (one byte a value); ``refused``: region, part, a, b."""
+def _search(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: candidate pairs that connect all that the estimates connect in each part of a
+    region. ``members``: region, part, cid, label, n_shingles, sig (one byte a value)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, no = None, [], set()
+        at, group = None, []
 
         def settle() -> pa.RecordBatch:
             often = Counter(r["label"] for r in group)
             group.sort(key=lambda r: (often[r["label"]], r["label"], r["cid"]))
-            place = {r["cid"]: k for k, r in enumerate(group)}
-            against = {tuple(sorted((place[a], place[b]))) for a, b in no}
             pairs = candidates(np.frombuffer(b"".join(r["sig"] for r in group), np.uint8).reshape(len(group), -1),
-                               np.array([r["n_shingles"] for r in group]), [r["label"] for r in group], percent, against, forests) if len(group) > 1 else []
+                               np.array([r["n_shingles"] for r in group]), [r["label"] for r in group], percent, set(), 1) if len(often) > 1 else []
             ends = [sorted((group[i]["cid"], group[j]["cid"])) for i, j in pairs]
-            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(at[k] if at else 0, pa.int64()), len(ends)) for k in (0, 1)]
-                                              + [pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["region", "part", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             for r in batch.to_pylist():
                 if (r["region"], r["part"]) != at:
                     yield settle()
-                    at, group, no = (r["region"], r["part"]), [], set()
-                if r["other"] is None:
-                    group.append(r)
-                else:
-                    no.add((r["cid"], r["other"]))
+                    at, group = (r["region"], r["part"]), []
+                group.append(r)
         yield settle()
 
-    rows = members.select("region", "part", "cid", F.lit(None).cast("long").alias("other"), "label", "n_shingles", "sig")
-    if refused is not None:
-        rows = rows.union(refused.select("region", "part", "a", "b", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("binary")))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(n, "region", "part").sortWithinPartitions("region", "part", "cid", "other")
-            .mapInArrow(task, "region long, part long, a long, b long"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (members.select("region", "part", "cid", "label", "n_shingles", "sig").repartition(n, "region", "part")
+            .sortWithinPartitions("region", "part", "cid").mapInArrow(task, "a long, b long"))
 
 
 # Confirmation
@@ -264,21 +261,32 @@ def _full_sets(texts: DataFrame) -> DataFrame:
     return texts.select("cid", "text").mapInArrow(full, "cid long, shingles binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked of each pair, by the full sets."""
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                own, other = (np.frombuffer(s.as_buffer(), "<u8") for s in (x, y))
-                at = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                both = int((other[at] == own).sum())
-                linked.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    return (pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
-            .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b")
-            .mapInArrow(check, "a long, b long, linked boolean"))
+def link(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two full sets link."""
+    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+    both = int((other[at] == own).sum())
+    return 100 * both >= percent * (len(own) + len(other) - both)
+
+
+def confirmed(group: list[dict], percent: int, labels: list[int], queries: int | None) -> list[tuple[int, int]]:
+    """Pairs of ``labels`` that connect all candidate pairs of ``group`` that link on their
+    full sets (see ``ngram_join.Pairs``). Pairs already connected are not compared."""
+    sigs = np.frombuffer(b"".join(r["sig"] for r in group), np.uint8).reshape(len(group), -1)
+    sets = [np.frombuffer(r["shingles"], "<u8") for r in group]
+    sizes, least = np.array([len(s) for s in sets]), cutoff(percent) * sigs.shape[1]
+    _, root = np.unique(labels, return_inverse=True)  # the component of each row, kept up to date
+    out = []
+    for i in range(len(group) if queries is None else queries):
+        begin = i + 1 if queries is None else queries
+        apart = begin + np.flatnonzero(root[begin:] != root[i])
+        apart = apart[100 * np.minimum(sizes[apart], sizes[i]) >= percent * np.maximum(sizes[apart], sizes[i])]
+        same = np.count_nonzero(sigs[apart] == sigs[i], axis=1)
+        order = np.argsort(-same, kind="stable")
+        for j in apart[order[same[order] >= least]].tolist():
+            if root[i] != root[j] and link(sets[i], sets[j], percent):
+                out.append((labels[i], labels[j]))
+                root[root == root[j]] = root[i]
+    return out
 
 
 def _one_byte(sig: Column) -> Column:
@@ -286,41 +294,50 @@ def _one_byte(sig: Column) -> Column:
     return F.unhex(F.regexp_replace(F.hex(sig), "(..)..", "$1"))
 
 
-def linked_classes(classes: DataFrame, trees: DataFrame, texts: DataFrame, percent: int = PERCENT, region: int = REGION) -> DataFrame:
-    """(cid, root) of every class that links with another. ``classes``: cid, n_shingles, sig;
-    ``trees``: cid, tree, values; ``texts``: cid, text."""
-    roots, tested = classes.sparkSession.createDataFrame([], "cid long, root long"), None
-    brief = written(classes.select("cid", "n_shingles", _one_byte(F.col("sig")).alias("sig")), "forest-brief")
-    sets = written(_full_sets(texts), "forest-sets")
-    again = False
+def _in_wide(trees: DataFrame, size: int) -> DataFrame:
+    """The rows of ``trees`` in regions that are too large at the least depth."""
+    keyed = trees.withColumn("prefix", F.substring("values", 1, 2 * DEPTHS[0]))
+    wide = keyed.groupBy("tree", "prefix").agg(F.count("*").alias("n")).filter(F.col("n") > size)
+    return written(keyed.join(wide.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select(*trees.columns), "forest-wide")
+
+
+def families(brief: DataFrame, trees: DataFrame, percent: int = PERCENT, region: int = REGION) -> DataFrame | None:
+    """cid, family: the components of the candidate pairs of all regions; None if there are
+    none. ``brief``: cid, n_shingles, sig (one byte a value); ``trees``: cid, tree, values."""
+    known, links, roots, again = brief.withColumn("label", F.col("cid")), None, None, False
+    rest = trees.withColumn("label", F.col("cid"))
     while True:
-        members, wide = regions(trees.join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"), region, again)
-        known = 0 if tested is None else tested.filter("linked").count()
-        refused, forests = None, 1
-        while True:
-            rows = (members.join(brief, "cid").join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")))
-            found = written(_search(rows, refused, percent, forests), "forest-found")
-            pairs = found.select("a", "b").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            fresh = written(_confirm(pairs, sets, percent), "forest-tested")
-            tested = fresh if tested is None else tested.union(fresh)
-            if not fresh.filter("linked").isEmpty():
-                links = tested.filter("linked").select("a", "b")
-                roots = written(components(links).select(F.col("node").alias("cid"), "root"), "forest-roots")
-            failed = written(found.join(tested.filter("not linked").select("a", "b"), ["a", "b"]).select("region", "part", "a", "b"), "forest-failed")
-            if forests is None or failed.isEmpty():
-                break
-            again_in = failed.select("region", "part").distinct()
-            members = members.join(again_in, ["region", "part"], "left_semi")
-            refused = failed if refused is None else refused.join(again_in, ["region", "part"], "left_semi").union(failed)
-            forests = None if forests >= 64 else 8 * forests
-        if not wide or again and tested.filter("linked").count() == known:
-            return roots
-        again = True
-
-
-def near_components(docs: DataFrame, percent: int = PERCENT, region: int = REGION) -> DataFrame:
+        members, wide = regions(rest, region, again)
+        labels = known.select("cid", "label")
+        tied = (together(members).join(labels.select(F.col("cid").alias("a"), F.col("label").alias("label_a")), "a")
+                .join(labels.select(F.col("cid").alias("b"), F.col("label").alias("label_b")), "b")
+                .filter("label_a <> label_b").select("a", "b"))
+        fresh = written(_search(members.filter(F.col("part") != ALL).join(known, "cid"), percent).union(tied), "forest-found")
+        some = not fresh.isEmpty()
+        if some:
+            links = fresh if links is None else links.union(fresh)
+            roots = written(components(links).select(F.col("node").alias("cid"), "root"), "forest-families")
+        if not wide or again and not some:
+            return None if links is None else roots.withColumnRenamed("root", "family")
+        if not again:
+            trees, again = _in_wide(trees, region), True
+        known = written(brief.join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root"), "forest-known") if some else known
+        rest = written(trees.join(known.select("cid", "label"), "cid"), "forest-labels")
+
+
+def linked_classes(classes: DataFrame, trees: DataFrame, texts: DataFrame, percent: int = PERCENT, region: int = REGION,
+                   block: int = BLOCK) -> DataFrame:
+    """(cid, root) of every class in a family. ``classes``: cid, n_shingles, sig; ``trees``:
+    cid, tree, values; ``texts``: cid, text."""
+    brief = written(classes.select("cid", "n_shingles", _one_byte(F.col("sig")).alias("sig")), "forest-brief")
+    found = families(brief, trees, percent, region)
+    if found is None:
+        return classes.sparkSession.createDataFrame([], "cid long, root long")
+    sets = _full_sets(texts.join(found.select("cid"), "cid", "left_semi"))
+    return family_roots(sets.join(brief.select("cid", "sig"), "cid"), found, percent, block, confirmed)
+
+
+def near_components(docs: DataFrame, percent: int = PERCENT, region: int = REGION, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     unique, _ = extent(docs)
     texts = keyed_texts(docs, unique).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
@@ -332,7 +349,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT, region: int = REGIO
     classes = written(shared.groupBy("cid").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min(F.struct(*key)).alias("one"))
                       .select("cid", "n_shingles", "sig", "one.*"), "forest-classes")
     own_texts = single.join(classes.select("cid", *key), key).select("cid", "text")
-    roots = linked_classes(classes, trees, own_texts, percent, region)
+    roots = linked_classes(classes, trees, own_texts, percent, region, block)
     result = (signed.select(*key, "n_shingles", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     least = result.filter("root is not null").groupBy("root").agg(F.min(named).alias("component_id"))
     result = (result.join(least, "root", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, named).otherwise(F.col("component_id")))

@@ -35,7 +35,7 @@ from __future__ import annotations
 import heapq
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -56,6 +56,9 @@ PROBE = 0.0085
 #: Low bits of a shingle's hash that the counting leaves out.
 SHORT = np.uint64(16)
 _CODEC = pa.Codec("zstd", compression_level=1)
+#: Pairs of labels that connect all that is connected among the rows of a group: rows, percent,
+#: labels, and how many rows at the front are searched among the others only (None: all among all).
+Pairs = Callable[[list[dict], int, list[int], int | None], list[tuple[int, int]]]
 
 
 # Sets of shingles
@@ -253,7 +256,12 @@ def linked(sets: list[np.ndarray], percent: int, labels: list[int], queries: int
     return out
 
 
-def _search_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+def by_index(group: list[dict], percent: int, labels: list[int], queries: int | None) -> list[tuple[int, int]]:
+    """``linked`` of the sets of ``group``."""
+    return linked([np.frombuffer(r["shingles"], "<u8") for r in group], percent, labels, queries)
+
+
+def _search_groups(rows: DataFrame, keys: list[str], percent: int, pairs: Pairs) -> DataFrame:
     """Searches inside each group of ``rows`` (keys, cid, label, shingles). Gives (label,
     root) of all rows: the least label that its own is connected with in its group. Where
     rows have ``asks``, those that do are searched among the others, and only labels that
@@ -268,8 +276,7 @@ def _search_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
         labels = [r["label"] for r in group]
         forest = Forest()
         if len(group) > 1:
-            for pair in linked([np.frombuffer(r["shingles"], "<u8") for r in group], percent, labels,
-                               sum(r["asks"] for r in group) if two_sided else None):
+            for pair in pairs(group, percent, labels, sum(r["asks"] for r in group) if two_sided else None):
                 forest.join(*pair)
         return [(x, forest.root(x)) for x in dict.fromkeys(forest.up if two_sided else labels)]
 
@@ -301,15 +308,15 @@ def _families(classes: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("cid"), F.col("root").alias("family"))
 
 
-def _roots(classes: DataFrame, percent: int, block: int) -> DataFrame:
-    """(cid, root) of the classes in families: the component each is in."""
-    families = _families(classes)
+def family_roots(classes: DataFrame, families: DataFrame, percent: int, block: int, pairs: Pairs = by_index) -> DataFrame:
+    """(cid, root) of the classes in ``families`` (cid, family): the component each is in.
+    ``classes``: cid, shingles and what else ``pairs`` reads."""
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     members = written(
-        classes.select("cid", "shingles").join(families, "cid").join(sizes, "family")
+        classes.join(families, "cid").join(sizes, "family")
         .withColumn("blocks", F.ceil(F.col("members") / block).cast("long"))
         .withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("label", F.col("cid")), "members")
-    inside = written(_search_groups(members, ["family", "block"], percent).withColumnRenamed("label", "cid"), "inside")
+    inside = written(_search_groups(members, ["family", "block"], percent, pairs).withColumnRenamed("label", "cid"), "inside")
     large = members.filter("blocks > 1").drop("label")
     if large.isEmpty():
         return inside
@@ -318,7 +325,7 @@ def _roots(classes: DataFrame, percent: int, block: int) -> DataFrame:
     centres = labelled.filter("cid = label")
     pieces = centres.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
     across = _search_groups(centres.join(pieces, "family").withColumn("piece", F.pmod(F.xxhash64("cid"), "pieces")),
-                            ["family", "piece"], percent)
+                            ["family", "piece"], percent, pairs)
     labelled = written(labelled.join(across, "label").drop("label").withColumnRenamed("root", "label"), "labelled")
     # every set outside the largest component, in all blocks
     main = (labelled.groupBy("family", "label").agg(F.count("*").alias("n"))
@@ -326,11 +333,11 @@ def _roots(classes: DataFrame, percent: int, block: int) -> DataFrame:
     outside = labelled.join(main, "family").filter("label <> main").drop("main")
     rounds = outside.groupBy("family").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cols = ["family", "block", "piece", "asks", "cid", "label", "shingles"]
+    cols = ["family", "block", "piece", "asks", "label", *classes.columns]
     asking = (outside.join(rounds, "family").withColumn("piece", F.pmod(F.xxhash64("cid"), "pieces"))
               .withColumn("block", each("blocks")).withColumn("asks", F.lit(True)))
     asked = labelled.join(rounds, "family").withColumn("piece", each("pieces")).withColumn("asks", F.lit(False))
-    last = _search_groups(asking.select(*cols).union(asked.select(*cols)), ["family", "block", "piece"], percent)
+    last = _search_groups(asking.select(*cols).union(asked.select(*cols)), ["family", "block", "piece"], percent, pairs)
     merged = components(last.select(F.col("label").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "label")
     final = (labelled.select("cid", "label").join(merged, "label", "left")
              .select("cid", F.coalesce("root", "label").alias("root")))
@@ -354,7 +361,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     chosen = (shared.join(first, digest).filter((F.col("doc_id") == F.col("one.doc_id")) & (F.col("tie") == F.col("one.tie")))
               .select(*digest, "first", "shingles", "doc_id"))
     classes = written(chosen.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    roots = _roots(classes, percent, block)
+    roots = family_roots(classes.select("cid", "shingles"), _families(classes), percent, block)
     named = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
     rooted = classes.select("cid", "doc_id", *digest).join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = rooted.groupBy("root").agg(F.min(named).alias("component_id"))

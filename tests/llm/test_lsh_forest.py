@@ -59,6 +59,26 @@ def test_similar_texts_that_do_not_link(spark):
     assert _got(written(spark.createDataFrame(rows, DOC_SCHEMA), "forest")) == _want(rows)
 
 
+@pytest.mark.parametrize("block", [1000, 25])
+def test_refused_pairs_are_not_written(spark, monkeypatch, block):
+    """Of similar texts nearly every pair is a candidate that the full sets refuse; no table
+    holds them, whether the family is one block or several."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(w if rng.random() > 0.04 else f"x{i}-{k}" for k, w in enumerate(base)), "en", "s", 1) for i in range(80)]
+    counts = {}
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(lsh_forest, "written", counted)
+    docs = written(spark.createDataFrame(rows, DOC_SCHEMA), "forest")
+    assert _got(docs, **({} if block == 1000 else {"block": block})) == _want(rows)
+    assert max(counts.values()) <= lsh_forest.TREES * len(rows), counts
+
+
 def test_empty_table(no_docs):
     assert _got(no_docs) == Counter()
 
