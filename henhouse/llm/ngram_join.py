@@ -49,6 +49,8 @@ from henhouse.llm.words import Texts, blocks, mix, windows
 
 WORDS, PERCENT = 5, 80
 CHUNK_BYTES = 16 << 20
+#: Texts handled at once: the arrays over them take some 60 times this.
+BLOCK_BYTES = 512 << 10
 #: Sets searched together in one task.
 BLOCK = 1000
 #: Weight of a binary probe against a step of the merge, in the choice of long lists.
@@ -91,7 +93,7 @@ def shingle_sets(texts: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
 def _chunk_sets(table: pa.Table, words: int) -> tuple[np.ndarray, np.ndarray]:
     values, sizes = [], []
     for batch in table.select(["text"]).combine_chunks().to_batches():
-        for _, _, texts in blocks(batch, size=2 << 20):
+        for _, _, texts in blocks(batch, size=BLOCK_BYTES):
             value, bounds = shingle_sets(texts, words)
             values.append(value)
             sizes.append(np.diff(bounds))

@@ -37,6 +37,8 @@ FUNCTION_WORDS = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
           "n_upper", "n_letters", "n_bangs", "n_plain_words", "n_function_words", "n_stops")
 GOOD, BAD, ABSTAIN = 1, 0, 2
+#: Texts handled at once: the arrays over them take some 60 times this.
+BLOCK_BYTES = 512 << 10
 
 
 def _table(chars: str) -> np.ndarray:
@@ -112,7 +114,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs``, all columns, with the counts of the column ``text``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, texts in blocks(batch, text):
+            for at, end, texts in blocks(batch, text, BLOCK_BYTES):
                 found = counts(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(at, end - at).columns, *[pa.array(found[c].astype(np.int64)) for c in COUNTS]],

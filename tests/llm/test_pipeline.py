@@ -1,7 +1,10 @@
+import random
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
-from henhouse.llm import quality
+from henhouse.llm import ngram_join, quality
 from henhouse.llm.common import written
 from tests.llm import brute
 from tests.llm.test_tokens import _check_packs
@@ -46,3 +49,32 @@ def test_run_equals_the_stages_in_turn(spark):
         docs = written(stage(spark, docs, SF), f"turn-{name}")
     key = lambda df: Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(docs)
+
+
+def _peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_worker_does_not_grow_with_its_batch():
+    """The arrays over the texts of a batch are made a block at a time (6 MB of text here)."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(2500)]
+    table = pa.table({"chunk": [0] * len(texts), "doc_id": range(len(texts)), "text": texts})
+
+    class Docs:
+        schema = []
+
+        def mapInArrow(self, count, schema):
+            for _ in count(iter(table.to_batches())):
+                pass
+
+    quality.with_counts(Docs()), ngram_join._chunk_sets(table, 5)  # tables made once
+    assert _peak_mb(lambda: quality.with_counts(Docs())) < 45
+    assert _peak_mb(lambda: ngram_join._chunk_sets(table, 5)) < 45
