@@ -73,6 +73,8 @@ def stream_state(spark: SparkSession, path: str, digest: Callable[[Column], Colu
     streams.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     streams.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STATE_MB))
     streams.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    # else an executor holds the stores of all its partitions open, and until some time after the stream
+    streams.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     checkpoint = scratch_path(spark, "exact-dedup-state")
     options = {"maxFilesPerTrigger": str(max_files_per_trigger)} if max_files_per_trigger else {}
     groups = (_rows(_file_stream(streams, path, options), digest)

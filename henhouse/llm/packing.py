@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from henhouse.llm.common import keyed_texts, written
 from henhouse.llm.ranks import ranked
-from henhouse.llm.tokens import byte_bpe_path, encode, ship
+from henhouse.llm.tokens import byte_bpe_path, encode, let_go, ship
 
 PIECES = "doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -104,7 +104,8 @@ def places(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 
 def placer(found: list[tuple[int, int, int, int, int]], size: int) -> Callable:
     """Pieces with their sequence and offset, looked up by length and rank: a length has as
-    many places as patterns hold it, too many to join each piece with all of them."""
+    many places as patterns hold it, too many to join each piece with all of them. All texts
+    are cut by then, so the workers let go of their encoders."""
     table = np.array(sorted(found), np.int64).reshape(-1, 5)
     length, low, high, sequence, offset = table.T
     first = np.zeros(size + 1, np.int64)  # pieces of lesser lengths
@@ -115,6 +116,7 @@ def placer(found: list[tuple[int, int, int, int, int]], size: int) -> Callable:
     shift = sequence - low
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             rank = np.asarray(batch.column("rank"))
             at = np.searchsorted(starts, first[np.asarray(batch.column("length"))] + rank, "right") - 1

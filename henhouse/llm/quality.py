@@ -184,8 +184,9 @@ def _decided(voted: DataFrame, patterns: DataFrame) -> DataFrame:
     names = [f"vote_{name}" for name in rules()]
     seen = patterns.groupBy(*names).count().collect()
     posterior = estimate(sorted((tuple(r[c] for c in names), r["count"]) for r in seen))
-    table = voted.sparkSession.createDataFrame(
-        [(*p, q) for p, q in posterior.items()], ", ".join([f"{c} int" for c in names] + ["posterior double"]))
+    # an Arrow table: a list of rows would go through Python workers of another kind, which stay
+    columns = [pa.array([p[i] for p in posterior], pa.int32()) for i in range(len(names))]
+    table = voted.sparkSession.createDataFrame(pa.table([*columns, pa.array(posterior.values(), pa.float64())], [*names, "posterior"]))
     return (voted.join(F.broadcast(table), names)
             .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).drop(*names))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
         bases.append((p["_part"], p[group], before - p["low"]))
         seen[p[group]] = before + p["n"]
     kind = df.schema[group].dataType.simpleString()
-    base = spark.createDataFrame(bases, f"_part int, {group} {kind}, _base long")
+    # an Arrow table: a list of rows would go through Python workers of another kind, which stay
+    columns = [pa.array([b[i] for b in bases]) for i in range(3)]
+    base = spark.createDataFrame(pa.table(columns, ["_part", group, "_base"]), f"_part int, {group} {kind}, _base long")
     return (table.join(F.broadcast(base), ["_part", group])
             .withColumn("rank", F.col("_at") + F.col("_base")).drop("_part", "_at", "_base"))

@@ -8,6 +8,7 @@ Other files, and texts that hold an added token, go to the library whole."""
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from collections.abc import Iterator
@@ -155,6 +156,15 @@ def encoder(name: str, plain: bool = False, remembered: int | None = None) -> En
     return _LOADED[name, plain, remembered]
 
 
+def let_go() -> None:
+    """Gives back the memory of the worker's encoders and what they remember; whoever encodes
+    next loads the file anew. A worker outlives its task, and would hold them through others."""
+    _LOADED.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what is freed inside its arenas
+    if trim:
+        trim(0)
+
+
 def encode(name: str, texts: list[str | None], remembered: int | None = None) -> Iterator[np.ndarray]:
     """The ids of each text; a null text is empty. ``remembered`` as in ``REMEMBERED_BYTES``."""
     own, at = encoder(name, remembered=remembered), 0

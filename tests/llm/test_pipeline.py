@@ -1,11 +1,13 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 
 import corpus_pipeline
-from henhouse.llm import ngram_join, quality
+from henhouse.llm import exact_dedup, ngram_join, packing, quality, tokens
 from henhouse.llm.common import written
+from henhouse.llm.ranks import ranked
 from tests.llm import brute
 from tests.llm.test_tokens import _check_packs
 
@@ -78,3 +80,35 @@ def test_memory_of_a_worker_does_not_grow_with_its_batch():
     quality.with_counts(Docs()), ngram_join._chunk_sets(table, 5)  # tables made once
     assert _peak_mb(lambda: quality.with_counts(Docs())) < 45
     assert _peak_mb(lambda: ngram_join._chunk_sets(table, 5)) < 45
+
+
+def test_workers_let_go_of_encoders_once_texts_are_cut(monkeypatch):
+    """A worker that held them would hold them through the stages of the next run."""
+    monkeypatch.setattr(tokens, "_LOADED", {("file", False, None): object()})
+    lines = pa.RecordBatch.from_pydict({"length": [4, 4], "rank": [0, 1]})
+    got = list(packing.placer([(4, 0, 2, 0, 0)], 4)(iter([lines])))
+    assert got[0].to_pydict() == {"length": [4, 4], "sequence_id": [0, 1], "offset": [0, 0]}
+    assert not tokens._LOADED
+
+
+def test_small_tables_need_no_python_workers_of_their_own(spark):
+    """A list of rows goes through a second kind of Python workers, beside those of the stages."""
+    docs = spark.createDataFrame(pa.table({"doc_id": [1, 2], "text": ["so it is and was " * 9, "x"]}))
+    posteriors = quality.keep_good(docs)
+    ranks = ranked(docs, "text", ["doc_id"], "test-ranks")
+    for df in (posteriors, ranks):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()
+    assert {(r.doc_id, r.rank) for r in ranks.collect()} == {(1, 0), (2, 0)}
+    empty = ranked(docs.limit(0), "text", ["doc_id"], "test-ranks")
+    assert set(empty.columns) == {"doc_id", "text", "rank"} and empty.count() == 0
+
+
+def test_state_stores_close_with_their_task(spark):
+    """The stores of all partitions open at once, and after the stream, would be memory that other stages need."""
+    root = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark._jsc.sc().conf()))
+    stores = lambda: {p for p in root.parent.rglob("StateStoreId*")}
+    before = stores()
+    docs = spark.createDataFrame(pa.table({"doc_id": list(range(40)), "text": [f"text {i % 30}" for i in range(40)]}))
+    got = {r.doc_id for r in exact_dedup.drop_copies(spark, docs).collect()}
+    assert got == set(range(10, 40))
+    assert stores() <= before
