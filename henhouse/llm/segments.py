@@ -290,7 +290,8 @@ def with_ranges(texts: DataFrame, found: DataFrame) -> DataFrame:
     fields = ", ".join("packed binary" if f.name == "text" else f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
     packed = F.shiftleft(F.col("low"), 32).bitwiseOR(F.col("high")).alias("span")
     spans = found.select("doc_id", "tie", packed).groupBy("doc_id", "tie").agg(F.collect_list("span").alias("spans"))
-    return texts.mapInArrow(pack, fields).join(spans, ["doc_id", "tie"], "left")
+    # few ranges would be broadcast, and each task hold a worker that packs and one that reads
+    return texts.mapInArrow(pack, fields).join(spans.hint("merge"), ["doc_id", "tie"], "left")
 
 
 def with_texts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

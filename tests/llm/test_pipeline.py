@@ -5,7 +5,7 @@ from pathlib import Path
 import pyarrow as pa
 
 import corpus_pipeline
-from henhouse.llm import exact_dedup, ngram_join, packing, quality, tokens
+from henhouse.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup, tokens
 from henhouse.llm.common import written
 from henhouse.llm.ranks import ranked
 from tests.llm import brute
@@ -112,3 +112,14 @@ def test_state_stores_close_with_their_task(spark):
     got = {r.doc_id for r in exact_dedup.drop_copies(spark, docs).collect()}
     assert got == set(range(10, 40))
     assert stores() <= before
+
+
+def test_texts_are_packed_and_read_in_different_tasks(spark):
+    """Few ranges, too: a task that did both would need two Python workers."""
+    long = "".join(chr(97 + i * i % 26) for i in range(300)) + " and more "
+    docs = spark.createDataFrame(pa.table({"doc_id": [1, 2, 3], "text": [long, "x" + long, "short"]}))
+    left = suffix_dedup.shorten(docs)
+    assert "BroadcastHashJoin" not in left._jdf.queryExecution().executedPlan().toString()
+    want = brute.repeats([(1, long), (2, "x" + long), (3, "short")], lambda t: t.encode(), 100)
+    assert {r.doc_id: r.text for r in left.collect()} == {
+        d: bytes(b for b, g in zip(data, gone) if not g).decode() for d, (data, gone) in want.items()}
