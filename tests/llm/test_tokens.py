@@ -160,3 +160,37 @@ def test_parts_give_the_library_s_ids(monkeypatch, remembered):
                 part = texts[i:i + size]
                 for t, ids in zip(part, own.encode(part)):
                     assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_words_are_known_again_beside_other_signs():
+    """The library gets a word once, whatever signs, digits, breaks or texts stand around it."""
+    from henhouse.llm.tokens import Encoder
+
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"{a}{b}{c}" for a in ("straw", "éleve", "крас") for b in ("lin", "dör", "moq") for c in ("at", "eç", "ux")]
+    signs = [".", ",", ";", ")", "!?", "\n", ".\n", "\t", "7", "...\n", "'", "-"]
+    texts = [" " + w for w in words] + ["\n" + w for w in words] + [f"x{s} (x{s}" for s in signs]
+    asked, whole = [], own._whole
+    own._whole = lambda texts: asked.extend(texts) or whole(texts)
+    own.encode(texts)
+    del asked[:]
+    again = [f"{w}{s} {v}{s}\n{w}" for w in words for v in words for s in signs]
+    got = own.encode(again)
+    assert sum(map(len, asked)) < 200
+    for t, ids in zip(again, got):
+        assert ids.tolist() == _ids(t), repr(t)
+
+
+def test_parts_of_neighbouring_texts_and_odd_spaces():
+    """White space at the end of a text is not cut by what the next one begins with."""
+    from henhouse.llm.tokens import Encoder
+
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    gaps = ["", " ", "  ", "\n", " \n", "\n\n ", "\u00a0 ", "\u3000\n", "\u1680 ", "\u2028", "\x1c ", "\x85\t", "\x0b\n", "\r\n"]
+    sides = ["a", "Z9", "é", "×", "÷x", "ж", "\u02c5b", "٣", "½", "'s", "''ll", ".", "_", "日", "か", "é\u0301", "\u20ac", "\U0001f600", ""]
+    texts = [a + g + b for a in sides for g in gaps for b in sides]
+    texts += [x for a in sides for g in gaps for x in (a + g, g + a)]
+    for batch in (texts, texts[::-1]):
+        for t, ids in zip(batch, own.encode(batch)):
+            assert ids.tolist() == _ids(t), repr(t)
+    assert own.encode([]) == [] and [x.tolist() for x in own.encode(["", ""])] == [[], []]
