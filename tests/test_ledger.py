@@ -337,3 +337,21 @@ def test_keys_are_folded_side_by_side(monkeypatch, scope):
     monkeypatch.setattr(L, "_Halts", refuse)
     for got, want in zip(L._settle(log), expected):
         assert (got == want).all()
+
+
+def test_columns_made_at_the_fold_are_not_written(spark, monkeypatch):
+    """Mode and halt scope given by what they are made of: the same fold in one pass and in
+    rounds, and neither is written or exchanged."""
+    rows = _random_log(12, ("add", "reject", "fail"), n=200, keys=3, days=15)
+    df = _events(spark, rows).withColumn("user", F.col("seq") % 4)
+    args = ("key", ["seq"], ["x"], {"add", "reject", "fail"})
+    cols = ["key", "seq", "mode", "user", "applied", "halted", "before_x", "after_x"]
+    want = L.fold(df, *args, halt_scope="user").select(*cols)
+    bare = df.withColumn("kind", F.substring("mode", 1, 1)).drop("mode", "user")
+    made = {"user": F.col("seq") % 4, "mode": F.when(F.col("kind") == "a", "add").when(F.col("kind") == "r", "reject").otherwise("fail")}
+    written, real = [], L._written
+    monkeypatch.setattr(L, "_written", lambda rows, name: written.append((name, rows.columns)) or real(rows, name))
+    for chunk_rows in (9, 200_000):
+        got = L.fold(bare, *args, halt_scope="user", chunk_rows=chunk_rows, made=made).select(*cols)
+        assert got.exceptAll(want).count() == 0 and got.count() == len(rows)
+    assert all("mode" not in c and "user" not in c for name, c in written if name == "ledger-events") and written
